@@ -1,10 +1,12 @@
 """Queries of this subpackage and their SQL."""
-from rostrum.llm import quality
+from rostrum.llm import bpe, pii, quality
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op10_pii": pii.op10_pii,
     }
 
 
