@@ -1,10 +1,13 @@
 """Queries of this subpackage and their SQL."""
-from rostrum.llm import bpe, pii, quality
+from rostrum.llm import bpe, html, mixing, pii, quality, urls
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_source_mix": mixing.op2_source_mix,
+        "op4_html_text": html.op4_html_text,
+        "op5_url_filter": urls.op5_url_filter,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op10_pii": pii.op10_pii,
     }
@@ -13,4 +16,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.OP1_SQL,
+        "op5_url_filter": urls.OP5_SQL,
     }
