@@ -1,5 +1,5 @@
 """Queries of this subpackage and their SQL."""
-from rostrum.llm import bpe, html, mixing, pii, quality, urls
+from rostrum.llm import bpe, html, mixing, neardup, neighbours, pii, quality, urls
 
 
 def queries() -> dict:
@@ -8,7 +8,9 @@ def queries() -> dict:
         "op2_source_mix": mixing.op2_source_mix,
         "op4_html_text": html.op4_html_text,
         "op5_url_filter": urls.op5_url_filter,
+        "op7_near_dups": neardup.op7_near_dups,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_nearest": neighbours.op9_nearest,
         "op10_pii": pii.op10_pii,
     }
 
@@ -17,4 +19,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.OP1_SQL,
         "op5_url_filter": urls.OP5_SQL,
+        "op7_near_dups": neardup.OP7_SQL,
     }
