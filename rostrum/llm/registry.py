@@ -1,11 +1,12 @@
 """Queries of this subpackage and their SQL."""
-from rostrum.llm import bpe, html, mixing, neardup, neighbours, pii, quality, urls
+from rostrum.llm import bpe, html, licenses, mixing, neardup, neighbours, pii, quality, urls
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_source_mix": mixing.op2_source_mix,
+        "op3_license_scan": licenses.op3_license_scan,
         "op4_html_text": html.op4_html_text,
         "op5_url_filter": urls.op5_url_filter,
         "op7_near_dups": neardup.op7_near_dups,
@@ -18,6 +19,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.OP1_SQL,
+        "op3_license_scan": licenses.OP3_SQL,
         "op5_url_filter": urls.OP5_SQL,
         "op7_near_dups": neardup.OP7_SQL,
     }
