@@ -1,4 +1,5 @@
 """Shared plumbing: scratch tables in the cluster's shared folder, and Arrow slices."""
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,11 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Spark deletes shuffle files once their plans are garbage; a loop of large shuffles asks for that each round."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes saved tables that no later result reads."""
         jvm = self.spark._jvm

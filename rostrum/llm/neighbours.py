@@ -118,13 +118,15 @@ class Graph:
             around = around.unionAll(nodes.select(F.col("node").alias("at"), "node")).distinct()
             # At most 2 * degree + 1 members a node.
             local = around.join(known, "node").groupBy("at").agg(F.collect_list(F.struct("node", "code", "floor")).alias("m")).select("m")
-            found = local.mapInArrow(_nearest_within(6), EDGE)
+            found = local.mapInArrow(_nearest_within(12), EDGE)
             both = edges.withColumn("new", F.lit(0)).unionAll(found.withColumn("new", F.lit(1)))
             merged = both.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
             best = merged.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "v", "new")), False), 1, degree).alias("n"))
             nxt = scratch.save(best.select("u", F.explode("n").alias("e")).select("u", "e.v", "e.sim", "e.new"))
             fresh = nxt.agg(F.avg("new")).first()[0]
             scratch.drop(edges)
+            del floor, known, back, around, local, found, both, merged, best
+            scratch.release()
             edges = nxt.drop("new")
             edges.scratch_path = nxt.scratch_path
             if not fresh or fresh < settled:
@@ -158,7 +160,7 @@ def _step(beam: int, wide: int):
     return run
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, degree: int = 24, partitions: int = 3, block: int = 96, rounds: int = 6, settled: float = 0.02, beam: int = 64, wide: int = 16, steps: int = 4) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, degree: int = 44, partitions: int = 3, block: int = 96, rounds: int = 8, settled: float = 0.01, beam: int = 160, wide: int = 32, steps: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: of each row whose vec_id ``every`` divides, its ``k`` nearest by inner product."""
     scratch = Scratch(vectors.sparkSession)
     bad = "exists(e, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
@@ -197,6 +199,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, degree: int = 24, p
         else:
             step = step.join(state.select("query", "seen"), "query")
         state = scratch.save(step.select("query", "code", "seen", "met").mapInArrow(_step(beam, wide), "query long, seen array<struct<node: bigint, sim: float, open: boolean>>, ahead array<long>"))
+        del met, step
+        scratch.release()
         ahead = state.select("query", F.explode("ahead").alias("u"))
 
     pairs = state.select("query", F.explode("seen").alias("s")).select("query", F.col("s.node").alias("node"))
