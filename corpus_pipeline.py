@@ -1,16 +1,56 @@
-"""The corpus pipeline: stages from the corpus operators, each written as Parquet and read again."""
-from rostrum.llm import quality
+"""The corpus pipeline: five stages from the corpus operators, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of documents, with ``n_chars`` kept true to the text.
+"""
+from pyspark.sql import functions as F
+
+from rostrum.llm import bpe, mixing, neardup, pii, quality
+from rostrum.llm._spark import Scratch
+
+
+def quality_stage(spark, docs, sf_dir):
+    """Rejected documents go; the others stay as they are."""
+    return quality.keep_good(docs)
+
+
+def near_dup_stage(spark, docs, sf_dir):
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8."""
+    return neardup.drop_near_dups(docs)
+
+
+def pii_stage(spark, docs, sf_dir):
+    """Personal data is replaced by its kind."""
+    return pii.mask(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def mix_stage(spark, docs, sf_dir):
+    """Documents stand as often as the mix uses them: not at all, once or twice."""
+    return mixing.repeated(docs)
+
+
+def bpe_stage(spark, docs, sf_dir):
+    """Token counts and digests of the ids and of the decoded bytes."""
+    return bpe.round_trip(docs)
+
 
 STAGES = [
-    ("quality", lambda spark, docs, sf_dir: quality.keep_good(docs)),
+    ("quality rules", quality_stage),
+    ("near-duplicates", near_dup_stage),
+    ("personal data", pii_stage),
+    ("source mix", mix_stage),
+    ("byte-level BPE", bpe_stage),
 ]
+#: SQL expresses neither byte-pair merges nor the seeded mix; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    from rostrum.llm._spark import Scratch
-
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
+    """All stages over ``documents``."""
+    docs, scratch, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark), None
     for _, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        if last is not None:
+            scratch.drop(last)
+        last = docs
     return docs

@@ -1,5 +1,5 @@
 """Queries of this subpackage and their SQL."""
-from rostrum.llm import bpe, html, licenses, mixing, neardup, neighbours, pii, quality, urls
+from rostrum.llm import bpe, html, licenses, mixing, neardup, neighbours, pii, quality, repeats, urls
 
 
 def queries() -> dict:
@@ -9,6 +9,7 @@ def queries() -> dict:
         "op3_license_scan": licenses.op3_license_scan,
         "op4_html_text": html.op4_html_text,
         "op5_url_filter": urls.op5_url_filter,
+        "op6_repeated_passages": repeats.op6_repeated_passages,
         "op7_near_dups": neardup.op7_near_dups,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_nearest": neighbours.op9_nearest,
