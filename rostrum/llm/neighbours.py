@@ -143,6 +143,7 @@ def _step(beam: int, wide: int):
             ids, out, ahead = [], [], []
             for q, code, seen, met in zip(*(c for c in batch.columns)):
                 x = np.frombuffer(code.as_py(), np.int8).astype(np.float32)
+                x[-1] = 0  # the added component is the candidates' alone: what is left is the inner product
                 have = {r["node"]: (r["sim"], r["open"]) for r in seen.as_py() or ()}
                 m = met.values
                 if m is not None and len(m):
