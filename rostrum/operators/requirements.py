@@ -1,0 +1,228 @@
+"""Dynamic requirements: specs to column predicates, the mandatory filter and the soft report.
+
+A predicate is true (met), false (not met) or null (nothing was asked: skipped). Requirement specs are small; they are
+read on the driver and become expressions, so that Catalyst sees plain filters.
+"""
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Education levels in rising order.
+LEVELS = ("High School", "Bachelor's", "Master's", "PhD")
+#: Field names that stand for others.
+ALIASES = {"experience": "years_experience", "years_of_experience": "years_experience", "skills": "skills", "hard_skills": "skills", "technical_skills": "skills", "required_skills": "skills"}
+
+
+def _low(values) -> list[str]:
+    return [str(v).strip().lower() for v in values or [] if str(v).strip()]
+
+
+def _lits(values) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
+def numeric(value: Column, low=None, high=None) -> Column:
+    v = value.try_cast("double")
+    if low is None and high is None:
+        return F.when(v.isNull(), F.lit(False))
+    ok = F.lit(True)
+    if low is not None:
+        ok = ok & (v >= float(low))
+    if high is not None:
+        ok = ok & (v <= float(high))
+    return F.coalesce(ok, F.lit(False))
+
+
+def any_way(items: Column, wanted: Column) -> Column:
+    """Some item contains the wanted text or is contained in it."""
+    return F.exists(items, lambda i: F.contains(i, wanted) | F.contains(wanted, i))
+
+
+def skill_list(items: Column, required) -> Column:
+    required = _low(required)
+    if not required:
+        return F.lit(None).cast("boolean")
+    return F.coalesce(F.forall(_lits(required), lambda r: any_way(items, r)), F.lit(False))
+
+
+def missing_skills(items: Column, required) -> Column:
+    return F.filter(_lits(_low(required)), lambda r: ~F.coalesce(any_way(items, r), F.lit(False)))
+
+
+def text(value: Column, required) -> Column:
+    met = F.contains(F.lower(value.cast("string")), F.lit(str(required or "").lower()))
+    return F.coalesce(met, F.lit(False))
+
+
+def location(value: Column, required=None, allowed=(), strict: bool = False) -> Column:
+    """Anywhere where nothing particular is required; ``strict`` looks at ``allowed`` even then."""
+    if str(required or "").strip().lower() in ("", "any", "anywhere") and not (strict and allowed):
+        return F.lit(True)
+    given = F.when(F.trim(value) != "", F.lower(F.trim(value)))
+    if not allowed:
+        return given.isNotNull()
+    return F.coalesce(F.exists(_lits(_low(allowed)), lambda a: F.contains(given, a) | F.contains(a, given)), F.lit(False))
+
+
+def level(value: Column) -> Column:
+    """Place of the first level that the text names; -1 for none."""
+    out = F.lit(-1)
+    for i in reversed(range(len(LEVELS))):
+        out = F.when(F.contains(value, F.lit(LEVELS[i])), i).otherwise(out)
+    return out
+
+
+def education(value: Column, minimum: str | None = LEVELS[0]) -> Column:
+    least = LEVELS.index(minimum) if minimum in LEVELS else 0
+    return F.coalesce(level(value.cast("string")) >= least, F.lit(False))
+
+
+def truthy(value: Column, kind: str) -> Column:
+    """What a dynamic language calls true; ``kind`` is the column's Spark type name."""
+    if kind == "boolean":
+        ok = value
+    elif kind == "string":
+        ok = value != ""
+    elif kind.startswith(("array", "map")):
+        ok = F.size(value) > 0
+    else:
+        ok = value != 0
+    return F.coalesce(ok, F.lit(False))
+
+
+def boolean(value: Column, kind: str, required=True) -> Column:
+    return truthy(value, kind) == F.lit(bool(required))
+
+
+def normalise(spec) -> dict | None:
+    """A raw spec (dict, list, text or number) as a dict with a type; None where it asks for nothing."""
+    if spec in (None, "", [], {}):
+        return None
+    if isinstance(spec, bool):
+        return {"type": "boolean", "required": spec}
+    if isinstance(spec, (list, tuple)):
+        return {"type": "list", "required": list(spec)}
+    if isinstance(spec, str):
+        return {"type": "text", "required": spec}
+    if isinstance(spec, (int, float)):
+        return {"type": "numeric", "min": spec}
+    out = dict(spec)
+    if "type" not in out:
+        out["type"] = "list" if isinstance(out.get("required"), list) or "optional" in out else "numeric" if {"min", "max"} & set(out) else "text"
+    kind = out["type"]
+    asked = {"numeric": out.get("min") is not None or out.get("max") is not None, "list": bool(out.get("required") or out.get("optional")), "location": bool(out.get("required") or out.get("allowed")), "education": bool(out.get("minimum") or out.get("preferred")), "boolean": "required" in out}
+    return out if asked.get(kind, bool(out.get("required"))) else None
+
+
+def resolve(df: DataFrame, field: str) -> str | None:
+    """The column that a requirement field names: aliased, exact, or in another case."""
+    for name in (ALIASES.get(field.lower(), field), field):
+        for c in df.columns:
+            if c == name or c.lower() == name.lower():
+                return c
+    return None
+
+
+def predicate(df: DataFrame, field: str, spec) -> Column:
+    """Met, not met or skipped, for one field of ``df``."""
+    spec, name = normalise(spec), resolve(df, field)
+    if spec is None:
+        return F.lit(None).cast("boolean")
+    kind = "location" if field.lower() == "location" else spec["type"]
+    if name is None and not (kind == "location"):
+        return F.lit(None).cast("boolean") if kind == "list" and not _low(spec.get("required")) else F.lit(False)
+    value = F.col(name) if name else F.lit(None).cast("string")
+    dtype = dict(df.dtypes).get(name, "string")
+    if kind == "numeric":
+        return numeric(value, spec.get("min"), spec.get("max"))
+    if kind == "list":
+        items = value if dtype.startswith("array") else F.array(value.cast("string"))
+        clean = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda i: F.lower(F.trim(i.cast("string")))), lambda i: i.isNotNull())
+        return skill_list(clean, spec.get("required"))
+    if kind == "location":
+        return location(value.cast("string"), spec.get("required"), spec.get("allowed") or ())
+    if kind == "education":
+        return education(value, spec.get("minimum") or LEVELS[0])
+    if kind == "boolean":
+        return boolean(value, dtype, spec.get("required", True))
+    return text(value if not dtype.startswith("array") else F.array_join(value, ", "), spec.get("required"))
+
+
+def compliance(df: DataFrame, specs: dict) -> DataFrame:
+    """Adds met and missing (sorted arrays of fields) and score: met over asked, skipped ones among the asked; 1 for none."""
+    asked = {f: s for f, s in sorted(specs.items()) if normalise(s) is not None}
+    states = [(f, predicate(df, f, s)) for f, s in asked.items()]
+    named = lambda want: F.filter(F.array(*[F.when(p.eqNullSafe(F.lit(want)), f) for f, p in states]).cast("array<string>"), lambda x: x.isNotNull())
+    out = df.withColumn("met", named(True)).withColumn("missing", named(False))
+    return out.withColumn("score", F.size("met") / F.lit(float(len(asked))) if asked else F.lit(1.0))
+
+
+def mandatory(df: DataFrame, specs: dict) -> tuple[DataFrame, DataFrame]:
+    """(kept, filtered): a record with any field not met is filtered, with the first three as reason."""
+    checked = compliance(df, specs)
+    kept = checked.where(F.size("missing") == 0)
+    reason = F.array_join(F.transform(F.slice("missing", 1, 3), lambda f: F.concat(f, F.lit(": not met"))), "; ")
+    return kept, checked.where(F.size("missing") > 0).withColumn("filter_reason", reason)
+
+
+def label(met: int | str, asked: str) -> Column:
+    """A short sign for a candidate's compliance."""
+    m, n = F.col(met), F.col(asked)
+    count = F.concat(m.cast("string"), F.lit("/"), n.cast("string"))
+    return F.when(n == 0, "No filters").when(m == n, F.concat(F.lit("✅ "), count)).when(m > 0, F.concat(F.lit("⚠️ "), count)).otherwise(F.concat(F.lit("❌ "), count))
+
+
+#: Vocabulary of departments.
+DEPARTMENTS = {
+    "IT": ("software", "developer", "engineer", "programmer", "data", "cloud", "devops", "it"),
+    "Non-IT": ("sales", "marketing", "finance", "accounting", "hr", "operations", "legal"),
+}
+
+
+def department(value: Column, category: str | None = None, allowed=(), excluded=()) -> Column:
+    """Of the category's vocabulary, among the allowed and none of the excluded; substrings either way."""
+    v = F.lower(F.coalesce(value, F.lit("")))
+    hit = lambda words: reduce(lambda a, b: a | b, [F.contains(v, F.lit(w)) | ((v != "") & F.contains(F.lit(w), v)) for w in _low(words)], F.lit(False))
+    ok = hit(DEPARTMENTS[category]) if category in DEPARTMENTS else F.lit(True)
+    if allowed:
+        ok = ok & hit(allowed)
+    return ok & ~hit(excluded) if excluded else ok
+
+
+def work_mode(value: Column, required: str) -> Column:
+    """remote, hybrid, onsite or a place; onsite is met unless the candidate is remote."""
+    v, want = F.lower(F.coalesce(value, F.lit(""))), required.strip().lower()
+    if want in ("", "any", "anywhere"):
+        return F.lit(True)
+    if want in ("remote", "hybrid"):
+        return F.contains(v, F.lit(want))
+    if want in ("onsite", "on-site", "office"):
+        return ~F.contains(v, F.lit("remote"))
+    return F.contains(v, F.lit(want))
+
+
+def other_criterion(value: Column, criterion: str) -> Column:
+    """At least half of the words of over three letters are in the text, or one of the first two is."""
+    terms = [w for w in _low(criterion.split()) if len(w) > 3]
+    if not terms:
+        return F.lit(True)
+    has = F.filter(_lits(terms), lambda t: F.contains(F.lower(value), t))
+    first = F.exists(_lits(terms[:2]), lambda t: F.contains(F.lower(value), t))
+    return F.coalesce((F.size(has) * 2 >= len(terms)) | first, F.lit(False))
+
+
+def strict_skills(items: Column, description: Column, required) -> Column:
+    """Each skill is an item, or over two letters long with a word of over three letters in the description."""
+    def found(r: str) -> Column:
+        parts = [w for w in r.split() if len(w) > 3] if len(r) > 2 else []
+        return F.array_contains(items, r) | F.exists(_lits(parts), lambda w: F.contains(F.lower(description), w))
+
+    return reduce(lambda a, b: a & b, [F.coalesce(found(r), F.lit(False)) for r in _low(required)], F.lit(True))
+
+
+def match_quality(value: Column, low: float, high: float) -> Column:
+    v = value.try_cast("double")
+    return F.when(value.isNull(), "missing").when(v.isNull(), "invalid").when(v < low, "below").when(v > high, "exceeds").otherwise("exact")
