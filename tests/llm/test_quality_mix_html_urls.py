@@ -117,7 +117,7 @@ def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     out = html.extract_pages(pages, html.fit_weights(pages)).collect()
     assert sorted(r.n_chars for r in out) == [0, len(TEXT), len(TEXT)] and html.extract_pages(pages.limit(0), html.DEFAULT).count() == 0
-    marked = spark.createDataFrame([(f"<nav><a>m{k}</a></nav><article><p>one two three four {k}</p></article>",) for k in range(5)], "html string")
+    marked = spark.createDataFrame([(f"<nav><a>m{k}</a></nav><article><p>one two three four {k}</p></article>",) for k in range(5)], "html string").selectExpr("1L page_id", "html")
     w = html.fit_weights(marked)
     assert w["word"] > 0 > w["tag"] and w["link"] < 0
 
