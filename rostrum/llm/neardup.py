@@ -8,8 +8,8 @@ similar ones share some node deep down in some tree while the others part within
 
 - A node of at most ``leaf`` members is compared exhaustively.
 - A larger one is branched further; rows stay in proportion to the documents.
-- A node that is still large at the last depth holds sets that are much alike. Its members are compared with its first
-  member; then, once components are known, members outside the node's largest component are compared with all others in
+- A node that is still large at the last depth holds sets that are much alike. Its members are compared with one of
+  them, another in each node; then, once components are known, members outside the node's largest component are compared with all others in
   blocks, where only pairs of different components are looked at and only one link of two components is written.
 
 Candidates must agree in enough coordinates (far below the threshold's expectation) and every link is confirmed on the
@@ -151,22 +151,48 @@ def _confirm(pct: int):
     return run
 
 
-def _across(pct: int, agree: int):
-    """Pairs of blocks to links of different components, one for each two components."""
+def shared_tokens(x: list, y: list, width: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of the sets of two blocks, as a matrix product over the tokens that both blocks have."""
+    sizes = [np.array([len(s) for s in side]) for side in (x, y)]
+    flat = [np.concatenate(side) for side in (x, y)]
+    owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    tokens = np.intersect1d(*flat)
+    place = []
+    for f, o in zip(flat, owner):
+        at = np.minimum(np.searchsorted(tokens, f), len(tokens) - 1) if len(tokens) else np.zeros(0, np.int64)
+        ok = tokens[at] == f if len(tokens) else np.zeros(0, bool)
+        place.append((at[ok], o[: len(ok)][ok] if len(ok) else o[:0]))
+    out = np.zeros((len(x), len(y)))
+    for lo in range(0, len(tokens), width):
+        sides = []
+        for (at, o), n in zip(place, (len(x), len(y))):
+            m = np.zeros((n, min(width, len(tokens) - lo)), np.float32)
+            own = (at >= lo) & (at < lo + width)
+            m[o[own], at[own] - lo] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _across(pct: int):
+    """Pairs of blocks to links of different components, one for each two components of a pair of blocks."""
 
     def run(batches):
         for batch in batches:
-            left, right = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found: dict = {}
-            for x, y in zip(left, right):
-                sx, sy = (np.frombuffer(b"".join(m["sketch"] for m in s), np.uint8).reshape(len(s), -1) for s in (x, y))
-                hx, hy = ([np.frombuffer(m["hashes"], U) for m in s] for s in (x, y))
-                for i, m in enumerate(x):
-                    for j in np.flatnonzero((sx[i] == sy).sum(1) >= agree):
-                        pair = (m["root"], y[j]["root"])
-                        if pair[0] != pair[1] and pair not in found and linked(hx[i], hy[j], pct):
-                            found[pair] = (m["cls"], y[j]["cls"])
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found.values()], pa.int64()) for i in (0, 1)], ["a", "b"])
+            a, b = [], []
+            for i in range(batch.num_rows):
+                x, y = (batch.column(c)[i].values for c in (0, 1))
+                sets = [[np.frombuffer(h, U) for h in m.field("hashes").to_pylist()] for m in (x, y)]
+                both = shared_tokens(*sets)
+                n = [np.array([len(h) for h in side]) for side in sets]
+                root = [m.field("root").to_numpy() for m in (x, y)]
+                hit = (100 * both >= pct * (n[0][:, None] + n[1][None, :] - both)) & (root[0][:, None] != root[1][None, :])
+                r, c = np.nonzero(hit)
+                _, first = np.unique(np.stack([root[0][r], root[1][c]]), axis=1, return_index=True)
+                a.append(x.field("cls").to_numpy()[r[first]])
+                b.append(y.field("cls").to_numpy()[c[first]])
+            flat = [pa.array(np.concatenate(v) if v else [], pa.int64()) for v in (a, b)]
+            yield pa.RecordBatch.from_arrays(flat, ["a", "b"])
 
     return run
 
@@ -200,14 +226,14 @@ def near_dups(docs: DataFrame, k: int = 5, pct: int = 80, trees: int = 12, depth
         else:
             start = classes.select("cls", "n", "least")
         nodes = scratch.save(start.mapInArrow(_nodes(depth - (depths[i - 1] if i else 0), trees), "node long, cls long, n long"))
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("first")).where("size > 1")
+        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min_by("cls", F.xxhash64("node", "cls")).alias("first")).where("size > 1")
         shared = scratch.save(nodes.join(sizes, "node"))
         small = shared.where(F.col("size") <= leaf).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("cls", "n"))).alias("m"))
         pairs = small.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, {leaf}), y -> {fits}), y -> struct(x.cls as a, y.cls as b))))")).alias("p")).select("p.a", "p.b")
         found.append(scratch.save(pairs.where("a <> b").distinct()))
         above = shared.where(F.col("size") > leaf)
         scratch.drop(nodes)
-    dense = above.select("node", "cls", "first", "size").distinct()
+    dense = above.select("node", "cls", "first", "size")
     found.append(dense.where("cls <> first").selectExpr("least(cls, first) a", "greatest(cls, first) b"))
 
     pairs = found[0]
@@ -246,20 +272,22 @@ def near_dups(docs: DataFrame, k: int = 5, pct: int = 80, trees: int = 12, depth
         roots = scratch.save(components(scratch, links))
 
     # Large last nodes of several components: members outside the largest one against all members, in blocks.
-    inside = scratch.save(rooted(dense.withColumn("cls0", F.col("cls")).withColumnRenamed("cls", "a"), "a").selectExpr("node", "cls0 as cls", "root_a as root", "size"))
+    inside = scratch.save(rooted(dense.selectExpr("node", "cls as a", "size"), "a").selectExpr("node", "a as cls", "root_a as root", "size"))
     per_root = inside.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c"))
     largest = per_root.groupBy("node").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    mixed = inside.join(largest, "node").join(classes.select("cls", "sketch"), "cls").join(sets, "cls")
-    mixed = mixed.withColumn("blk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / block)))
-
-    def blocks(part: DataFrame, name: str) -> DataFrame:
-        return part.groupBy("node", "blk").agg(F.collect_list(F.struct("cls", "root", "sketch", "hashes")).alias(name)).drop("blk")
-
-    mixed = scratch.save(mixed.select("node", "cls", "root", "main", "sketch", "hashes", "blk"))
-    across = blocks(mixed.where("root <> main"), "x").join(blocks(mixed, "y"), "node").select("x", "y")
-    last = scratch.save(across.mapInArrow(_across(pct, agree), "a long, b long"))
-    if last.limit(1).count():
-        roots = scratch.save(components(scratch, links.unionAll(last)))
+    largest = scratch.save(largest)
+    if largest.limit(1).count():
+        mixed = inside.join(largest, "node").join(sets, "cls")
+        mixed = mixed.withColumn("blk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / block)))
+
+        def blocks(part: DataFrame, name: str) -> DataFrame:
+            return part.groupBy("node", "blk").agg(F.collect_list(F.struct("cls", "root", "hashes")).alias(name)).drop("blk")
+
+        mixed = scratch.save(mixed.select("node", "cls", "root", "main", "hashes", "blk"))
+        across = blocks(mixed.where("root <> main"), "x").join(blocks(mixed, "y"), "node").select("x", "y")
+        last = scratch.save(across.mapInArrow(_across(pct), "a long, b long"))
+        if last.limit(1).count():
+            roots = scratch.save(components(scratch, links.unionAll(last)))
 
     ids = facts.select("row_key", "doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("a"))
     own = rooted(per.selectExpr("cls as a"), "a")
