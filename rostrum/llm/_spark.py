@@ -27,8 +27,12 @@ class Scratch:
         # A few hundred long texts a batch bound a Python worker's memory.
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """With ``rows``, about how many there are, a table is written in no more tasks than the cluster has use for: two a
+        core, or one for each half million rows. Many tiny files cost more than the work they hold."""
         self.n += 1
+        if rows is not None:
+            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, rows // 500_000 + 1))
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -33,11 +33,11 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["u", "v"])
 
 
-def components(scratch: Scratch, edges: DataFrame, per_task: int = PER_TASK) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, per_task: int = PER_TASK, rows: int | None = None) -> DataFrame:
     """Of edges (a, b) of longs: node and root, the smallest node reachable; nodes without an edge are not listed.
 
-    Neighbourhoods are only ever reduced to a minimum, never gathered, so hubs stay small."""
-    e = scratch.save(edges.where("a <> b").selectExpr("a as u", "b as v"))
+    ``rows`` is about how many edges there are, if known. Neighbourhoods are only ever reduced to a minimum, never gathered, so hubs stay small."""
+    e = scratch.save(edges.where("a <> b").selectExpr("a as u", "b as v"), rows)
     n, mark = e.count(), None
     while True:
         tasks = max(1, -(-n // per_task))

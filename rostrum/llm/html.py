@@ -185,8 +185,13 @@ def _counts(source: str) -> dict:
 def fit_weights(pages: DataFrame, fit_pages: int = 2000, seed: int = 5) -> dict:
     """Log odds of tokens inside against outside, from at most ``fit_pages`` labelled pages; DEFAULT where there are none."""
     Scratch(pages.sparkSession)
-    labelled = pages.select(F.col("html").cast("string").alias("html")).where("html ilike '%<article%' and html ilike '%</article%'")
-    sample = labelled.orderBy(F.xxhash64(F.lit(seed), "html")).limit(fit_pages)
+    place = F.xxhash64(F.lit(seed), "page_id", "html").alias("place")
+    labelled = pages.select(place, F.col("html").cast("string").alias("html")).where("html ilike '%<article%' and html ilike '%</article%'")
+    # Only hashes are sorted; their cut-off selects the pages, which stay where they are.
+    last = labelled.select("place").orderBy("place").limit(fit_pages).agg(F.max("place")).first()[0]
+    if last is None:
+        return dict(DEFAULT)
+    sample = labelled.where(F.col("place") <= last).select("html").limit(fit_pages)
 
     def run(batches):
         total: dict = {}
@@ -198,8 +203,6 @@ def fit_weights(pages: DataFrame, fit_pages: int = 2000, seed: int = 5) -> dict:
         yield pa.RecordBatch.from_pylist([{"kind": k, "inside": i, "n": n} for k, i, n in rows], pa.schema([("kind", pa.string()), ("inside", pa.int32()), ("n", pa.int64())]))
 
     found = sample.mapInArrow(run, "kind string, inside int, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()
-    if not found:
-        return dict(DEFAULT)
     n = {(r.kind, r.inside): r.n for r in found}
     sides = [sum(v for (k, i), v in n.items() if i == side and not k.startswith("<")) + 1 for side in (0, 1)]
     odds = lambda k: math.log((n.get((k, 1), 0) + 1) / sides[1]) - math.log((n.get((k, 0), 0) + 1) / sides[0])

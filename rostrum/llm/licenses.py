@@ -7,8 +7,8 @@ window and chunk has ``bands`` bands of one minimum each. A chunk that holds the
 shingles collides in a band with probability c m / w at least; the number of bands is the smallest that makes the
 probability of a miss at most ``miss`` for the class's shortest chunk, at the containment asked for.
 
-A window can share a minimum with a chunk only where it holds one of the templates' shingles, so bands are computed for
-those windows only; no match is lost by that. Templates that contain each other to that share are a family (versions of one
+A window can hold the share c of a chunk only where it has as many of the templates' shingles as the class's shortest chunk
+needs, so bands are computed for those windows only; no match is lost by that. Templates that contain each other to that share are a family (versions of one
 license); of a family only the best contained counts in a window and its two neighbours, which share its text.
 
 Only DataFrame functions are used. The templates are a parameter; their bands are broadcast, bounded by ``MAX_ROWS``.
@@ -81,10 +81,14 @@ def bands_for(shortest: int, longest: int, containment: float, miss: float) -> i
     return math.ceil(math.log(miss) / math.log(1 - p))
 
 
+def _once(df: DataFrame, **columns) -> DataFrame:
+    """``df`` with columns that are computed once a row: as a one-row generator, which filters are not pushed through."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _shingled(rows: DataFrame) -> DataFrame:
-    words = F.filter(F.split(F.regexp_replace(F.lower("text"), WORDS, " "), " "), lambda w: w != "")
-    rows = rows.withColumn("w", words).where("size(w) > 1")
-    return rows.withColumn("sh", F.expr("zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> xxhash64(a, b))")).drop("w", "text")
+    rows = _once(rows, w=F.split(F.trim(F.regexp_replace(F.lower("text"), WORDS, " ")), " ")).drop("text").where("size(w) > 1")
+    return _once(rows, sh=F.expr("zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> xxhash64(a, b))")).drop("w")
 
 
 def _bands(col: str, bands: int):
@@ -101,18 +105,27 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
     made = scratch.save(_shingled(made).withColumn("sh", F.array_distinct("sh")).coalesce(1))
     wanted = made.select(F.flatten(F.collect_list("sh")).alias("all")).select(F.array_distinct("all").alias("all"))
 
-    hits = _shingled(rows).withColumn("all", wanted.scalar()).where(F.arrays_overlap("sh", "all"))
-    at = F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: F.array_contains(F.col("all"), F.get("sh", i)))
-    hits = scratch.save(hits.withColumn("at", at).drop("all"))
+    # The shingles that a window must have of the templates': by class, for its shortest chunk.
+    need = {c: math.ceil(containment * min(len(set(zip(w, w[1:]))) for _, _, k, w in cut if k == c)) for c in sorted({c for _, _, c, _ in cut})}
+    hits = _once(_shingled(rows), mine=F.array_intersect("sh", wanted.scalar())).where(F.size("mine") >= min(need.values()))
+    hits = _once(hits, at=F.expr("filter(sequence(0, size(sh) - 1), i -> array_contains(mine, get(sh, i)))")).drop("mine")
+
+    def windows(n: int) -> str:
+        """Those that have enough, by number; window j has the shingles from j * n to j * n + 2 * n - 2."""
+        touched = f"array_distinct(flatten(transform(at, p -> array(p div {n}, greatest(p div {n} - 1, 0L)))))"
+        return f"filter({touched}, j -> size(filter(at, p -> p >= j * {n} and p < j * {n} + {2 * n - 1})) >= {need[n]})"
+
+    hits = _once(hits, **{f"win{n}": F.expr(windows(n)) for n in need})
+    hits = scratch.save(hits.where(" or ".join(f"size(win{n}) > 0" for n in need)))
 
     matches = None
-    for longest in sorted({c for _, _, c, _ in cut}):
+    for longest in need:
         bands = bands_for(min(len(w) for _, _, c, w in cut if c == longest), longest, containment, miss)
         if bands * len(cut) > MAX_ROWS:
             raise ValueError("the templates' bands are too many to broadcast")
         own = made.where(F.col("longest") == longest)
         keys = own.select("license", "chunk", "family", F.col("sh").alias("tsh"), F.posexplode(_bands("sh", bands)).alias("band", "low"))
-        win = hits.select("row_key", "doc_id", "sh", F.explode(F.expr(f"array_distinct(flatten(transform(at, p -> array(p div {longest}, greatest(p div {longest} - 1, 0L)))))")).alias("win"))
+        win = hits.select("row_key", "doc_id", "sh", F.explode(f"win{longest}").alias("win"))
         win = win.withColumn("ws", F.expr(f"array_distinct(slice(sh, cast(win * {longest} + 1 as int), {2 * longest - 1}))")).drop("sh").where("size(ws) > 0")
         met = win.withColumn("low", _bands("ws", bands)).select("row_key", "doc_id", "win", "ws", F.posexplode("low").alias("band", "low"))
         met = met.join(F.broadcast(keys), ["band", "low"])

@@ -216,6 +216,7 @@ def near_dups(docs: DataFrame, k: int = 5, pct: int = 80, trees: int = 12, depth
     firsts = facts.where("n > 0").select("cls", "row_key", "least").join(per.select("cls", "row_key", "n"), ["cls", "row_key"]).dropDuplicates(["cls"])
     classes = scratch.save(firsts.select("cls", "n", "least").mapInArrow(_with_sketch, "cls long, n long, least binary, sketch binary"))
 
+    n = per.count()  # of classes; what follows has a few rows for each
     # A class's sets may differ in size by the threshold at most.
     fits = f"100 * least(x.n, y.n) >= {pct} * greatest(x.n, y.n)"
     found, dense, above = [], None, None
@@ -225,12 +226,12 @@ def near_dups(docs: DataFrame, k: int = 5, pct: int = 80, trees: int = 12, depth
             start = classes.join(paths, "cls").select("cls", "n", "least", "paths")
         else:
             start = classes.select("cls", "n", "least")
-        nodes = scratch.save(start.mapInArrow(_nodes(depth - (depths[i - 1] if i else 0), trees), "node long, cls long, n long"))
+        nodes = scratch.save(start.mapInArrow(_nodes(depth - (depths[i - 1] if i else 0), trees), "node long, cls long, n long"), 25 * n)
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min_by("cls", F.xxhash64("node", "cls")).alias("first")).where("size > 1")
-        shared = scratch.save(nodes.join(sizes, "node"))
+        shared = scratch.save(nodes.join(sizes, "node"), 10 * n)
         small = shared.where(F.col("size") <= leaf).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("cls", "n"))).alias("m"))
         pairs = small.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, {leaf}), y -> {fits}), y -> struct(x.cls as a, y.cls as b))))")).alias("p")).select("p.a", "p.b")
-        found.append(scratch.save(pairs.where("a <> b").distinct()))
+        found.append(scratch.save(pairs.where("a <> b").distinct(), 4 * n))
         above = shared.where(F.col("size") > leaf)
         scratch.drop(nodes)
     dense = above.select("node", "cls", "first", "size")
@@ -244,23 +245,23 @@ def near_dups(docs: DataFrame, k: int = 5, pct: int = 80, trees: int = 12, depth
     agree = int(COORDS * s - 4.5 * (COORDS * s * (1 - s)) ** 0.5)
     sketch = classes.select("cls", "sketch")
     sides = pairs.distinct().join(sketch.selectExpr("cls as a", "sketch as sa"), "a").join(sketch.selectExpr("cls as b", "sketch as sb"), "b")
-    likely = scratch.save(sides.select("a", "b", "sa", "sb").mapInArrow(_alike(agree), "a long, b long, same int"))
+    likely = scratch.save(sides.select("a", "b", "sa", "sb").mapInArrow(_alike(agree), "a long, b long, same int"), 4 * n)
 
     needed = likely.selectExpr("a as cls").unionAll(likely.selectExpr("b as cls")).unionAll(dense.select("cls")).distinct()
-    needed = scratch.save(per.join(needed, "cls").select("row_key", "cls"))
+    needed = scratch.save(per.join(needed, "cls").select("row_key", "cls"), n)
     mine = F.broadcast(needed) if needed.count() <= SMALL else needed
     sets = rows.select("row_key", "text").join(mine, "row_key").select("cls", "text").mapInArrow(_sets(k), "cls long, hashes binary")
-    sets = scratch.save(sets.groupBy("cls").agg(F.first("hashes").alias("hashes")))
+    sets = scratch.save(sets.groupBy("cls").agg(F.first("hashes").alias("hashes")), 4 * n)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         full = pairs.select("a", "b").join(sets.selectExpr("cls as a", "hashes as ha"), "a").join(sets.selectExpr("cls as b", "hashes as hb"), "b")
-        return scratch.save(full.select("a", "b", "ha", "hb").mapInArrow(_confirm(pct), "a long, b long"))
+        return scratch.save(full.select("a", "b", "ha", "hb").mapInArrow(_confirm(pct), "a long, b long"), 4 * n)
 
     both = likely.unionAll(likely.selectExpr("b as a", "a as b", "same"))
     best = both.groupBy("a").agg(F.max(F.struct("same", "b")).alias("m")).selectExpr("least(a, m.b) a", "greatest(a, m.b) b").distinct()
-    best = scratch.save(best)
+    best = scratch.save(best, n)
     links = confirm(best)
-    roots = scratch.save(components(scratch, links))
+    roots = scratch.save(components(scratch, links, rows=4 * n), n)
 
     def rooted(pairs: DataFrame, col: str) -> DataFrame:
         return pairs.join(roots.selectExpr(f"node as {col}", f"root as root_{col}"), col, "left").withColumn(f"root_{col}", F.coalesce(f"root_{col}", col))
@@ -269,13 +270,13 @@ def near_dups(docs: DataFrame, k: int = 5, pct: int = 80, trees: int = 12, depth
     more = confirm(rest)
     links = links.unionAll(more)
     if more.limit(1).count():
-        roots = scratch.save(components(scratch, links))
+        roots = scratch.save(components(scratch, links, rows=4 * n), n)
 
     # Large last nodes of several components: members outside the largest one against all members, in blocks.
-    inside = scratch.save(rooted(dense.selectExpr("node", "cls as a", "size"), "a").selectExpr("node", "a as cls", "root_a as root", "size"))
+    inside = scratch.save(rooted(dense.selectExpr("node", "cls as a", "size"), "a").selectExpr("node", "a as cls", "root_a as root", "size"), 10 * n)
     per_root = inside.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c"))
     largest = per_root.groupBy("node").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    largest = scratch.save(largest)
+    largest = scratch.save(largest, n)
     if largest.limit(1).count():
         mixed = inside.join(largest, "node").join(sets, "cls")
         mixed = mixed.withColumn("blk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / block)))
@@ -283,17 +284,17 @@ def near_dups(docs: DataFrame, k: int = 5, pct: int = 80, trees: int = 12, depth
         def blocks(part: DataFrame, name: str) -> DataFrame:
             return part.groupBy("node", "blk").agg(F.collect_list(F.struct("cls", "root", "hashes")).alias(name)).drop("blk")
 
-        mixed = scratch.save(mixed.select("node", "cls", "root", "main", "hashes", "blk"))
+        mixed = scratch.save(mixed.select("node", "cls", "root", "main", "hashes", "blk"), 10 * n)
         across = blocks(mixed.where("root <> main"), "x").join(blocks(mixed, "y"), "node").select("x", "y")
         last = scratch.save(across.mapInArrow(_across(pct), "a long, b long"))
         if last.limit(1).count():
-            roots = scratch.save(components(scratch, links.unionAll(last)))
+            roots = scratch.save(components(scratch, links.unionAll(last), rows=4 * n), n)
 
     ids = facts.select("row_key", "doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("a"))
     own = rooted(per.selectExpr("cls as a"), "a")
     least = facts.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     of_root = own.join(least, own.a == least.cls).groupBy("root_a").agg(F.min("doc_id").alias("component_id"))
-    of_class = scratch.save(own.join(of_root, "root_a").select("a", "component_id"))
+    of_class = scratch.save(own.join(of_root, "root_a").select("a", "component_id"), n)
     out = ids.join(of_class, "a", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("row_key", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
