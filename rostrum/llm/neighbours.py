@@ -9,8 +9,8 @@ scored in double precision on the original vectors.
 - Rounds: each node's neighbours and reverse neighbours (the nearest ``degree`` of each) are joined with their vectors and
   compared with each other at the node, as neighbours of neighbours; each keeps its ``degree`` nearest so far. Rounds
   end when under ``settled`` of the edges are new.
-- Search: a query starts at its own node's neighbours, or at a seeded entry block, and repeatedly opens its nearest unopened
-  nodes along both directions of the edges, keeping the ``beam`` nearest.
+- Search: a query starts at its own node and at entry nodes, the longest and a seeded choice of the others. It repeatedly opens its
+  nearest unopened nodes along both directions of the edges, keeping the ``beam`` nearest, until none of these is unopened.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids; a
 row repeated in full is one row; a query's own id is never its neighbour; shorter vectors are as if
@@ -135,8 +135,13 @@ class Graph:
         self.links = scratch.save(both_ways)
 
 
-def _step(beam: int, wide: int):
-    """Rows (query, code, seen, met): scores what was met, keeps the nearest, and names what to open next."""
+def _step(beam: int, wide: int, entries: list):
+    """Rows (query, code, seen, met): scores what was met, keeps the nearest, and names what to open next.
+
+    A query without ``seen`` begins: its own node counts as opened, the ``entries`` (node, code) as met.
+    A node that fell out of the beam cannot return, as the beam only gets nearer; so every node is opened once at most."""
+    entry_ids = [n for n, _ in entries]
+    entry_codes = np.frombuffer(b"".join(c for _, c in entries), np.int8).reshape(len(entries), -1).astype(np.float32)
 
     def run(batches):
         for batch in batches:
@@ -144,7 +149,11 @@ def _step(beam: int, wide: int):
             for q, code, seen, met in zip(*(c for c in batch.columns)):
                 x = np.frombuffer(code.as_py(), np.int8).astype(np.float32)
                 x[-1] = 0  # the added component is the candidates' alone: what is left is the inner product
-                have = {r["node"]: (r["sim"], r["open"]) for r in seen.as_py() or ()}
+                if seen.is_valid:
+                    have = {r["node"]: (r["sim"], r["open"]) for r in seen.as_py()}
+                else:
+                    have = {n: (s, False) for n, s in zip(entry_ids, (entry_codes @ x).tolist())}
+                    have[q.as_py()] = (float(x @ x), True)
                 m = met.values
                 if m is not None and len(m):
                     codes = np.frombuffer(b"".join(m.field("code").to_pylist()), np.int8).reshape(len(m), -1).astype(np.float32)
@@ -161,7 +170,7 @@ def _step(beam: int, wide: int):
     return run
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, degree: int = 44, partitions: int = 3, block: int = 96, rounds: int = 8, settled: float = 0.01, beam: int = 160, wide: int = 32, steps: int = 5) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, degree: int = 44, partitions: int = 3, block: int = 96, rounds: int = 8, settled: float = 0.01, beam: int = 160, wide: int = 32, entries: int = 128) -> DataFrame:
     """query_id, rank, vec_id, score: of each row whose vec_id ``every`` divides, its ``k`` nearest by inner product."""
     scratch = Scratch(vectors.sparkSession)
     bad = "exists(e, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
@@ -190,22 +199,35 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, degree: int = 44, p
     asks = query.select("node").distinct()
     q_code = coded.select("node", "code").join(asks, "node").select(F.col("node").alias("query"), "code")
     q_code = scratch.save(q_code)
-    state, ahead = None, asks.select(F.col("node").alias("query"), F.col("node").alias("u"))
-    for _ in range(steps):
+    longest_first = nodes.orderBy(F.expr(squares).desc(), "node").limit(entries).select("node")
+    seeded = nodes.orderBy(F.xxhash64("node"), "node").limit(entries).select("node")
+    starts = [(r.node, bytes(r.code)) for r in coded.join(F.broadcast(longest_first.union(seeded).distinct()), "node").select("node", "code").collect()]
+    kind = "array<struct<node: bigint, sim: float, open: boolean>>"
+    state, ahead, found = None, asks.select(F.col("node").alias("query"), F.col("node").alias("u")), []
+    while True:
         met = ahead.join(graph.links.select("u", "v"), "u").select("query", F.col("v").alias("node")).distinct()
         met = met.join(coded.select("node", "code"), "node").groupBy("query").agg(F.collect_list(F.struct("node", "code")).alias("met"))
-        step = q_code.join(met, "query", "left")
         if state is None:
-            step = step.withColumn("seen", F.expr("cast(null as array<struct<node: bigint, sim: float, open: boolean>>)"))
+            step = q_code.join(met, "query", "left").withColumn("seen", F.expr(f"cast(null as {kind})"))
         else:
-            step = step.join(state.select("query", "seen"), "query")
-        state = scratch.save(step.select("query", "code", "seen", "met").mapInArrow(_step(beam, wide), "query long, seen array<struct<node: bigint, sim: float, open: boolean>>, ahead array<long>"))
+            step = q_code.join(state.where("size(ahead) > 0").select("query", "seen"), "query").join(met, "query", "left")
+        last = state
+        state = scratch.save(step.select("query", "code", "seen", "met").mapInArrow(_step(beam, wide, starts), f"query long, seen {kind}, ahead array<long>"))
         del met, step
+        if last is not None:
+            scratch.drop(last)
         scratch.release()
+        at_end, going = state.selectExpr("count_if(size(ahead) = 0)", "count_if(size(ahead) > 0)").first()
+        if at_end:
+            found.append(scratch.save(state.where("size(ahead) = 0").select("query", F.explode("seen.node").alias("node"))))
+        if not going:
+            break
         ahead = state.select("query", F.explode("ahead").alias("u"))
 
-    pairs = state.select("query", F.explode("seen").alias("s")).select("query", F.col("s.node").alias("node"))
-    pairs = pairs.unionAll(asks.select(F.col("node").alias("query"), "node")).distinct()
+    pairs = asks.select(F.col("node").alias("query"), "node")
+    for f in found:
+        pairs = pairs.unionAll(f)
+    pairs = pairs.distinct()
     scored = pairs.join(nodes, "node").join(nodes.select(F.col("node").alias("query"), F.col("e").alias("q")), "query")
     dot = F.expr("aggregate(zip_with(e, q, (x, y) -> coalesce(x, 0D) * coalesce(y, 0D)), 0D, (a, x) -> a + x)")
     scored = scored.select("query", "node", dot.alias("score")).join(member, "node")

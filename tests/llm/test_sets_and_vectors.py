@@ -173,6 +173,31 @@ def test_neighbours(spark):
     assert neighbours.search(vectors.limit(0)).count() == 0
 
 
+def recall(spark, x, **settings):
+    """Share of the true 20 nearest, over all queries, of rows whose ids are their places in ``x``."""
+    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.search(vectors, **settings).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = []
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    return sum(hits) / len(hits)
+
+
+def test_search_goes_on_until_its_beam_is_opened_and_has_other_entries(spark):
+    rng = np.random.default_rng(1)
+    # Queries lie among short vectors that are linked to each other only; their nearest are the long ones.
+    x = rng.standard_normal((1200, 12)) * 0.3
+    long = np.arange(1200) % 20 >= 10
+    x[~long, 0] += 1
+    x[long, 0] += 1.5
+    x[long, 1] += 2.6
+    assert recall(spark, x, degree=16, beam=60, wide=8, rounds=4) >= 0.9
+
+
 def test_licenses(spark):
     grant = licenses.TEMPLATES["mit-grant"]
     noise = " ".join(f"n{i}" for i in range(40))
