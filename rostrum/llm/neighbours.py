@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: an NN-descent graph built by Spark joins, and greedy search on it.
 
 Equal vectors are one node. The largest inner product becomes the nearest angle by one added component that brings
-every vector to the same length. Nodes carry one byte a component for the graph and the search; the results are
-scored in double precision on the original vectors.
+every vector to the same length, that of the longest but a hundredth; the longer ones get none. Nodes carry two bytes a component for
+the graph and the search, each vector under its own scale; the results are scored in double precision on the original vectors.
 
 - Start: a few random partitions of space by hyperplane signs, their cells split into blocks of bounded size, and
   within each block every node's nearest.
@@ -41,19 +41,27 @@ def _binary(a: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in a], pa.binary())
 
 
-def _encode(dim: int, longest: float, top: float, cells: list, planes: int):
-    """Rows (node, vector) to (node, code, one cell a partition)."""
+def _encode(dim: int, unit: float, cells: list, planes: int):
+    """Rows (node, vector) to (node, code, one cell a partition).
+
+    A code is a scale and what the added component lacks to 1, in lengths of ``unit``, and the components in 2 ** 15 steps of the largest."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _dense(batch.column(1), dim)
-            x = np.hstack([x, np.sqrt(np.maximum(longest - (x * x).sum(1), 0))[:, None]])
-            code = np.clip(np.rint(x * (127 / top)), -127, 127).astype(np.int8)
+            most = np.abs(x).max(1)
+            x = x / most[:, None]
+            # Beyond a ratio of 1e15 to the unit, lengths count as alike; directions stay.
+            scale = np.exp(np.clip(np.log(most) - math.log(unit), -34.5, 34.5))
+            square = np.minimum((x * x).sum(1) * scale * scale, 1)
+            lack = square / (1 + np.sqrt(1 - square))
+            head = np.column_stack([scale / 32767, lack]).astype(np.float32).view(np.uint8)
+            code = np.hstack([head, np.rint(x * 32767).astype(np.int16).view(np.uint8)])
             keys = []
             for c in cells:
-                h = np.random.default_rng(c).standard_normal((dim + 1, planes))
+                h = np.random.default_rng(c).standard_normal((dim, planes))
                 keys.append(((x @ h) > 0) @ (1 << np.arange(planes)))
             keys = np.array(keys, np.int64).T
             yield pa.RecordBatch.from_arrays([batch.column(0), _binary(code), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "code", "cells"])
@@ -61,6 +69,13 @@ def _encode(dim: int, longest: float, top: float, cells: list, planes: int):
     return run
 
 
+def _decode(codes: list) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors in units, and what their added components lack to 1."""
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    head = raw[:, :8].copy().view(np.float32)
+    return raw[:, 8:].copy().view(np.int16) * head[:, :1], head[:, 1]
+
+
 def _nearest_within(keep: int):
     """Blocks of (node, code, floor) to each member's ``keep`` nearest others above its floor, as edges."""
 
@@ -72,8 +87,9 @@ def _nearest_within(keep: int):
                 if len(m) < 2:
                     continue
                 ids = m.field("node").to_numpy()
-                x = np.frombuffer(b"".join(m.field("code").to_pylist()), np.int8).reshape(len(m), -1).astype(np.float32)
-                s = x @ x.T
+                x, lack = _decode(m.field("code").to_pylist())
+                # The inner product with the added component, less 1: exact for short vectors too.
+                s = x @ x.T + np.outer(lack, lack) - lack[:, None] - lack
                 np.fill_diagonal(s, -np.inf)
                 k = min(keep, len(ids) - 1)
                 best = np.argpartition(-s, k - 1, axis=1)[:, :k]
@@ -141,23 +157,24 @@ def _step(beam: int, wide: int, entries: list):
     A query without ``seen`` begins: its own node counts as opened, the ``entries`` (node, code) as met.
     A node that fell out of the beam cannot return, as the beam only gets nearer; so every node is opened once at most."""
     entry_ids = [n for n, _ in entries]
-    entry_codes = np.frombuffer(b"".join(c for _, c in entries), np.int8).reshape(len(entries), -1).astype(np.float32)
+    entry_vectors, _ = _decode([c for _, c in entries])
 
     def run(batches):
         for batch in batches:
             ids, out, ahead = [], [], []
             for q, code, seen, met in zip(*(c for c in batch.columns)):
-                x = np.frombuffer(code.as_py(), np.int8).astype(np.float32)
-                x[-1] = 0  # the added component is the candidates' alone: what is left is the inner product
+                own = _decode([code.as_py()])[0][0]
+                x = own / np.abs(own).max()  # a query's length changes no order
                 if seen.is_valid:
                     have = {r["node"]: (r["sim"], r["open"]) for r in seen.as_py()}
                 else:
-                    have = {n: (s, False) for n, s in zip(entry_ids, (entry_codes @ x).tolist())}
-                    have[q.as_py()] = (float(x @ x), True)
+                    have = {n: (s, False) for n, s in zip(entry_ids, np.einsum("ij,j->i", entry_vectors, x).tolist())}
+                    have[q.as_py()] = (float(own @ x), True)
                 m = met.values
                 if m is not None and len(m):
-                    codes = np.frombuffer(b"".join(m.field("code").to_pylist()), np.int8).reshape(len(m), -1).astype(np.float32)
-                    for node, s in zip(m.field("node").to_pylist(), (codes @ x).tolist()):
+                    near, _ = _decode(m.field("code").to_pylist())
+                    # einsum scores a node alike in every batch, so that one that fell out stays out.
+                    for node, s in zip(m.field("node").to_pylist(), np.einsum("ij,j->i", near, x).tolist()):
                         have.setdefault(node, (s, False))
                 best = sorted(((s, n, o) for n, (s, o) in have.items()), key=lambda r: (-r[0], r[1]))[:beam]
                 go = {n for _, n, o in [r for r in best if not r[2]][:wide]}
@@ -181,14 +198,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, degree: int = 44, p
     # A node's number is unique: vectors that share their smallest id get numbers from their hash.
     lows = firsts.groupBy("low").agg(F.count(F.lit(1)).alias("same"))
     nodes = scratch.save(firsts.join(lows, "low").select(F.when(F.col("same") == 1, F.col("low")).otherwise(F.col("h")).alias("node"), "e"))
-    squares = "aggregate(e, 0D, (a, x) -> a + x * x)"
-    dim, longest, top, count = nodes.selectExpr("max(size(e))", f"max({squares})", "max(array_max(transform(e, x -> abs(x))))", "count(*)").first()
+    most = "array_max(transform(e, x -> abs(x)))"
+    length = f"{most} * sqrt(aggregate(zip_with(e, array_repeat({most}, size(e)), (x, m) -> x / m), 0D, (a, x) -> a + x * x))"
+    dim, unit, count = nodes.selectExpr("max(size(e))", f"percentile_approx({length}, 0.99D, 10000)", "count(*)").first()
     if not count:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    least = nodes.selectExpr(f"min({squares})").first()[0]
-    top = max(top, math.sqrt(max(0.0, longest - least)))
     planes = max(0, math.ceil(math.log2(max(1, count / block))))
-    coded = scratch.save(nodes.mapInArrow(_encode(dim, longest, top, list(range(partitions)), planes), "node long, code binary, cells array<long>"))
+    coded = scratch.save(nodes.mapInArrow(_encode(dim, unit, list(range(partitions)), planes), "node long, code binary, cells array<long>"))
     graph = Graph(scratch, coded, count, degree, partitions, block, rounds, settled)
 
     member = rows.join(nodes, "e").select("node", "vec_id").distinct()
@@ -199,7 +215,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, degree: int = 44, p
     asks = query.select("node").distinct()
     q_code = coded.select("node", "code").join(asks, "node").select(F.col("node").alias("query"), "code")
     q_code = scratch.save(q_code)
-    longest_first = nodes.orderBy(F.expr(squares).desc(), "node").limit(entries).select("node")
+    longest_first = nodes.orderBy(F.expr(length).desc(), "node").limit(entries).select("node")
     seeded = nodes.orderBy(F.xxhash64("node"), "node").limit(entries).select("node")
     starts = [(r.node, bytes(r.code)) for r in coded.join(F.broadcast(longest_first.union(seeded).distinct()), "node").select("node", "code").collect()]
     kind = "array<struct<node: bigint, sim: float, open: boolean>>"

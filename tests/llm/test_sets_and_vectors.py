@@ -198,6 +198,17 @@ def test_search_goes_on_until_its_beam_is_opened_and_has_other_entries(spark):
     assert recall(spark, x, degree=16, beam=60, wide=8, rounds=4) >= 0.9
 
 
+@pytest.mark.parametrize("spread", ["few long", "orders of magnitude"])
+def test_recall_when_lengths_differ_widely(spark, spread):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((800, 12))
+    if spread == "few long":
+        x[[7, 333, 501]] *= 1000
+    else:
+        x *= 10 ** rng.uniform(-3, 3, (800, 1))
+    assert recall(spark, x, degree=16, beam=60, wide=30, rounds=4) >= 0.9
+
+
 def test_licenses(spark):
     grant = licenses.TEMPLATES["mit-grant"]
     noise = " ".join(f"n{i}" for i in range(40))
