@@ -33,10 +33,12 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-LOGIN = re.compile(r"[^\s/?#@:\"'<>]{1,256}+(?::[^\s/?#@\"'<>]{0,256}+)?@[A-Za-z0-9.-]++(?::[0-9]{1,5})?")
+LOGIN = re.compile(r"[^\s/?#@:\"'<>]++(?::[^\s/?#@\"'<>]*+)?@[A-Za-z0-9.-]++(?::[0-9]{1,5})?")
 IBAN = re.compile(r"[ \t:=#.]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+IBAN_SIZE = dict(AT=20, BE=16, CH=21, CZ=24, DE=22, DK=18, ES=24, FI=18, FR=27, GB=22, IE=22, IT=27, LU=20, NL=18, NO=15, PL=28, PT=25, SE=24)
 ACCOUNT = re.compile(r"(?:[ \t]?(?:number|no\.?|nr\.?|id))?[ \t:=#.]{1,4}([0-9](?:[ -]?[0-9]){5,19})(?![0-9])", re.I)
-SECRET = re.compile(r"[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9_+/=.-]{16,512})(?![A-Za-z0-9_+/=.-])")
+SECRET = re.compile(r"[ \t]{0,3}[=:][ \t]{0,3}[\"']?")
+SECRET_RUN = re.compile(r"[A-Za-z0-9_+/=.-]*+")
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -62,7 +64,7 @@ def _digits(s: str) -> str:
 
 def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end), sorted."""
-    out, done, phoned = [], 0, 0
+    out, done, phoned, run = [], 0, 0, 0
     for last, (mark, size) in anchors.iter(text):
         at, end = last + 1 - size, last + 1
         if mark == "@":
@@ -83,13 +85,16 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int,
         elif at and text[at - 1].isalnum():
             continue  # the tail of a longer word
         elif mark == "iban":
-            if (m := IBAN.match(text, end)) and _iban(m[1]):
-                out.append((m.start(1), 5, m.end(1)))
+            if (m := IBAN.match(text, end)) and (size := _iban_size(m[1])):
+                out.append((m.start(1), 5, m.start(1) + size))
         elif mark == "account":
             if m := ACCOUNT.match(text, end):
                 out.append((m.start(1), 6, m.end(1)))
         elif m := SECRET.match(text, end):
-            out.append((m.start(1), 7, m.end(1)))
+            if m.end() >= run:  # else within the run read last, which has the same end: each run is read once
+                run = SECRET_RUN.match(text, m.end()).end()
+            if run - m.end() >= 16:
+                out.append((m.end(), 7, run))
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.groups()):
             out.append((m.start(), 1, m.end()))
@@ -104,6 +109,14 @@ def _iban(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban_size(s: str) -> int:
+    """How much of ``s`` is an IBAN, 0 for nothing: its country's length, else the longest; it ends where a word ends."""
+    cuts = [i for i in range(len(s), 14, -1) if s[i - 1] != " " and s[i : i + 1] in ("", " ")]
+    cuts = [i for i in cuts if len(s[:i].replace(" ", "")) >= 15]
+    cuts.sort(key=lambda i: len(s[:i].replace(" ", "")) != IBAN_SIZE.get(s[:2]))
+    return next((i for i in cuts if _iban(s[:i])), 0)
+
+
 def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 

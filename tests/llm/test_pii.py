@@ -60,3 +60,13 @@ def test_rows(spark):
     hidden = pii.mask(docs)
     assert hidden.schema == docs.schema and sorted(str(r.text) for r in hidden.collect()) == ["", "None", "mail [EMAIL]", "mail [EMAIL]"]
     assert pii.find(docs.limit(0)).collect() == []
+
+
+def test_long_and_followed_spans_are_found():
+    found = lambda t: [t[a:b] for a, k, b in pii.spans_of(t, pii.automaton()) if k >= 4]
+    assert found("IBAN DE89370400440532013000 EUR 500") == ["DE89370400440532013000"]
+    assert found("IBAN: DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("IBAN DE88370400440532013000 EUR 500") == []
+    assert found("token=" + "aB3_" * 500 + " end") == ["aB3_" * 500]
+    assert found("see db://" + "u" * 300 + ":" + "p" * 400 + "@host.org now") == ["u" * 300 + ":" + "p" * 400 + "@host.org"]
+    assert len(found("token=" * 20000)) > 19000  # linear
