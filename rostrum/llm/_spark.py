@@ -52,6 +52,17 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores in front as it takes to be none of ``df``'s columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Slices of a batch with about ``limit`` bytes of text (one row at least), each with its bytes and row offsets.
 

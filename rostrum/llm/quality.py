@@ -4,18 +4,19 @@ Lines are normalised (A-Z lower-cased, digits as 0, white space as one space) an
 host, the distinct documents that hold a line are counted; a line above both limits is boilerplate and is removed;
 a document that keeps too little is rejected as depleted.
 
-A document counts once however often it was copied: documents whose longest line (most words; the first of
-them) is the same are one document to the count, so a group of copies does not turn its own lines into boilerplate.
+A document is known by the hash of its whole text: exact copies count once, so that copying alone makes no line
+boilerplate, and texts that differ anywhere are two documents, whatever line they share.
 
-Defined cases: a null text has no words; a null host is a host of its own; a null or repeated ``doc_id`` is kept as
-it is, every input row gives one output row; an empty table gives an empty table; other columns are ignored.
+Defined cases: a null text has no words and counts as the empty text; a null host is a host of its own; a null or repeated
+``doc_id`` is kept as it is, every input row gives one output row of ``quality_rules``; an empty table gives an empty table; texts of
+any length are read whole; other columns, whatever their names, are ignored by ``quality_rules`` and kept by ``keep_good``.
 """
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm._spark import Scratch, text_slices
+from rostrum.llm._spark import Scratch, free_names, text_slices
 from rostrum.llm._words import LOWER, Words, mix, run_sums, runs, stretch, sums
 
 SYMBOLS = np.zeros(256, bool)
@@ -44,7 +45,7 @@ def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_facts(data: np.ndarray, offsets: np.ndarray, window: int = 5) -> dict:
-    """Base counts of each text, its normalised lines' hashes and word counts, and the hash of its longest line."""
+    """Base counts of each text, and its normalised lines' hashes and word counts; lines without a word are left out."""
     n = len(offsets) - 1
     words = Words(data, offsets)
     salt = mix(np.arange(n, dtype=np.uint64) + np.uint64(1))
@@ -79,14 +80,8 @@ def line_facts(data: np.ndarray, offsets: np.ndarray, window: int = 5) -> dict:
 
     plain = Words(PLAIN[data], offsets)
     lines = runs(run_sums(plain.hashes()), first, last)
-    size = last - first
     begin = np.searchsorted(text, np.arange(n + 1))
-    out |= {"line_hash": lines.view(np.int64), "line_words": size, "line_from": begin}
-    order = np.lexsort((np.arange(len(size)), -size, text))
-    longest = np.full(n, -1, np.int64)
-    longest[text[order[::-1]]] = lines.view(np.int64)[order[::-1]]  # the last written is the longest
-    out["longest"] = longest
-    return out
+    return out | {"line_hash": lines.view(np.int64), "line_words": last - first, "line_from": begin}
 
 
 def _facts(batches):
@@ -94,10 +89,14 @@ def _facts(batches):
         for rows, data, offsets in text_slices(batch, "text"):
             f = line_facts(data, offsets)
             begin = pa.array(f["line_from"], pa.int32())
-            cols = [rows.column(0), rows.column(1), rows.column(2)]
+            cols = rows.columns[:4]
             cols += [pa.array(f[c], pa.int64()) for c in COUNTS]
-            cols += [pa.ListArray.from_arrays(begin, pa.array(f["line_hash"], pa.int64())), pa.ListArray.from_arrays(begin, pa.array(f["line_words"], pa.int64())), pa.array(f["longest"], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["row_key", "doc_id", "host", *COUNTS, "line_hash", "line_words", "longest"])
+            cols += [pa.ListArray.from_arrays(begin, pa.array(f["line_hash"], pa.int64())), pa.ListArray.from_arrays(begin, pa.array(f["line_words"], pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["row_key", "text_id", "doc_id", "host", *COUNTS, "line_hash", "line_words"])
+
+
+def _row_key(host: str):
+    return F.xxhash64(F.lit(1), F.col("doc_id").isNull(), "doc_id", F.col(host).isNull(), host, F.col("text").isNull(), "text")
 
 
 def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 10, host_share: float = 0.1, min_left: float = 0.3, min_words: int = 10, max_repeat_pct: int = 20) -> DataFrame:
@@ -107,44 +106,68 @@ def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 10, hos
     ``host_share`` of the host's distinct documents. A document is depleted where removing those lines leaves
     fewer than ``min_words`` words or less than ``min_left`` of its words.
 
-    Returns row_key (hash of doc_id, host and text), doc_id, the counts, base_failed, kept, n_cut_words."""
+    Returns row_key (hash of doc_id, host and text), doc_id, the counts, base_failed, kept, n_cut_words, and cut_lines, the
+    hashes of the text's boilerplate lines (null for none)."""
     scratch = Scratch(docs.sparkSession)
-    key = F.xxhash64(F.lit(1), F.col("doc_id").isNull(), "doc_id", F.col(host).isNull(), host, F.col("text").isNull(), "text")
-    rows = docs.select(key.alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    schema = "row_key long, doc_id long, host string, " + "".join(f"{c} long, " for c in COUNTS) + "line_hash array<long>, line_words array<long>, longest long"
+    rows = docs.select(_row_key(host).alias("row_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
+    schema = "row_key long, text_id long, doc_id long, host string, " + "".join(f"{c} long, " for c in COUNTS) + "line_hash array<long>, line_words array<long>"
     facts = scratch.save(rows.mapInArrow(_facts, schema))
 
     host_id = F.xxhash64(F.col("host").isNull(), "host")
-    lines = facts.select(host_id.alias("host_id"), "longest", F.explode("line_hash").alias("line"))
-    hosts = facts.select(host_id.alias("host_id"), "longest").groupBy("host_id").agg(F.count_distinct("longest").alias("host_docs"))
-    counts = lines.groupBy("host_id", "line").agg(F.count_distinct("longest").alias("n")).where(F.col("n") >= min_docs)
+    lines = facts.select(host_id.alias("host_id"), "text_id", F.explode("line_hash").alias("line"))
+    hosts = facts.select(host_id.alias("host_id"), "text_id").groupBy("host_id").agg(F.count_distinct("text_id").alias("host_docs"))
+    counts = lines.groupBy("host_id", "line").agg(F.count_distinct("text_id").alias("n")).where(F.col("n") >= min_docs)
     # A line in more than a share s of a host's documents: at most (lines a document) / s of them a host.
     common = scratch.save(counts.join(hosts, "host_id").where(F.col("n") > host_share * F.col("host_docs")).select("host_id", "line"))
 
     pairs = facts.select("row_key", host_id.alias("host_id"), F.explode(F.arrays_zip("line_hash", "line_words")).alias("l"))
     pairs = pairs.select("row_key", "host_id", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("w"))
-    # Rows alike in id, host and text share a key and a verdict: the sum is divided by how many they are.
-    cut = pairs.join(common, ["host_id", "line"], "left_semi").groupBy("row_key").agg(F.sum("w").alias("cut_all"))
+    # Rows alike in id, host and text share a key and a verdict: the sum is divided by how many they are. A list holds one text's lines.
+    cut = pairs.join(common, ["host_id", "line"], "left_semi").groupBy("row_key").agg(F.sum("w").alias("cut_all"), F.collect_set("line").alias("cut_lines"))
     alike = facts.groupBy("row_key").agg(F.count(F.lit(1)).alias("alike"))
-    cut = cut.join(alike, "row_key").select("row_key", F.expr("cut_all div alike").alias("n_cut_words"))
+    cut = cut.join(alike, "row_key").select("row_key", F.expr("cut_all div alike").alias("n_cut_words"), "cut_lines")
     out = facts.select("row_key", "doc_id", *COUNTS).join(cut, "row_key", "left").withColumn("n_cut_words", F.coalesce("n_cut_words", F.lit(0)))
     left = F.col("n_words") - F.col("n_cut_words")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     depleted = (left < min_words) | (left < min_left * F.col("n_words"))
-    return out.select("row_key", "doc_id", *COUNTS, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_cut_words")
+    return out.select("row_key", "doc_id", *COUNTS, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_cut_words", "cut_lines")
+
+
+def without_lines(text: str, hashes, cut: set) -> str:
+    """``text`` less its lines whose hash is in ``cut``; ``hashes`` are those of its lines that have a word, in order."""
+    own = iter(hashes)
+    return "\n".join(x for x in text.split("\n") if not x.strip(" \t\v\f\r") or next(own) not in cut)
+
+
+def _cut(names: list, at: int):
+    """Rows of a document's columns and cut_lines to the same rows without those lines."""
+
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in text_slices(batch, names[at]):
+                texts, gone = rows.column(at).to_pylist(), rows.column(len(names)).to_pylist()
+                if any(gone):
+                    f = line_facts(data, offsets)
+                    for i, own in enumerate(gone):
+                        if own:
+                            texts[i] = without_lines(texts[i], f["line_hash"][f["line_from"][i] : f["line_from"][i + 1]].tolist(), set(own))
+                cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(rows.columns[: len(names)])]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return run
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, whole and unchanged."""
-    verdict = quality_rules(docs, **limits).where("kept").select("row_key").distinct()
-    host = limits.get("host", "source")
-    key = F.xxhash64(F.lit(1), F.col("doc_id").isNull(), "doc_id", F.col(host).isNull(), host, F.col("text").isNull(), "text")
-    return docs.withColumn("row_key", key).join(verdict, "row_key", "left_semi").drop("row_key")
+    """The rows of ``docs`` that the rules keep, their texts without boilerplate lines; other columns stay as they are."""
+    key, gone = free_names(docs, "row_key", "cut_lines")
+    verdict = quality_rules(docs, **limits).where("kept").select(F.col("row_key").alias(key), F.col("cut_lines").alias(gone)).dropDuplicates([key])
+    kept = docs.withColumn(key, _row_key(limits.get("host", "source"))).join(verdict, key).select(*docs.columns, gone)
+    return kept.mapInArrow(_cut(docs.columns, docs.columns.index("text")), docs.schema)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return quality_rules(docs).drop("row_key")
+    return quality_rules(docs).drop("row_key", "cut_lines")
 
 
 OP1_SQL = r"""
@@ -160,16 +183,12 @@ norm AS (
          regexp_replace(translate(array_to_string(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'), ' '),
            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS line
   FROM lines WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
-longest AS (
-  SELECT doc_id, source, line AS longest FROM norm
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, line_no) = 1),
-hosts AS (
-  SELECT b.source, count(DISTINCT coalesce(longest, '')) AS host_docs
-  FROM base b LEFT JOIN longest USING (doc_id) GROUP BY ALL),
+hosts AS (SELECT source, count(DISTINCT md5(text)) AS host_docs FROM base GROUP BY source),
+held AS (
+  SELECT n.source, n.line, count(DISTINCT md5(b.text)) AS n_docs FROM norm n JOIN base b USING (doc_id) GROUP BY n.source, n.line),
 common AS (
-  SELECT n.source, n.line FROM norm n JOIN longest l USING (doc_id) JOIN hosts h ON h.source IS NOT DISTINCT FROM n.source
-  GROUP BY n.source, n.line, h.host_docs
-  HAVING count(DISTINCT l.longest) >= 10 AND count(DISTINCT l.longest) > 0.1 * h.host_docs),
+  SELECT t.source, t.line FROM held t JOIN hosts h ON h.source IS NOT DISTINCT FROM t.source
+  WHERE n_docs >= 10 AND n_docs > 0.1 * host_docs),
 cut AS (
   SELECT n.doc_id, sum(w) AS cut FROM norm n JOIN common c ON c.line = n.line AND c.source IS NOT DISTINCT FROM n.source GROUP BY n.doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM norm GROUP BY doc_id),

@@ -14,6 +14,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     rnd = random.Random(9)
     vocab = [f"w{i}" for i in range(300)]
     rows = [(k, " ".join(rnd.choices(vocab, k=rnd.randint(3, 60))), "en", f"s{k % 4}") for k in range(150)]
+    rows = [(i, "Home About Contact\n" + t if h == "s3" else t, g, h) for i, t, g, h in rows]
     rows += [(200 + k, rows[k][1] + (" tail" if k % 2 else ""), "en", "s1") for k in range(40)]
     rows += [(300, "mail me a@b.co or +1 (234) 555-6789 " + " ".join(f"own{i}" for i in range(30)), "en", None), (301, None, None, None), (302, "a b " * 20, "de", "s2")]
     rows = [(*r, len(r[1] or "")) for r in rows]
@@ -24,8 +25,10 @@ def test_stages_equal_brute_force(spark, tmp_path):
     key = lambda r: tuple(map(str, r))
 
     good = stage["quality rules"](spark, docs, None)
-    verdict = brute_quality([(r[0], r[3], r[1]) for r in rows], 10, 0.1)
-    want = [r for r, v in zip(rows, verdict) if v[7]]
+    texts = []
+    verdict = brute_quality([(r[0], r[3], r[1]) for r in rows], 10, 0.1, texts)
+    want = [(r[0], t, *r[2:4], len(t)) for r, t, v in zip(rows, texts, verdict) if v[7]]
+    assert sum(v[8] > 0 for v in verdict) > 20
     assert sorted(map(tuple, good.collect()), key=key) == sorted(want, key=key) and good.columns == docs.columns
 
     one = stage["near-duplicates"](spark, good, None)

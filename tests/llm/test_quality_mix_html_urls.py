@@ -12,25 +12,28 @@ def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
-def brute_quality(rows, min_docs, share):
+def brute_quality(rows, min_docs, share, texts=None):
+    """Verdicts on (id, host, text); ``texts`` gets the texts without boilerplate lines."""
     norm = lambda line: re.sub("[0-9]", "0", " ".join(words(line)).translate(str.maketrans(urls.UPPER, urls.LOWER)))
     lines = [[norm(x) for x in (t or "").split("\n") if words(x)] for _, _, t in rows]
-    longest = [max(x, key=lambda s: len(s.split(" ")), default=None) for x in lines]
     hosts, seen = defaultdict(set), defaultdict(set)
-    for (_, h, _), own, top in zip(rows, lines, longest):
-        hosts[h].add(top)
+    for (_, h, t), own in zip(rows, lines):
+        hosts[h].add(t or "")
         for x in own:
-            seen[h, x].add(top)
+            seen[h, x].add(t or "")
     out = []
     for (i, h, t), own in zip(rows, lines):
         w = words(t)
         grams = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
         rep = {k + d for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for d in range(5)}
         raw = [x for x in (t or "").split("\n") if words(x)]
-        cut = sum(len(x.split(" ")) for x in own if len(seen[h, x]) >= min_docs and len(seen[h, x]) > share * len(hosts[h]))
+        common = {x for x in own if len(seen[h, x]) >= min_docs and len(seen[h, x]) > share * len(hosts[h])}
+        cut = sum(len(x.split(" ")) for x in own if x in common)
         failed = len(w) < 10 or 100 * len(rep) > 20 * len(w)
         left = len(w) - cut
         out.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(raw) - len(set(raw)), len(rep), failed, not failed and left >= 10 and left >= 0.3 * len(w), cut))
+        if texts is not None:
+            texts.append(None if t is None else "\n".join(x for x in t.split("\n") if not words(x) or norm(x) not in common))
     return out
 
 
@@ -42,13 +45,23 @@ def test_quality_equals_brute_force(spark):
     rows += [(200 + k, "a", body(5)) for k in range(40)]  # copies: their lines stay
     rows += [(300 + k, "a", "\n".join([bar] * 9 + [f"only{k} this"])) for k in range(20)]
     rows += [(5, "a", rows[5][2]), (None, None, None), (None, "a", ""), (7, "b", " \n\t\n"), (8, "b", "x " * 5000), (9, "b", "a b c d e a b c d e\n|#|\n|#|")]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, kept int")
-    got = quality.quality_rules(docs, min_docs=5, host_share=0.1).drop("row_key").collect()
+    # Different documents whose longest line is the same notice.
+    notice = "notice " + " ".join(f"n{i}" for i in range(40))
+    rows += [(400 + k, "c", f"{notice}\n" + " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}own{j}" for j in range(30 if k % 2 else 2))) for k in range(60)]
+    docs = spark.createDataFrame([(*r, 1, r[0]) for r in rows], "doc_id long, source string, text string, kept int, row_key long")
+    texts = []
+    want = brute_quality(rows, 5, 0.1, texts)
+    got = quality.quality_rules(docs, min_docs=5, host_share=0.1).drop("row_key", "cut_lines").collect()
     key = lambda r: tuple((x is not None, x) for x in r)
-    assert sorted(map(tuple, got), key=key) == sorted(brute_quality(rows, 5, 0.1), key=key)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert {r.doc_id for r in got if r.n_cut_words == 41} == {400 + k for k in range(60)}
     kept = quality.keep_good(docs, min_docs=5, host_share=0.1)
-    assert kept.columns == docs.columns and {200 + k for k in range(40)} <= {r.doc_id for r in kept.collect()}
-    assert quality.quality_rules(docs.limit(0)).count() == 0
+    assert kept.schema == docs.schema
+    good = [(i, h, t, 1, i) for (i, h, _), t, v in zip(rows, texts, want) if v[7]]
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted(good, key=key)
+    assert {401, 403} <= {r[0] for r in good} and not {400, 402} & {r[0] for r in good} and not any("notice" in r[2] for r in good)
+    assert {200 + k for k in range(40)} <= {r[0] for r in good}
+    assert quality.quality_rules(docs.limit(0)).count() == 0 and quality.keep_good(docs.limit(0)).count() == 0
 
 
 def test_flow_is_the_cheapest():
