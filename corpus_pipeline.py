@@ -9,9 +9,14 @@ from rostrum.llm import bpe, mixing, neardup, pii, quality
 from rostrum.llm._spark import Scratch
 
 
+def counted(docs):
+    """``n_chars`` of the text as it is now; unchanged where there is none."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+
+
 def quality_stage(spark, docs, sf_dir):
-    """Rejected documents go; the others stay as they are."""
-    return quality.keep_good(docs)
+    """Rejected documents go, and boilerplate lines of the others."""
+    return counted(quality.keep_good(docs))
 
 
 def near_dup_stage(spark, docs, sf_dir):
@@ -21,7 +26,7 @@ def near_dup_stage(spark, docs, sf_dir):
 
 def pii_stage(spark, docs, sf_dir):
     """Personal data is replaced by its kind."""
-    return pii.mask(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return counted(pii.mask(docs))
 
 
 def mix_stage(spark, docs, sf_dir):
