@@ -1,16 +1,16 @@
 """Personal data: anchors found by Aho-Corasick, expanded and validated by local parsers.
 
-One automaton pass finds at-signs, plus-signs, ``://`` and identifier cues. From an at-sign the parser walks left over
-local-part characters and right over a domain; a scheme is expanded to its account part; a cue to the account number,
-IBAN (mod 97) or credential that follows it. Addresses and card numbers start at digits and have no cue; they
-are read at their first digit. Every parser is linear in the text.
+One automaton pass finds at-signs, plus-signs, digits, ``://`` and identifier cues, in any case. From an at-sign the parser walks
+left over local-part characters and right over a domain; a scheme is expanded to its account part; a cue to the account number,
+IBAN (mod 97) or credential that follows it; from a digit start address and card number, which have no cue. Every parser is
+linear in the text.
 
 Base kinds: email, ip, card, phone, exactly the leftmost non-overlapping matches of their patterns, then validated.
 Added kinds: login (scheme://user:pass@), iban, account, secret.
 
 Defined cases: a null text is empty, without spans; positions are code points, end exclusive; texts are read whole;
-every input row gives one output row, repeated or null ids included; an empty table gives an empty table; other columns
-are ignored by ``find`` and kept by ``mask``.
+every input row gives one output row, repeated or null ids included; spans of different kinds may overlap; an empty table gives an
+empty table; other columns, whatever their names, are ignored by ``find`` and kept by ``mask``.
 """
 import hashlib
 import re
@@ -25,18 +25,19 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "iban", "account", "secret")
 CUES = {
     "iban": ("iban",),
-    "account": ("account", "acct", "konto", "kontonummer", "compte", "cuenta", "ssn", "passport"),
-    "secret": ("token", "secret", "password", "passwort", "api_key", "apikey"),
+    "account": ("account", "acct", "konto", "kontonummer", "compte", "cuenta", "ssn", "social security", "passport"),
+    "secret": ("token", "secret", "password", "passwort", "passwd", "pwd", "api_key", "apikey", "api-key", "api key", "access_key", "access-key", "secret_key", "private_key"),
 }
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+DIGITS = "0123456789"
+IP = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOGIN = re.compile(r"[^\s/?#@:\"'<>]++(?::[^\s/?#@\"'<>]*+)?@[A-Za-z0-9.-]++(?::[0-9]{1,5})?")
 IBAN = re.compile(r"[ \t:=#.]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 IBAN_SIZE = dict(AT=20, BE=16, CH=21, CZ=24, DE=22, DK=18, ES=24, FI=18, FR=27, GB=22, IE=22, IT=27, LU=20, NL=18, NO=15, PL=28, PT=25, SE=24)
-ACCOUNT = re.compile(r"(?:[ \t]?(?:number|no\.?|nr\.?|id))?[ \t:=#.]{1,4}([0-9](?:[ -]?[0-9]){5,19})(?![0-9])", re.I)
+ACCOUNT = re.compile(r"(?:[ \t]?(?:number|no\.?|nr\.?|id))?(?:[ \t](?:is|ist|est|es))?[ \t:=#.]{1,4}([A-Z]{0,2}[0-9](?:[ -]?[0-9]){5,19})(?![0-9])", re.I)
 SECRET = re.compile(r"[ \t]{0,3}[=:][ \t]{0,3}[\"']?")
 SECRET_RUN = re.compile(r"[A-Za-z0-9_+/=.-]*+")
 
@@ -45,10 +46,11 @@ def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for mark in ("@", "+", "://"):
         a.add_word(mark, (mark, len(mark)))
+    for digit in DIGITS:
+        a.add_word(digit, ("digit", 1))
     for kind, words in CUES.items():
         for w in words:
-            for form in (w, w.upper(), w.capitalize()):
-                a.add_word(form, (kind, len(form)))
+            a.add_word(w, (kind, len(w)))
     a.make_automaton()
     return a
 
@@ -62,12 +64,27 @@ def _digits(s: str) -> str:
     return re.sub("[^0-9]", "", s)
 
 
+def lowered(text: str) -> str:
+    """Lower case with every code point in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(x := c.lower()) > 1 else x for c in text)
+
+
 def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end), sorted."""
-    out, done, phoned, run = [], 0, 0, 0
-    for last, (mark, size) in anchors.iter(text):
+    out, done, phoned, addressed, carded, run = [], 0, 0, 0, 0, 0
+    for last, (mark, size) in anchors.iter(lowered(text)):
         at, end = last + 1 - size, last + 1
-        if mark == "@":
+        if mark == "digit":
+            if at >= addressed and (not at or text[at - 1] not in DIGITS) and (m := IP.match(text, at)):
+                addressed = m.end()
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.groups()):
+                    out.append((at, 1, addressed))
+            if at >= carded and (m := CARD.match(text, at)):
+                carded = m.end()
+                if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
+                    out.append((at, 2, carded))
+        elif mark == "@":
             left = at
             while left > done and text[left - 1] in LOCAL:
                 left -= 1
@@ -95,12 +112,6 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int,
                 run = SECRET_RUN.match(text, m.end()).end()
             if run - m.end() >= 16:
                 out.append((m.end(), 7, run))
-    for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.groups()):
-            out.append((m.start(), 1, m.end()))
-    for m in CARD.finditer(text):
-        if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
-            out.append((m.start(), 2, m.end()))
     return sorted(set(out))
 
 

@@ -44,6 +44,9 @@ def test_added_kinds():
     assert kinds("account number 12345678") == [("account", "12345678")]
     assert kinds('token = "abcdef0123456789abcd"') == [("secret", "abcdef0123456789abcd")]
     assert kinds("this broken = abcdef0123456789abcd") == []
+    assert kinds("İ API_Key = abcdef0123456789abcd") == kinds("İ aPi-kEY: abcdef0123456789abcd") == [("secret", "abcdef0123456789abcd")]
+    assert kinds("my SSN is 123-45-6789.") == [("account", "123-45-6789")] and kinds("Passport No. X1234567") == [("account", "X1234567")]
+    assert kinds("the accountant 12345678") == []
 
 
 def test_long_runs_are_linear():
