@@ -9,28 +9,43 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured, as in tests."""
+    """The folder that driver and executors share; a local one only on a local master where none is configured, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="rostrum-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+#: Rows in an Arrow batch: a few hundred long texts bound a Python worker's memory.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
-    """Tables of one job in the shared folder. ``save`` cuts the lineage: a lost executor costs no recomputation."""
+    """Tables of one job in the shared folder. ``save`` cuts the lineage: a lost executor costs no recomputation.
+
+    Results are lazy and read these tables, so they stay until ``close``, or until the driver ends."""
+
+    opened: list = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/rostrum-{uuid.uuid4().hex}"
         self.n = 0
-        # A few hundred long texts a batch bound a Python worker's memory.
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+        Scratch.opened.append(self)
+        if spark.conf.get(BATCH, None) is None:  # a session's own setting stays
+            spark.conf.set(BATCH, "500")
 
     def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
         """With ``rows``, about how many there are, a table is written in no more tasks than the cluster has use for: two a
         core, or one for each half million rows. Many tiny files cost more than the work they hold."""
         self.n += 1
+        if self.n == 1:
+            path, fs = self._at(self.root)
+            fs.mkdirs(path)
+            fs.deleteOnExit(path)
         if rows is not None:
             df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, rows // 500_000 + 1))
         path = f"{self.root}/{self.n}"
@@ -46,10 +61,21 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes saved tables that no later result reads."""
-        jvm = self.spark._jvm
         for f in frames:
-            path = jvm.org.apache.hadoop.fs.Path(f.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, fs = self._at(f.scratch_path)
+            fs.delete(path, True)
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    @classmethod
+    def close(cls, since: int = 0) -> None:
+        """Deletes the tables of all jobs but the first ``since``; only for when no result that reads them is still wanted."""
+        for s in cls.opened[since:]:
+            path, fs = s._at(s.root)
+            fs.delete(path, True)
+        del cls.opened[since:]
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
