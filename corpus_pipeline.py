@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents, with ``n_chars`` kept true to the text.
+
+Defined cases: null texts, without words, are rejected by the first stage; null ids, sources and other columns pass through; rows
+alike in id and text are near-duplicates of each other; an empty table gives an empty table; further columns of any name are kept
+up to the mix and left out by the last stage, whose columns are its own.
 """
 from pyspark.sql import functions as F
 
@@ -54,7 +58,9 @@ def run(spark, sf_dir):
     """All stages over ``documents``."""
     docs, scratch, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark), None
     for _, stage in STAGES:
+        opened = len(Scratch.opened)
         docs = scratch.save(stage(spark, docs, sf_dir))
+        Scratch.close(opened)  # the stage's own tables; its result is written
         if last is not None:
             scratch.drop(last)
         last = docs
