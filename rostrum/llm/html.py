@@ -1,22 +1,26 @@
 """HTML extraction by a maximum-scoring subsequence.
 
 A page is read as a sequence of tokens: words score positive and tags negative, with weights from labelled pages; one
-linear scan finds the contiguous region with the largest sum. The region is then widened to the nearest container
-element that holds all of it, so that short first or last paragraphs stay, and its blocks are written out.
+linear scan finds the contiguous region with the largest sum, and its blocks are the text. Words of links score negative in
+lists and bare containers, where menus are made of them, and by what the labelled pages show in paragraphs and headings. The
+tags that mark content, ``article`` and ``main``, stand at its edges and never within it, so a region seldom pays for crossing one.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are known by their element,
-role, or class and id words; what stands in them scores as tags do and is not written. Outside the region, blocks that
-are mostly links are left out.
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are known by their element or
+role, or by a class or id all of whose words say so (``cookie-notice``, ``site-header``; not ``share-price``); a block that
+stands in them scores as one tag does, and is not written where the region holds it.
 
 Weights are log odds of a token inside against outside the content of labelled pages, pages that mark their content with
-an ``article`` element. They are fitted on at most ``fit_pages`` of those, by seeded order; all pages are extracted.
+an ``article`` element, in units of a word's, within the bounds of ``BOUNDS``. They are fitted on at most ``fit_pages`` of those, by seeded order;
+all pages are extracted.
 
-Defined cases: null html is empty and gives an empty text; pages of any length are read whole; unclosed and cut-off
-markup is read as far as it goes; every input row gives one output row; an empty table gives an empty table.
+Defined cases: null html is empty and gives an empty text; pages of any length and depth of nesting are read whole, in linear
+time and memory; unclosed and cut-off markup is read as far as it goes; among equally good regions the first is taken; every input row
+gives one output row; an empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,47 +32,60 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']|
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 HINT = re.compile(r"\s(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed"}
+RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SKIP = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "button", "select", "iframe", "svg", "head", "textarea", "dialog", "menu", "object", "audio", "video", "canvas"}
 SKIP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar", "form"}
-SKIP_WORDS = set("ad ads advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments disqus reply replies respond footer header masthead topbar toolbar related recommended share sharing social newsletter subscribe signup login search widget widgets skip".split())
-CONTENT_WORDS = set("article content main post entry story body text page".split())
+SKIP_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments disqus reply replies respond footer header masthead topbar toolbar related recommended share sharing social newsletter subscribe signup login search widget widgets skip".split())
+#: Words that say nothing beside those.
+FILLERS = set("area bar block bottom box btn button buttons column container content form global inner item items left link links list main message page panel posts primary right row secondary section side site slot top trail user users wrap wrapper".split())
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "header", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "ul", "ol", "dl", "blockquote", "figure", "details", "center", "fieldset", "hgroup", "address"} | SKIP
-BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "br", "hr", "pre", "figcaption", "summary", "caption", "legend", "option"}
+PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "dd", "dt", "figcaption", "caption", "summary", "blockquote"}
+BLOCKS = CONTAINERS | PARAGRAPHS | {"li", "hr", "legend", "option"}
+EDGES = {"article", "main"}
+#: Tags within a line, and elements that show nothing where they stand.
+INLINE = {"a", "abbr", "b", "br", "cite", "code", "em", "font", "i", "img", "kbd", "mark", "q", "s", "script", "small", "span", "strong", "style", "sub", "sup", "time", "u", "wbr"}
+#: The range of each weight, in units of a word's: of words of links, of those in paragraphs, of tags, of tags within a line, and of
+#: those at content's edges.
+BOUNDS = {"link": (-2.0, -0.2), "plink": (-0.5, 1.0), "tag": (-0.6, -0.05), "inline": (-0.1, -0.01), "edge": (-400.0, -200.0)}
 #: Until pages are labelled.
-DEFAULT = {"word": 1.0, "link": -1.0, "tag": -1.5}
+DEFAULT = {"word": 1.0, "link": -1.0, "plink": 0.5, "tag": -0.3, **{f"<{t}>": -0.05 for t in PARAGRAPHS | INLINE}, **{f"<{t}>": -200.0 for t in EDGES}}
+
+
+def _range(kind: str) -> tuple[float, float]:
+    name = kind[1:-1] if kind.startswith("<") else ""
+    return BOUNDS["edge" if name in EDGES else "inline" if name in INLINE else kind if kind in BOUNDS else "tag"]
 
 
 def _skipped(name: str, tag: str, in_article: bool) -> bool:
     if name in SKIP or name == "header" and not in_article:
         return True
-    if name in ("html", "body", "main", "article") or " " not in tag:
+    if name in ("html", "body", *EDGES) or " " not in tag:
         return False
     for m in HINT.finditer(tag):
-        value = (m[2] or m[3] or m[4] or "").lower()
+        value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
-            if value in SKIP_ROLES:
+            if value.lower() in SKIP_ROLES:
                 return True
         else:
-            # The words of one class or id; "post-header" is the post's own.
             for one in value.split():
-                words = set(re.split(r"[-_]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", one)))
-                if words & SKIP_WORDS and not words & CONTENT_WORDS:
+                words = set(re.split(r"[-_]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", one).lower())) - {""}
+                if words & SKIP_WORDS and all(w in SKIP_WORDS or w in FILLERS or w.isdigit() for w in words):
                     return True
     return False
 
 
 class Page:
-    """blocks: (text, container's path, number of words, link words, tags before it, skipped). One pass over the source."""
+    """blocks: (text, number of words, of link words, of those in a paragraph, tags before it, skipped). One pass over the source."""
 
     def __init__(self, source: str):
         self.blocks: list = []
-        self.path: tuple = ()
-        stack: list = []  # (name, skips, own number); containers only
         self.tags: list = []
+        stack: list = []  # (name, skips) of open containers
+        open_: Counter = Counter()  # their names
         parts: list = []
-        links = skipping = depth_a = articles = count = 0
-        link_words = 0
+        skipping = depth_a = link_words = 0
+        paragraph = False
         at, n = 0, len(source)
 
         def flush():
@@ -76,7 +93,8 @@ class Page:
             text = html.unescape("".join(parts))
             words = text.split()
             if words:
-                self.blocks.append((" ".join(words), tuple(x[2] for x in stack), len(words), min(link_words, len(words)), self.tags, skipping > 0))
+                links = min(link_words, len(words))
+                self.blocks.append((" ".join(words), len(words), links, links if paragraph else 0, self.tags, skipping > 0))
                 self.tags = []
             parts, link_words = [], 0
 
@@ -101,44 +119,57 @@ class Page:
             closing = tag[1] == "/"
             if name in BLOCKS:
                 flush()
-            self.tags.append(name)
+                paragraph = not closing and name in PARAGRAPHS
+            elif name == "br":
+                parts.append("\n")
+            if not skipping:
+                self.tags.append(name)
             if closing:
                 if name == "a":
                     depth_a = 0
-                if name in CONTAINERS and any(x[0] == name for x in stack):
+                if open_[name]:
                     while True:
-                        x = stack.pop()
-                        skipping -= x[1]
-                        articles -= x[0] in ("article", "main")
-                        if x[0] == name:
+                        last, skips = stack.pop()
+                        skipping -= skips
+                        open_[last] -= 1
+                        if last == name:
                             break
                 continue
             if name == "a":
                 depth_a = 1
             elif name in RAW:
-                end = re.compile(rf"</{name}\b", re.I).search(source, at)
+                end = RAW_END[name].search(source, at)
                 at = end.start() if end else n
                 continue
             if name in CONTAINERS and name not in VOID and not tag.endswith("/>"):
-                count += 1
-                skips = _skipped(name, tag, articles > 0)
-                stack.append((name, skips, count))
+                skips = _skipped(name, tag, any(open_[e] for e in EDGES))
+                stack.append((name, skips))
                 skipping += skips
-                articles += name in ("article", "main")
+                open_[name] += 1
         flush()
 
 
+def block_score(block: tuple, weights: dict) -> float:
+    _, words, links, plinks, _, skipped = block
+    if skipped:
+        return weights["tag"]
+    return (words - links) * weights["word"] + (links - plinks) * weights["link"] + plinks * weights["plink"]
+
+
+def tag_score(tag: str, weights: dict) -> float:
+    return weights.get(f"<{tag}>", weights["tag"])
+
+
 def region(page: Page, weights: dict) -> tuple[int, int]:
-    """First and one past last block of the largest sum; (0, 0) where no sum is positive."""
-    word, link, tag = max(weights["word"], 0.1), weights["link"], weights["tag"]
+    """First and one past last block of the largest sum, tags between its blocks included; (0, 0) where no sum is positive."""
     best = total = 0.0
     begin = first = last = 0
-    for i, (_, _, words, links, tags, skipped) in enumerate(page.blocks):
-        for t in tags:
-            total += min(weights.get(f"<{t}>", tag), -0.05)
+    for i, block in enumerate(page.blocks):
+        for t in block[4]:
+            total += tag_score(t, weights)
             if total <= 0:
                 total, begin = 0.0, i
-        total += words * tag if skipped else (words - links) * word + links * min(link, 0.0)
+        total += block_score(block, weights)
         if total <= 0:
             total, begin = 0.0, i + 1
         elif total > best:
@@ -149,36 +180,27 @@ def region(page: Page, weights: dict) -> tuple[int, int]:
 def extract(source: str, weights: dict = DEFAULT) -> str:
     page = Page(source)
     first, last = region(page, weights)
-    if first == last:
-        return ""
-    own = [b[1] for b in page.blocks[first:last] if not b[5]]
-    shared = own[0]
-    for p in own:
-        k = 0
-        while k < min(len(shared), len(p)) and shared[k] == p[k]:
-            k += 1
-        shared = shared[:k]
-    out = []
-    for i, (text, path, words, links, _, skipped) in enumerate(page.blocks):
-        if not skipped and path[: len(shared)] == shared and (first <= i < last or 2 * links <= words):
-            out.append(text)
-    return "\n".join(out)
+    return "\n".join(b[0] for b in page.blocks[first:last] if not b[5])
 
 
 def _counts(source: str) -> dict:
-    """Tokens inside and outside the first article element, as (kind, inside): number."""
+    """Tokens inside and outside the first article element, as (kind, inside): number. Its own tags stand outside."""
     low = source.lower()
-    a = low.find("<article")
+    a = source.find(">", low.find("<article")) + 1
     b = low.find("</article", a)
-    out: dict = {}
+    out: Counter = Counter()
     for inside, piece in ((1, source[a:b]), (0, source[:a]), (0, source[b:])):
         page = Page(piece)
-        for _, _, words, links, tags, _ in page.blocks:
-            for k, n in (("word", words - links), ("link", links)):
-                out[k, inside] = out.get((k, inside), 0) + n
+        for _, words, links, plinks, tags, _ in page.blocks:
+            out["word", inside] += words - links
+            out["link", inside] += links - plinks
+            out["plink", inside] += plinks
             for t in tags:
-                for k in ("tag", f"<{t}>"):
-                    out[k, inside] = out.get((k, inside), 0) + 1
+                out["tag", inside] += 1
+                out[f"<{t}>", inside] += 1
+        for t in page.tags:  # after the last block
+            out["tag", inside] += 1
+            out[f"<{t}>", inside] += 1
     return out
 
 
@@ -199,16 +221,20 @@ def fit_weights(pages: DataFrame, fit_pages: int = 2000, seed: int = 5) -> dict:
             for t in batch.column(0).to_pylist():
                 for k, n in _counts(t).items():
                     total[k] = total.get(k, 0) + n
-        rows = [(k, i, n) for (k, i), n in total.items() if not k.startswith("<") or k[1:-1] in BLOCKS | VOID | {"a", "b", "i", "em", "strong", "span"}]
+        rows = [(k, i, n) for (k, i), n in total.items() if not k.startswith("<") or k[1:-1] in BLOCKS | VOID | EDGES | INLINE]
         yield pa.RecordBatch.from_pylist([{"kind": k, "inside": i, "n": n} for k, i, n in rows], pa.schema([("kind", pa.string()), ("inside", pa.int32()), ("n", pa.int64())]))
 
     found = sample.mapInArrow(run, "kind string, inside int, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()
     n = {(r.kind, r.inside): r.n for r in found}
     sides = [sum(v for (k, i), v in n.items() if i == side and not k.startswith("<")) + 1 for side in (0, 1)]
     odds = lambda k: math.log((n.get((k, 1), 0) + 1) / sides[1]) - math.log((n.get((k, 0), 0) + 1) / sides[0])
-    weights = {k: odds(k) for k in {k for k, _ in n} | {"word", "link", "tag"}}
-    # Words stay positive and tags negative whatever the labels say.
-    return {k: max(w, 0.1) if k == "word" else min(w, -0.05) for k, w in weights.items()}
+    unit = max(odds("word"), 0.1)
+    weights = {}
+    for k in {k for k, _ in n} - {"word"} | set(DEFAULT):
+        low, high = _range(k)
+        seen = n.get((k, 0), 0) + n.get((k, 1), 0)
+        weights[k] = min(max(odds(k) / unit, low), high) if seen >= 50 else DEFAULT.get(k, DEFAULT["tag"])
+    return weights | {"word": 1.0}
 
 
 def extract_pages(pages: DataFrame, weights: dict) -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -126,6 +127,41 @@ def test_html():
     assert html.extract("<p>one two three<!-- no --> four &am") == "one two three four &am"
 
 
+def test_region_is_the_best_of_all():
+    rnd = random.Random(4)
+    pieces = ["<p>", "</p>", "<div>", "</div>", "<ul><li><a href=x>go on</a></ul>", "one two ", "three ", "<article>", "</article>", "<nav>", "</nav>", "<h2>", "<a>", "</a>", "<br>", "four five six seven "]
+    weights = html.DEFAULT | {"tag": -1.0, "<article>": -6.0, "<p>": -0.4}
+    several = 0
+    for _ in range(500):
+        page = html.Page("".join(rnd.choices(pieces, k=rnd.randint(1, 40))))
+        blocks = page.blocks
+
+        def total(i, j):
+            tags = [t for b in blocks[i + 1 : j] for t in b[4]]
+            return sum(html.block_score(b, weights) for b in blocks[i:j]) + sum(html.tag_score(t, weights) for t in tags)
+
+        best = max([total(i, j) for i in range(len(blocks)) for j in range(i + 1, len(blocks) + 1)], default=0.0)
+        first, last = html.region(page, weights)
+        assert (first, last) == (0, 0) if best <= 1e-9 else abs(total(first, last) - best) < 1e-9
+        several += last - first > 1 and (first > 0 or last < len(blocks))
+    assert several > 30
+
+
+def test_html_words_of_the_article_stay():
+    body = "<p>Some words of the article that are quite a few.</p>"
+    page = f'''<div class="site-header"><p>Site and its long motto of many words</p></div><div class="search-results-study">{body}<div class="share-price"><p>The price.</p></div>
+<p>A line<br>broken   in<br/>three.</p><div class="related-posts"><p>More to read here and there and on and on</p></div><ul><li>item one of it</li><li>two</li></ul><p><a href=x>Read the whole study</a></p></div><div id="userComments"><p>I say so, and so do many others here</p></div>'''
+    want = "Some words of the article that are quite a few.\nThe price.\nA line broken in three.\nitem one of it\ntwo\nRead the whole study"
+    assert html.extract(page) == want
+    assert html.extract(f"<div><p>Some tagline of a few words</p></div><main>{page}</main><div><p>Small print, all of it</p></div>") == want
+
+
+def test_html_deep_nesting_is_linear():
+    deep = "<div>a " * 60_000 + "</section>" * 60_000
+    assert html.extract(deep).count("a") == 60_000
+    assert html.extract("<a href=\"" * 30_000) == ""
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     out = html.extract_pages(pages, html.fit_weights(pages)).collect()
