@@ -79,6 +79,36 @@ def test_flow_is_the_cheapest():
     assert second == best == 6
 
 
+def test_flows_of_overlapping_sources_equal_enumeration():
+    rnd = random.Random(6)
+    for _ in range(60):
+        names = ["a", "b", None][: rnd.randint(1, 3)]
+        keys = {tuple(sorted(rnd.sample(names, rnd.randint(1, len(names))), key=mixing.by_code_point)) for _ in range(3)}
+        patterns = {k: rnd.randint(0, 4) for k in keys}
+        quotas = {s: rnd.randint(0, 9) for s in names}
+        got = mixing.route(patterns, quotas, 2)
+        assert got == mixing.route(dict(reversed(patterns.items())), dict(reversed(quotas.items())), 2)
+
+        def fits(give):
+            """Hall's condition: no set of patterns gives more than all of its sources take."""
+            for n in range(1, len(give) + 1):
+                for some in itertools.combinations(give, n):
+                    if sum(give[p] for p in some) > sum(quotas[s] for s in {s for p in some for s in p}):
+                        return False
+            return True
+
+        cost = lambda give: (-sum(give.values()), sum(max(0, v - patterns[p]) for p, v in give.items()))
+        every = (dict(zip(patterns, v)) for v in itertools.product(*[range(2 * n + 1) for n in patterns.values()]))
+        assert fits(got) and cost(got) == min(cost(g) for g in every if fits(g))
+
+
+def test_flow_of_many_patterns_is_quick():
+    rnd = random.Random(8)
+    patterns = {tuple(sorted(rnd.sample([f"s{i:02}" for i in range(60)], 3))): rnd.randint(1, 10**6) for _ in range(8000)}
+    got = mixing.route(patterns, {f"s{i:02}": 2 * 10**8 for i in range(60)}, 2)
+    assert all(0 <= v <= 2 * patterns[p] for p, v in got.items())
+
+
 def test_targets():
     sizes = {"a": 10, "b": 100, "c": 50}
     got = mixing.targets(sizes, {"a": 3, "b": 1, "c": 2}, 240, 2)
@@ -87,23 +117,44 @@ def test_targets():
 
 def test_mix(spark):
     rows = [(k, None if k % 4 == 0 else f"s{k % 4}", "w " * (k % 17)) for k in range(400)]
-    rows += [(1, "s1", "w "), (1, "s1", "w "), (None, "s2", None), (None, None, "a b")]
-    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, source string, text string, size int")
-    out = mixing.mix(docs.drop("size"), bucket_docs=20).collect()
-    assert len(out) == len(rows)
+    rows += [(1, "s1", "w "), (1, "s1", "w "), (None, "s2", None), (None, None, "a b"), (900, "s3", "w " * 30_000)]
+    docs = spark.createDataFrame([(*r, 5, "x", "y") for r in rows], "doc_id long, source string, text string, size int, key string, taken string")
+    out = mixing.mix(docs, bucket_docs=20).collect()
+    assert len(out) == len(rows) and out[0].asDict().keys() == {"doc_id", "source", "text", "key", "size", "source_size", "target", "taken"}
     by = defaultdict(lambda: [0, 0, 0])
     for r in out:
-        assert r.taken in (0, r["size"], 2 * r["size"]) and r["size"] == len(words(r.text))
+        assert r.taken in (0, r["size"], 2 * r["size"]) and r["size"] == len(words(r.text)) and r.key == "x"
         by[r.source][0] += r["size"]
         by[r.source][1] += r.taken
         by[r.source][2] = r.target
-    goal = mixing.targets({s: v[0] for s, v in by.items()}, {"s1": 3, "s2": 1, "s3": 2, None: 3}, 1.5 * sum(v[0] for v in by.values()), 2)
+    goal = mixing.targets({s: by[s][0] for s in ("s1", "s2", "s3", None)}, {"s1": 3, "s2": 1, "s3": 2, None: 3}, 1.5 * sum(v[0] for v in by.values()), 2)
     for s, (n, taken, target) in by.items():
-        assert target == pytest.approx(goal[s]) and target - 20 <= taken <= target + 1
-    again = mixing.mix(docs.drop("size").repartition(7), bucket_docs=20).collect()
+        assert target == pytest.approx(goal[s]) and target - (20 if s != "s3" else 30_000) <= taken <= target + 1
+    again = mixing.mix(docs.repartition(7), bucket_docs=20).collect()
     assert sorted(map(str, again)) == sorted(map(str, out))
-    assert mixing.repeated(docs.drop("size")).count() == sum(r.taken // r["size"] for r in mixing.mix(docs.drop("size")).collect() if r["size"])
-    assert mixing.mix(docs.drop("size").limit(0)).count() == 0
+    twice = mixing.repeated(docs, bucket_docs=20)
+    assert twice.schema == docs.schema and twice.count() == sum(r.taken // r["size"] for r in out if r["size"])
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.repeated(docs.limit(0)).count() == 0
+    overlap = mixing.mix(docs.selectExpr("doc_id", "text", "if(doc_id % 3 = 0, array(source, 'all'), array(source)) own"), members="own", bucket_docs=20).collect()
+    assert len(overlap) == len(rows) and all(r.taken in (0, r["size"], 2 * r["size"]) for r in overlap)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, max_patterns=2)
+
+
+def test_mix_takes_the_seeded_choice(spark):
+    """Every document before the one where a source's words run out is taken, none after it, unless a whole one still fits in its bucket."""
+    rows = [(k, "abc"[k % 3], " ".join(["w"] * (1 + k % 5))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    place = docs.selectExpr("doc_id", f"xxhash64(11, doc_id is null, doc_id, text) & {(1 << 53) - 1} p")
+    out = mixing.mix(docs, bucket_docs=1_000).join(place, "doc_id").collect()
+    for s in "abc":
+        own = sorted((r for r in out if r.source == s), key=lambda r: (r.p, r["size"]))
+        n, target = sum(r["size"] for r in own), int(own[0].target)
+        room, full = target % n, target // n
+        for r in own:
+            fits = r["size"] <= room
+            room -= r["size"] if fits else 0
+            assert r.taken == r["size"] * (full + fits)
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><a href=x>Home</a></header>
