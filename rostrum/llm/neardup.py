@@ -16,25 +16,26 @@ Candidates must agree in enough coordinates (far below the threshold's expectati
 full sets, recomputed from the texts. Candidates within one component need no confirmation, so each class's likeliest
 candidate is confirmed first, and then those that still lie across components.
 
-With 12 trees a pair at 0.8 exactly is missed with probability 2e-5 where it meets in nodes of the first depth and
-7e-4 at the last.
+Trees share the 128 coordinates and are not quite independent: with 12 trees a pair at 0.8 exactly that shares no other path
+to its component is missed with probability 2e-5 where it meets in nodes of the first depth and 3e-3 at the last; at 0.9 both are below 1e-6.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; a text of fewer than k words
 has its whole word sequence as its only shingle; a component's id is its smallest non-null doc_id, null if it has none;
-repeated rows are members of one class; an empty table gives an empty table; other columns are ignored.
+repeated rows are members of one class; texts of any length are read whole; an empty table gives an empty table; other columns,
+whatever their names, are ignored by ``near_dups`` and kept by ``drop_near_dups``.
 """
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm._spark import Scratch, text_slices
+from rostrum.llm._spark import Scratch, free_names, text_slices
 from rostrum.llm._words import LOWER, U, Words, mix, run_sums, runs
 from rostrum.llm.components import components
 
 COORDS = 128
-#: A broadcast of at most so many rows of two longs; beyond it the join shuffles.
-SMALL = 1 << 21
+#: Blocks of outside members that one task compares with a node's others.
+TOGETHER = 8
 _MUL = mix(np.arange(1, COORDS + 1, dtype=U)) | U(1)
 _ADD = mix(np.arange(1001, COORDS + 1001, dtype=U))
 
@@ -249,8 +250,7 @@ def near_dups(docs: DataFrame, k: int = 5, pct: int = 80, trees: int = 12, depth
 
     needed = likely.selectExpr("a as cls").unionAll(likely.selectExpr("b as cls")).unionAll(dense.select("cls")).distinct()
     needed = scratch.save(per.join(needed, "cls").select("row_key", "cls"), n)
-    mine = F.broadcast(needed) if needed.count() <= SMALL else needed
-    sets = rows.select("row_key", "text").join(mine, "row_key").select("cls", "text").mapInArrow(_sets(k), "cls long, hashes binary")
+    sets = rows.select("row_key", "text").join(needed, "row_key").select("cls", "text").mapInArrow(_sets(k), "cls long, hashes binary")
     sets = scratch.save(sets.groupBy("cls").agg(F.first("hashes").alias("hashes")), 4 * n)
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -282,10 +282,13 @@ def near_dups(docs: DataFrame, k: int = 5, pct: int = 80, trees: int = 12, depth
         mixed = mixed.withColumn("blk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / block)))
 
         def blocks(part: DataFrame, name: str) -> DataFrame:
-            return part.groupBy("node", "blk").agg(F.collect_list(F.struct("cls", "root", "hashes")).alias(name)).drop("blk")
+            return part.groupBy("node", "blk").agg(F.collect_list(F.struct("cls", "root", "hashes")).alias(name))
 
         mixed = scratch.save(mixed.select("node", "cls", "root", "main", "hashes", "blk"), 10 * n)
-        across = blocks(mixed.where("root <> main"), "x").join(blocks(mixed, "y"), "node").select("x", "y")
+        # A node's outside blocks are dealt to groups, each a key of its own, and its blocks go to every group.
+        outside = blocks(mixed.where("root <> main"), "x").withColumn("g", F.expr(f"blk div {TOGETHER}"))
+        every = blocks(mixed, "y").drop("blk").join(outside.select("node", "g").distinct(), "node")
+        across = outside.join(every, ["node", "g"]).select("x", "y")
         last = scratch.save(across.mapInArrow(_across(pct), "a long, b long"))
         if last.limit(1).count():
             roots = scratch.save(components(scratch, links.unionAll(last), rows=4 * n), n)
@@ -318,12 +321,11 @@ def _sets(k: int):
 
 def drop_near_dups(docs: DataFrame, **options) -> DataFrame:
     """One row of each group of near-duplicates: one with the component's id; texts without words all stay."""
-    found = near_dups(docs, **options)
-    keep = found.where("kept").select("row_key").distinct()
-    rows = docs.withColumn("row_key", F.expr("xxhash64(doc_id is null, doc_id, text)"))
-    kept = rows.join(keep, "row_key", "left_semi")
+    (key,) = free_names(docs, "row_key")
+    keep = near_dups(docs, **options).where("kept").select(F.col("row_key").alias(key)).distinct()
+    kept = docs.withColumn(key, F.expr("xxhash64(doc_id is null, doc_id, text)")).join(keep, key, "left_semi")
     # Rows alike in id and text are copies of each other.
-    return kept.dropDuplicates(["row_key"]).drop("row_key")
+    return kept.dropDuplicates([key]).select(*docs.columns)
 
 
 def op7_near_dups(spark, sf_dir: str) -> DataFrame:

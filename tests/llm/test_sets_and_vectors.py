@@ -51,6 +51,7 @@ def corpus(seed, copies=60):
             w[rnd.randrange(len(w))] = rnd.choice(vocab)
         rows.append((1000 + c, " ".join(w)))
     rows += [(2000 + c, rows[3][1].upper().replace("É", "é")) for c in range(20)]
+    rows += [(2500, long := " ".join(rnd.choices(vocab, k=30_000))), (2501, long + " more")]
     rows += [(3000, None), (3001, ""), (3002, " \n\t"), (3003, "one"), (3004, "ONE"), (None, "one"), (None, None), (5, rows[5][1])]
     return rows
 
@@ -58,12 +59,12 @@ def corpus(seed, copies=60):
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_dups_equal_brute_force(spark, k):
     rows = corpus(k)
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int")
+    docs = spark.createDataFrame([(*r, 1, 7) for r in rows], "doc_id long, text string, n int, row_key int")
     for leaf, block in ((16, 64), (2, 8)):
         got = neardup.near_dups(docs, k=k, leaf=leaf, block=block).drop("row_key").collect()
         assert sorted(map(tuple, got), key=str) == brute_groups(rows, k)
     kept = neardup.drop_near_dups(docs, k=k)
-    assert kept.columns == docs.columns
+    assert kept.schema == docs.schema
     want = {(i, t) for (i, t), (_, _, _, keep) in zip(rows, sorted_rows(rows, k)) if keep}
     assert {(r.doc_id, r.text) for r in kept.collect()} == want and kept.count() == len(want)
     assert neardup.near_dups(docs.limit(0)).count() == 0
