@@ -15,8 +15,8 @@ Texts with equal words form a class of copies; a class is handled once, and all
 Confirmed matches that overlap or touch are joined to spans.
 
 Defined cases: a null text, or one of fewer than ``least`` words, has none; words are compared as written; rows alike in id and
-text are copies of each other; a passage that occurs twice in one text only is not reported; an empty table gives an
-empty table; other columns are ignored.
+text are copies of each other; a passage that occurs twice in one text only is not reported; texts of any length are read whole; an
+empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ from rostrum.llm._spark import Scratch, text_slices
 from rostrum.llm._words import U, Words, run_sums, runs
 
 GAP = 16
-#: A broadcast of at most so many positions; beyond it the join shuffles.
-SMALL = 1 << 22
+#: A stem or window that many texts share is dealt to so many tasks.
+SALTS = 16
 
 
 def selected(words: Words, total: np.ndarray, least: int) -> np.ndarray:
@@ -142,6 +142,21 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]), kinds[i]) for i in range(4)], ["cls", "pos", "l", "key"])
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cls", "pos"), F.lit(SALTS)))
+
+
+def _of_several(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` two classes have at least, with c0 and c1, the smallest and largest of them, and salt.
+
+    Rows of one key are first summed up by salt, and only these sums, at most ``SALTS`` a key, meet in one task."""
+    rows = _salted(rows)
+    sums = rows.groupBy(key, "salt").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1"))
+    w = Window.partitionBy(key)
+    sums = sums.select(key, "salt", F.min("c0").over(w).alias("c0"), F.max("c1").over(w).alias("c1")).where("c0 <> c1")
+    return rows.join(sums, [key, "salt"])
+
+
 def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     """doc_id, start_word, end_word (exclusive) of each span of ``docs`` covered by passages of at least ``least`` words
     that another row has too, n_words, and with_doc_id, the smallest id of a text that shares some of it."""
@@ -155,12 +170,9 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     classes = scratch.save(classes)
 
     each = facts.select("cls", F.explode(F.arrays_zip("stem", "pos")).alias("s")).select("cls", F.col("s.stem").alias("stem"), F.col("s.pos").alias("pos"))
-    shared = each.groupBy("stem").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 <> c1").select("stem")
-    want = each.join(shared, "stem", "left_semi").groupBy("cls").agg(F.collect_set("pos").alias("pos"))
+    want = _of_several(each, "stem").groupBy("cls").agg(F.collect_set("pos").alias("pos"))
     want = scratch.save(want.join(classes.select("cls", "row_key"), "cls").select("row_key", "cls", "pos"))
-    many = want.agg(F.sum(F.size("pos"))).first()[0] or 0
-    mine = F.broadcast(want) if many <= SMALL else want
-    suffixes = rows.select("row_key", "text").join(mine, "row_key").select("cls", "text", "pos").dropDuplicates(["cls"])
+    suffixes = rows.select("row_key", "text").join(want, "row_key").select("cls", "text", "pos").dropDuplicates(["cls"])
     suffixes = scratch.save(suffixes.mapInArrow(_contexts(least), "cls long, pos int, stem long, right binary, left binary"))
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -173,11 +185,13 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     # Settled: some match is long enough, and none of the shorter ones reaches further than those do.
     reach = shares.groupBy("cls", "pos").agg(*[F.max(c).alias(c) for c in "lr"], *[F.max(F.when(F.expr(long), F.col(c))).alias(f"{c}_long") for c in "lr"])
     settled = reach.where("l = l_long and r = r_long").select("cls", "pos")
-    open_ = suffixes.join(settled, ["cls", "pos"], "left_anti").select("stem").distinct()
-    windows = suffixes.join(open_, "stem", "left_semi").select(*suffixes.columns).mapInArrow(_windows, "cls long, pos int, l int, key long")
+    salted = _salted(suffixes)
+    states = salted.select("cls", "pos", "stem", "salt").join(settled.withColumn("done", F.lit(True)), ["cls", "pos"], "left")
+    states = states.groupBy("stem", "salt").agg(F.max(F.col("done").isNull()).alias("open"))
+    open_ = states.select("stem", "salt", F.max("open").over(Window.partitionBy("stem")).alias("open")).where("open")
+    windows = salted.join(open_, ["stem", "salt"], "left_semi").select(*suffixes.columns).mapInArrow(_windows, "cls long, pos int, l int, key long")
     windows = scratch.save(windows)
-    twice = windows.groupBy("key").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 <> c1")
-    exact = windows.join(twice, "key").select("cls", "pos", "l", (side - F.col("l")).alias("r"), F.when(F.col("cls") == F.col("c0"), F.col("c1")).otherwise(F.col("c0")).alias("other"))
+    exact = _of_several(windows, "key").select("cls", "pos", "l", (side - F.col("l")).alias("r"), F.when(F.col("cls") == F.col("c0"), F.col("c1")).otherwise(F.col("c0")).alias("other"))
 
     found = matches.unionAll(exact).select("cls", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + stem + F.col("r")).alias("b"), "other")
     found = found.groupBy("cls", "a", "b").agg(F.min("other").alias("other"))
