@@ -14,7 +14,7 @@ the graph and the search, each vector under its own scale; the results are score
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids; a
 row repeated in full is one row; a query's own id is never its neighbour; shorter vectors are as if
-filled up with zeros; ties go to the smaller id; an empty table gives an empty table; other columns are ignored.
+filled up with zeros; ties go to the smaller id; an empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 import math
 
@@ -105,7 +105,7 @@ def _nearest_within(keep: int):
 
 
 def _nearest(edges: DataFrame, degree: int) -> DataFrame:
-    """(u, v, sim): each u's nearest."""
+    """(u, v, sim): each u's nearest; at most ``degree`` from each of a few partitions of space come in."""
     best = edges.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct("sim", "v")), False), 1, degree).alias("n"))
     return best.select("u", F.explode("n").alias("e")).select("u", "e.v", "e.sim")
 
@@ -137,8 +137,9 @@ class Graph:
             found = local.mapInArrow(_nearest_within(12), EDGE)
             both = edges.withColumn("new", F.lit(0)).unionAll(found.withColumn("new", F.lit(1)))
             merged = both.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-            best = merged.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "v", "new")), False), 1, degree).alias("n"))
-            nxt = scratch.save(best.select("u", F.explode("n").alias("e")).select("u", "e.v", "e.sim", "e.new"))
+            # Each task's nearest of a node come before the shuffle, so that a hub's many finds are never gathered.
+            best = merged.withColumn("_r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v")))
+            nxt = scratch.save(best.where(F.col("_r") <= degree).select("u", "v", "sim", "new"))
             fresh = nxt.agg(F.avg("new")).first()[0]
             scratch.drop(edges)
             del floor, known, back, around, local, found, both, merged, best
