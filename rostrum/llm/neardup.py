@@ -17,7 +17,7 @@ full sets, recomputed from the texts. Candidates within one component need no co
 candidate is confirmed first, and then those that still lie across components.
 
 Trees share the 128 coordinates and are not quite independent: with 12 trees a pair at 0.8 exactly that shares no other path
-to its component is missed with probability 2e-5 where it meets in nodes of the first depth and 3e-3 at the last; at 0.9 both are below 1e-6.
+to its component is missed with probability 2e-5 where it meets in nodes of the first depth and 3e-3 at the last; at 0.9 with 3e-8 and 6e-6.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; a text of fewer than k words
 has its whole word sequence as its only shingle; a component's id is its smallest non-null doc_id, null if it has none;
