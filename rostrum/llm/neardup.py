@@ -250,7 +250,8 @@ def near_dups(docs: DataFrame, k: int = 5, pct: int = 80, trees: int = 12, depth
 
     needed = likely.selectExpr("a as cls").unionAll(likely.selectExpr("b as cls")).unionAll(dense.select("cls")).distinct()
     needed = scratch.save(per.join(needed, "cls").select("row_key", "cls"), n)
-    sets = rows.select("row_key", "text").join(needed, "row_key").select("cls", "text").mapInArrow(_sets(k), "cls long, hashes binary")
+    # Merged at every size, so that small tables are read by the plan of large ones.
+    sets = rows.select("row_key", "text").join(needed.hint("merge"), "row_key").select("cls", "text").mapInArrow(_sets(k), "cls long, hashes binary")
     sets = scratch.save(sets.groupBy("cls").agg(F.first("hashes").alias("hashes")), 4 * n)
 
     def confirm(pairs: DataFrame) -> DataFrame:
