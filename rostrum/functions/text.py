@@ -19,7 +19,8 @@ def words(x) -> Column:
 def title_name(x) -> Column:
     """Each run of letters capitalised, whatever stands before it (o'neil -> O'Neil); white space collapsed."""
     runs = F.regexp_extract_all(F.trim(_c(x)), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    cased = F.transform(runs, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substr(t, F.lit(2)))))
+    first = lambda t: F.when(F.startswith(t, F.lit("ß")), "Ss").otherwise(F.upper(F.substring(t, 1, 1)))
+    cased = F.transform(runs, lambda t: F.concat(first(t), F.lower(F.substr(t, F.lit(2)))))
     return F.coalesce(F.array_join(words(F.array_join(cased, "")), " "), F.lit(""))
 
 
@@ -68,7 +69,7 @@ def phrase_tokens(x) -> Column:
     """Comma, slash and semicolon parts, and white-space words of the phrase itself, in lower case, distinct."""
     x = F.coalesce(_c(x), F.lit(""))
     both = F.concat(F.split(F.translate(x, "/;", ",,"), ","), words(x))
-    return F.array_distinct(F.filter(F.transform(both, lambda t: F.lower(F.trim(t))), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(both, lambda t: F.lower(strip(t))), lambda t: t != ""))
 
 
 def distinct_ci(arr) -> Column:
@@ -100,25 +101,31 @@ def boost_line(*arrays) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(low)), ", ")
 
 
+def strip(x) -> Column:
+    """Without white space at either end, line ends and tabs included."""
+    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+
+
 def candidate_id(email, phone, name, file) -> Column:
-    """Prefix and 12 hex digits of SHA-256 over the first of e-mail, phone, name and file that is given."""
-    given = lambda x: F.when(F.trim(_c(x)) != "", F.lower(F.trim(_c(x))))
-    mail, who, path = given(email), given(name), given(file)
-    tel = F.translate(given(phone), " -()", "")
-    key = F.coalesce(F.concat(F.lit("email:"), mail), F.concat(F.lit("phone:"), tel), F.concat(F.lit("name:"), who), F.concat(F.lit("file:"), path))
-    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
+    """Prefix and 12 hex digits of SHA-256 over the first of e-mail, phone, name in title form and file stem that is given."""
+    given = lambda x: F.when(strip(x) != "", strip(x))
+    mail, tel, who = F.lower(given(email)), F.translate(given(phone), " -()", ""), title_name(name)
+    tel, who = F.when(tel != "", tel), F.when(who != "", who)
+    stem = F.coalesce(F.regexp_replace(F.regexp_extract(_c(file), r"([^/]+)$", 1), r"(?<=.)\.[^.]*$", ""), F.lit(""))
+    key = F.coalesce(F.concat(F.lit("email:"), mail), F.concat(F.lit("phone:"), tel), F.concat(F.lit("name:"), who), F.concat(F.lit("file:"), stem))
     local = F.when(F.contains(mail, F.lit("@")), F.substring_index(mail, "@", 1)).when(mail.isNotNull(), "cand")
-    prefix = F.substring(F.coalesce(local, F.replace(who, F.lit(" "), F.lit("")), stem, F.lit("cand")), 1, 8)
+    prefix = F.substring(F.coalesce(local, F.lower(F.replace(who, F.lit(" "), F.lit(""))), stem), 1, 8)
     return F.concat(prefix, F.lit("_"), F.substring(F.sha2(key, 256), 1, 12))
 
 
-def seniority(given, text) -> Column:
-    """The given level, else the first that the text names, else Unspecified."""
+def seniority(given, text, inferred=None) -> Column:
+    """The given level, else the first that the text names, else the inferred one, else Unspecified."""
     t = F.lower(F.coalesce(_c(text), F.lit("")))
     has = lambda *k: F.exists(F.array(*map(F.lit, k)), lambda w: F.contains(t, w))
     return (
-        F.when(F.trim(_c(given)) != "", _c(given)).when(has("principal"), "Principal").when(has("lead") & ~has("tech lead"), "Lead").when(has("senior"), "Senior")
-        .when(has("mid-level", "mid level", "midlevel"), "Mid-level").when(has("junior", "entry level", "entry-level", "fresher"), "Junior").otherwise("Unspecified")
+        F.when(_c(given) != "", _c(given)).when(has("principal"), "Principal").when(has("lead") & ~has("tech lead"), "Lead").when(has("senior"), "Senior")
+        .when(has("mid-level", "mid level", "midlevel"), "Mid").when(has("junior", "entry level", "fresher"), "Junior")
+        .otherwise(F.coalesce(F.lit(None).cast("string") if inferred is None else _c(inferred), F.lit("Unspecified")))
     )
 
 

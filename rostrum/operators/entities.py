@@ -50,18 +50,45 @@ def append_skips(log: DataFrame, new: DataFrame, cid: str = "candidate_id") -> D
     return log.unionByName(fresh.select(*new.columns), allowMissingColumns=True)
 
 
+#: Contained texts are looked up by their first letters, at most so many.
+GRAM = 5
+
+
+def _grams(text: Column, least: int) -> Column:
+    """The distinct substrings of ``least`` to ``GRAM`` letters."""
+    n = F.length(text)
+    cut = lambda size: F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substr(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*[cut(k) for k in range(least, GRAM + 1)])))
+
+
 def match_files(people: DataFrame, files: DataFrame) -> DataFrame:
-    """(candidate_id, path): the best file by name words, then exact stem, then either containing the other; ties by path.
-
-    A file can share no key with a name that merely contains it, so candidates come from shared words and equal stems."""
-    p = people.select("candidate_id", "name", F.array_distinct(words(matching_key("name"))).alias("w"))
-    f = files.select("path", matching_key("stem").alias("s"))
-    f = f.withColumn("fw", F.array_distinct(F.split("s", "[ _-]+")))
-    shared = p.select("candidate_id", "name", "w", F.explode("w").alias("k")).join(f.select("path", "s", "fw", F.explode("fw").alias("k")), "k")
-    each = shared.groupBy("candidate_id", "path").agg(F.count_distinct("k").alias("hits"), F.first("w").alias("w"), F.first("s").alias("s"), F.first("name").alias("name"))
-    kind = F.when(F.col("hits") >= F.least(F.lit(2), F.size("w")), 1).when(F.col("s") == matching_key("name"), 2).otherwise(3)
-    best = F.row_number().over(Window.partitionBy("candidate_id").orderBy("kind", "path"))
-    return each.withColumn("kind", kind).withColumn("_n", best).where("_n = 1").select("candidate_id", "path", "kind")
+    """(candidate_id, path, kind) of people (candidate_id, name, stem of the record) and files (path, stem): the best file by
+
+    1. name words of over two letters that the file's stem contains, two of them, or the only one there is;
+    2. the record's stem;
+    3. either stem containing the other; ties by path.
+
+    Contained texts meet by an equi join on their first letters and are checked after. As two words of a name must be found, its most
+    frequent word need not be looked up, so that a common first name makes no pairs of its own."""
+    p = people.select("candidate_id", "stem", matching_key("stem").alias("rs"), F.array_distinct(F.filter(words(matching_key("name")), lambda w: F.length(w) > 2)).alias("w"))
+    p = p.withColumn("need", F.least(F.lit(2), F.size("w")))
+    f = files.select("path", "stem", matching_key("stem").alias("fs"))
+    grams = f.select("path", "fs", F.explode(_grams(F.col("fs"), 1)).alias("g"))
+    frequent = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    asked = p.select("candidate_id", "w", "need", F.explode("w").alias("word")).withColumn("g", F.substring("word", 1, GRAM))
+    asked = asked.join(frequent, "g").withColumn("r", F.row_number().over(Window.partitionBy("candidate_id").orderBy("n", "word")))
+    # Words that no file has are gone, so at most need - 1 of those left may be passed over.
+    left = F.count(F.lit(1)).over(Window.partitionBy("candidate_id"))
+    asked = asked.withColumn("left", left).where("r <= left - need + 1").select("candidate_id", "w", "need", "word", "g")
+    named = asked.join(grams, "g").where(F.contains("fs", "word")).where(F.size(F.filter("w", lambda w: F.contains("fs", w))) >= F.col("need"))
+    exact = p.select("candidate_id", "stem").join(f.select("path", "stem"), "stem")
+    inner = p.where("rs <> ''").withColumn("g", F.substring("rs", 1, GRAM)).join(grams, "g").where(F.contains("fs", "rs"))
+    outer = p.select("candidate_id", "rs", F.explode(_grams(F.col("rs"), 1)).alias("g")).join(f.where("fs <> ''").withColumn("g", F.substring("fs", 1, GRAM)), "g").where(F.contains("rs", "fs"))
+    every = None
+    for kind, found in ((1, named), (2, exact), (3, inner), (3, outer)):
+        found = found.select("candidate_id", "path", F.lit(kind).alias("kind"))
+        every = found if every is None else every.unionAll(found)
+    return every.groupBy("candidate_id").agg(F.min(F.struct("kind", "path")).alias("m")).select("candidate_id", "m.path", "m.kind")
 
 
 def duplicate_counts(rows: DataFrame, cid: str = "candidate_id") -> DataFrame:

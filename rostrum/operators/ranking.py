@@ -19,13 +19,14 @@ def fused(weights: dict[str, float] = WEIGHTS) -> Column:
     return F.when(n == 1, r3(F.greatest(one - ONE_SCORE_LOSS, F.lit(0.0)))).when(n > 1, r3(s / w))
 
 
-def ranked(rows: DataFrame, score: Column, *ties: Column, out: str = "rank", slices: int = 8) -> DataFrame:
+def ranked(rows: DataFrame, score: Column, *ties: Column, out: str = "rank", slices: int | None = None) -> DataFrame:
     """1..N by score, descending, nulls last, and the ties given; row order never matters if the ties are unique.
 
-    No global window: rows are dealt to ``slices`` ranges by the sort order, numbered within each, and the ranges'
+    No global window: rows are dealt to ``slices`` ranges (the session's shuffle partitions by default) by the sort order, numbered within each, and the ranges'
     counts, one row each, give the offsets. The dealt rows are checkpointed, since ranges are drawn from a sample
     and must be the same for the counts and the numbers."""
     order = [score.desc_nulls_last(), *ties]
+    slices = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = settled(rows.repartitionByRange(slices, *order).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_from"))
@@ -44,13 +45,20 @@ def attach_rerank(rows: DataFrame, results: DataFrame, cid: str = "candidate_id"
 
 
 def report_lines(rows: DataFrame) -> DataFrame:
-    """'{rank}. {name} | Score: {score}' for each ranked row."""
+    """'{rank}. {name} | Score: {score}' for each ranked row, and where it has columns met and missing (arrays of requirements)
+    a line for each of these that is not empty, as '   ✅ Meets (1/2): a'."""
     score = F.format_string("%.3f", F.coalesce("final_score", F.lit(0.0)))
-    return rows.select("rank", F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("name"), F.lit(" | Score: "), score).alias("line"))
+    head = F.concat(F.col("rank").cast("string"), F.lit(". "), F.coalesce("name", F.lit("Unknown")), F.lit(" | Score: "), score)
+    if not {"met", "missing"} <= set(rows.columns):
+        return rows.select("rank", head.alias("line"))
+    met, missing = (F.coalesce(c, F.array().cast("array<string>")) for c in ("met", "missing"))
+    total = (F.size(met) + F.size(missing)).cast("string")
+    line = lambda sign, a: F.when(F.size(a) > 0, F.concat(F.lit(f"\n   {sign} ("), F.size(a).cast("string"), F.lit("/"), total, F.lit("): "), F.array_join(a, ", "))).otherwise("")
+    return rows.select("rank", F.concat(head, line("✅ Meets", met), line("❌ Missing", missing)).alias("line"))
 
 
 def manifest(rows: DataFrame, paths: DataFrame) -> DataFrame:
     """Names in the export archive: the résumé's, or a note that it is missing."""
-    stem = F.concat(F.lpad(F.col("rank").cast("string"), 3, "0"), F.lit("_"), file_name("name"))
+    stem = F.concat(F.format_string("%03d_", "rank"), file_name("name"))
     both = rows.join(paths, "candidate_id", "left")
     return both.select("candidate_id", F.when(F.col("path").isNotNull(), F.concat(stem, F.lit("_resume.pdf"))).otherwise(F.concat(stem, F.lit("_resume_missing.txt"))).alias("entry"))

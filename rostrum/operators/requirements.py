@@ -13,7 +13,27 @@ from pyspark.sql import functions as F
 #: Education levels in rising order.
 LEVELS = ("High School", "Bachelor's", "Master's", "PhD")
 #: Field names that stand for others.
-ALIASES = {"experience": "years_experience", "years_of_experience": "years_experience", "skills": "skills", "hard_skills": "skills", "technical_skills": "skills", "required_skills": "skills"}
+ALIASES = {
+    "experience": "years_experience",
+    "years_of_experience": "years_experience",
+    "technical_skills": "skills",
+    "hard_skills": "skills",
+    "programming_skills": "skills",
+    "location": "location",
+    "education": "education",
+    "certifications": "certifications",
+    "soft_skills": "soft_skills",
+    "domain_experience": "domains",
+    "industry_experience": "industry_experience",
+    "salary_range": "salary_expectations",
+    "availability": "availability",
+    "notice_period": "notice_period",
+    "work_location": "work_location",
+    "visa_sponsorship": "visa_sponsorship",
+}
+#: Fields that ask for a record's skills, and those that ask for its years of experience.
+SKILL_FIELDS = ("hard_skills", "skills", "required_skills", "technical_skills")
+EXPERIENCE_FIELDS = ("experience", "years_experience", "years_of_experience", "exp")
 
 
 def _low(values) -> list[str]:
@@ -118,12 +138,13 @@ def normalise(spec) -> dict | None:
 
 
 def resolve(df: DataFrame, field: str) -> str | None:
-    """The column that a requirement field names: aliased, exact, or in another case."""
-    for name in (ALIASES.get(field.lower(), field), field):
-        for c in df.columns:
-            if c == name or c.lower() == name.lower():
-                return c
-    return None
+    """The column that a requirement field names: skills or experience, aliased, exact, or in another case."""
+    low = field.lower()
+    special = "skills" if low in SKILL_FIELDS else "years_experience" if low in EXPERIENCE_FIELDS else None
+    for name in (special, ALIASES.get(low), field):
+        if name in df.columns:
+            return name
+    return next((c for c in df.columns if c.lower() == low), None)
 
 
 def predicate(df: DataFrame, field: str, spec) -> Column:
@@ -177,41 +198,77 @@ def label(met: int | str, asked: str) -> Column:
 
 #: Vocabulary of departments.
 DEPARTMENTS = {
-    "IT": ("software", "developer", "engineer", "programmer", "data", "cloud", "devops", "it"),
-    "Non-IT": ("sales", "marketing", "finance", "accounting", "hr", "operations", "legal"),
+    "it": (
+        "computer science", "cs", "cse", "computer engineering", "ce",
+        "information technology", "it", "information systems", "is",
+        "aids", "artificial intelligence and data science", "ai & ds",
+        "electronics and telecommunications", "entc", "ece", "electronics",
+        "software engineering", "se", "computer applications", "ca",
+        "data science", "ds", "artificial intelligence", "ai", "ml",
+        "cyber security", "cybersecurity", "information security",
+    ),
+    "non-it": (
+        "mechanical", "mechanical engineering", "me",
+        "chemical", "chemical engineering", "che",
+        "civil", "civil engineering", "ce",
+        "electrical", "electrical engineering", "ee",
+        "electronics and communication", "ec", "e&c",
+    ),
 }
+#: Places that ask for nothing.
+ANYWHERE = ("any", "anywhere", "remote/onsite", "flexible", "")
+
+
+def department(fields: Column, category: str | None = None, allowed=(), excluded=()) -> Column:
+    """Whether some of a record's departments (an array) fit. A category decides alone, by its words as parts of a department;
+    else the allowed ones, else the excluded ones, as parts either way. A record without a department does not fit."""
+    have = F.filter(F.transform(F.coalesce(fields, F.array().cast("array<string>")), lambda f: F.lower(F.trim(f))), lambda f: f.isNotNull() & (f != ""))
+    part = lambda names: F.exists(have, lambda f: F.exists(_lits(names), lambda n: F.contains(f, n)))
+    either = lambda names: F.exists(have, lambda f: F.exists(_lits(names), lambda n: F.contains(f, n) | F.contains(n, f)))
+    kind = (category or "").lower()
+    if kind in DEPARTMENTS:
+        rule = part(DEPARTMENTS[kind])
+    elif allowed:
+        rule = either(_low(allowed))
+    else:
+        rule = ~either(_low(excluded)) if excluded else F.lit(True)
+    return (F.size(have) > 0) & rule
 
 
-def department(value: Column, category: str | None = None, allowed=(), excluded=()) -> Column:
-    """Of the category's vocabulary, among the allowed and none of the excluded; substrings either way."""
-    v = F.lower(F.coalesce(value, F.lit("")))
-    hit = lambda words: reduce(lambda a, b: a | b, [F.contains(v, F.lit(w)) | ((v != "") & F.contains(F.lit(w), v)) for w in _low(words)], F.lit(False))
-    ok = hit(DEPARTMENTS[category]) if category in DEPARTMENTS else F.lit(True)
-    if allowed:
-        ok = ok & hit(allowed)
-    return ok & ~hit(excluded) if excluded else ok
-
-
-def work_mode(value: Column, required: str) -> Column:
-    """remote, hybrid, onsite or a place; onsite is met unless the candidate is remote."""
-    v, want = F.lower(F.coalesce(value, F.lit(""))), required.strip().lower()
-    if want in ("", "any", "anywhere"):
-        return F.lit(True)
-    if want in ("remote", "hybrid"):
-        return F.contains(v, F.lit(want))
-    if want in ("onsite", "on-site", "office"):
-        return ~F.contains(v, F.lit("remote"))
-    return F.contains(v, F.lit(want))
-
-
-def other_criterion(value: Column, criterion: str) -> Column:
-    """At least half of the words of over three letters are in the text, or one of the first two is."""
-    terms = [w for w in _low(criterion.split()) if len(w) > 3]
-    if not terms:
+def work_mode(value: Column, required: str | None) -> Column:
+    """remote, onsite (met unless the candidate is remote only), hybrid, or a place, a part either way; an unknown location fails."""
+    want = (required or "").lower().strip()
+    if want in ANYWHERE:
         return F.lit(True)
-    has = F.filter(_lits(terms), lambda t: F.contains(F.lower(value), t))
-    first = F.exists(_lits(terms[:2]), lambda t: F.contains(F.lower(value), t))
-    return F.coalesce((F.size(has) * 2 >= len(terms)) | first, F.lit(False))
+    v = F.lower(value)
+    has = lambda *words: reduce(lambda a, b: a | b, [F.contains(v, F.lit(w)) for w in words])
+    asks = lambda *words: any(w in want for w in words)
+    met = F.contains(v, F.lit(want)) | F.contains(F.lit(want), v)
+    if asks("remote"):
+        met = F.lit(False)
+    if asks("hybrid"):
+        met = has("hybrid") | met
+    if asks("onsite", "on-site"):
+        met = has("onsite", "on-site") | ~has("remote") | met
+    if asks("remote"):
+        met = has("remote") | met
+    return F.coalesce((value != "") & met, F.lit(False))
+
+
+def other_criteria(value: Column, criteria) -> Column:
+    """Each criterion is met: half of its words of over three letters are parts of the text, or one of the first two is.
+
+    A criterion without such words is not met."""
+    low = F.lower(F.coalesce(value, F.lit("")))
+
+    def met(criterion: str) -> Column:
+        terms = [w for w in criterion.lower().split() if len(w) > 3]
+        if not terms:
+            return F.lit(False)
+        has = F.filter(_lits(terms), lambda t: F.contains(low, t))
+        return (F.size(has) * 2 >= len(terms)) | F.exists(_lits(terms[:2]), lambda t: F.contains(low, t))
+
+    return reduce(lambda a, b: a & b, [met(c) for c in criteria], F.lit(True))
 
 
 def strict_skills(items: Column, description: Column, required) -> Column:

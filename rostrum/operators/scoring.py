@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rostrum.functions.text import norm_lower, phrase_tokens, r3, sentences
+from rostrum.functions.text import norm_lower, phrase_tokens, r3
 from rostrum.functions.vec import dot
 
 #: Project metrics, all of weight 0.142857.
@@ -36,6 +36,8 @@ VERBS = {
 SECTIONS = {"skills": 0.30, "projects": 0.25, "responsibilities": 0.20, "profile": 0.10, "education": 0.05, "overall": 0.10}
 COVERED, DENSE, MIX = 0.65, 0.55, (0.5, 0.4, 0.1)
 LEAST_CONFIDENCE = 0.6
+#: Six sections of at most 200 texts, which are broadcast.
+MOST_WANTED = 1200
 
 
 def _strings() -> Column:
@@ -125,28 +127,14 @@ def min_max(df: DataFrame, col: str, out: str, equal: str = "same", previous: st
 # Sections and vectors
 
 
-def record_sections(records: DataFrame, cap: int = 200) -> DataFrame:
-    """(candidate_id, section, pos, text) of a native candidate table: six sections of at most ``cap`` texts each."""
-    cols = dict(records.dtypes)
-    col = lambda c: F.col(c) if c in cols else F.lit(None)
-    flat = lambda c, f: F.flatten(F.transform(F.coalesce(col(c), F.array()), f))
-    some = lambda a: F.coalesce(a, _strings())
-    line = lambda c: sentences(col(c).cast("string"), 1)
-    skills = F.concat(some(F.flatten(F.map_values("canonical_skills"))), some(F.transform(F.filter("inferred_skills", lambda s: s.confidence >= LEAST_CONFIDENCE), lambda s: s.skill)), some(F.transform("skill_proficiency", lambda s: s.skill)))
-    projects = flat("projects", lambda p: F.concat(F.array(p.name), sentences(p.approach, 1), some(p.tech_keywords)))
-    duties = flat("experience_entries", lambda e: F.concat(some(e.responsibilities_keywords), some(e.achievements)))
-    study = F.slice(F.transform(F.split(F.coalesce(col("ats_boost_line"), F.lit("")), ","), lambda s: F.trim(s)), 1, 20)
-    parts = {"profile": line("profile_keywords_line"), "skills": skills, "projects": projects, "responsibilities": duties, "education": study, "overall": line("ats_boost_line")}
-    one = lambda name, a: F.struct(F.lit(name).alias("section"), F.slice(F.filter(some(a), lambda t: F.trim(t) != ""), 1, cap).alias("texts"))
-    rows = records.select("candidate_id", F.explode(F.array(*[one(n, a) for n, a in parts.items()])).alias("s"))
-    return rows.select("candidate_id", "s.section", F.posexplode("s.texts").alias("pos", "text"))
-
-
 def similarities(wanted: DataFrame, offered: DataFrame) -> DataFrame:
     """(section, jd_id, candidate, rv, cos) of unit vectors, joined by section.
 
-    ``wanted`` (section, jd_id, vec) is one requirement record's, at most 200 texts in each of six sections; it is
+    ``wanted`` (section, jd_id, vec) is one requirement record's, at most 200 texts in each of six sections; more raise an error; it is
     broadcast, and the candidates' side is read where it lies."""
+    many = wanted.limit(MOST_WANTED + 1).count()
+    if many > MOST_WANTED:
+        raise ValueError(f"more than {MOST_WANTED} wanted texts")
     pairs = offered.join(F.broadcast(wanted.withColumnRenamed("vec", "jvec")), "section")
     return pairs.select("section", "jd_id", "candidate", "rv", dot(F.col("jvec"), F.col("vec")).alias("cos"))
 

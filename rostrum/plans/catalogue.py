@@ -413,9 +413,9 @@ def report_lines(s, d):
     return ranking.report_lines(_final(s, d))
 
 
-@query("zip_manifest", f"{ALL}, {FRANK} select candidate_id, concat(lpad(cast(rank as varchar), 3, '0'), '_', regexp_replace(name, '[^A-Za-z0-9_]', '', 'g'), case when candidate_id like '%3' then '_resume_missing.txt' else '_resume.pdf' end) as entry from frank where rank <= 999 and not regexp_matches(name, '[ -]') union all select candidate_id, concat(lpad(cast(rank as varchar), 3, '0'), '_', regexp_replace(replace(replace(name, ' ', '_'), '-', '_'), '[^A-Za-z0-9_]', '', 'g'), case when candidate_id like '%3' then '_resume_missing.txt' else '_resume.pdf' end) from frank where rank <= 999 and regexp_matches(name, '[ -]')")
+@query("zip_manifest", f"{ALL}, {FRANK} select candidate_id, concat(printf('%03d', rank), '_', regexp_replace(name, '[^A-Za-z0-9_]', '', 'g'), case when candidate_id like '%3' then '_resume_missing.txt' else '_resume.pdf' end) as entry from frank where not regexp_matches(name, '[ -]') union all select candidate_id, concat(printf('%03d', rank), '_', regexp_replace(replace(replace(name, ' ', '_'), '-', '_'), '[^A-Za-z0-9_]', '', 'g'), case when candidate_id like '%3' then '_resume_missing.txt' else '_resume.pdf' end) from frank where regexp_matches(name, '[ -]')")
 def zip_manifest(s, d):
-    rows = _final(s, d).where("rank <= 999")
+    rows = _final(s, d)
     paths = rows.where("candidate_id not like '%3'").select("candidate_id", F.concat(F.lit("/x/"), "candidate_id").alias("path"))
     return ranking.manifest(rows, paths)
 
@@ -459,47 +459,82 @@ def boost_line(s, d):
     return _skilled(s, d).where(F.size("skills") > 0).select("candidate_id", T.boost_line("skills").alias("boost"))
 
 
-@query("candidate_hash", f"{CTE} select candidate_id, case when candidate_id like '%1' then substr(lower(name), 1, 8) || '_' || substr(sha256('email:' || lower(name) || '@x.org'), 1, 12) else substr(replace(lower(name), ' ', ''), 1, 8) || '_' || substr(sha256('name:' || lower(name)), 1, 12) end as hash from cand")
+@query("candidate_hash", f"{CTE} select candidate_id, case when candidate_id like '%1' then substr(lower(name), 1, 8) || '_' || substr(sha256('email:' || lower(name) || '@x.org'), 1, 12) else substr(replace(lower(name), ' ', ''), 1, 8) || '_' || substr(sha256('name:' || name), 1, 12) end as hash from cand")
 def candidate_hash(s, d):
     mail = F.when(F.col("candidate_id").like("%1"), F.concat("name", F.lit("@x.org")))
     return _cand(s, d).select("candidate_id", T.candidate_id(mail, F.lit(None).cast("string"), F.col("name"), F.lit("f.txt")).alias("hash"))
 
 
-@query("name_normalise")
+@query("name_normalise", r"""select doc_id, array_to_string(regexp_extract_all(array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '\p{L}+|[^\p{L}]+'), lambda t: case when t[1] = 'ß' then 'Ss' else upper(t[1]) end || lower(t[2:])), ''), '[^ \t\n\v\f\r]+'), ' ') as name from {documents}""")
 def name_normalise(s, d):
     return X.table(s, d, "documents").select("doc_id", T.title_name("text").alias("name"))
 
 
-@query("seniority", "select doc_id, case when contains(lower(text), 'principal') then 'Principal' when contains(lower(text), 'lead') and not contains(lower(text), 'tech lead') then 'Lead' when contains(lower(text), 'senior') then 'Senior' when contains(lower(text), 'mid-level') or contains(lower(text), 'mid level') or contains(lower(text), 'midlevel') then 'Mid-level' when contains(lower(text), 'junior') or contains(lower(text), 'entry level') or contains(lower(text), 'entry-level') or contains(lower(text), 'fresher') then 'Junior' else 'Unspecified' end as level from {documents}")
+@query("seniority", "select doc_id, case when contains(lower(text), 'principal') then 'Principal' when contains(lower(text), 'lead') and not contains(lower(text), 'tech lead') then 'Lead' when contains(lower(text), 'senior') then 'Senior' when contains(lower(text), 'mid-level') or contains(lower(text), 'mid level') or contains(lower(text), 'midlevel') then 'Mid' when contains(lower(text), 'junior') or contains(lower(text), 'entry level') or contains(lower(text), 'fresher') then 'Junior' else 'Unspecified' end as level from {documents}")
 def seniority(s, d):
     return X.table(s, d, "documents").select("doc_id", T.seniority(F.lit(None).cast("string"), F.col("text")).alias("level"))
 
 
-_DEP = " or ".join(f"contains(lower(segment), '{w}') or contains('{w}', lower(segment))" for w in requirements.DEPARTMENTS["IT"])
+#: Departments and what is asked of them, with cases of every branch.
+FIELDS = [["Computer Science"], ["Mechanical Engineering"], ["Botany"], ["Botany", "B.Tech Civil"], ["", " "], None, ["Law "], ["Fine Arts"], ["ENTC"], ["History of Law"]]
+ASKS = [("IT", [], []), ("Non-IT", [], ["civil"]), ("", ["law", "art"], []), ("", [], ["Law"]), ("", [], []), ("it", ["law"], ["computer science"])]
+_FIELD_ROWS = ", ".join(f"({i}, {'null' if f is None else '[' + _quoted(f) + ']'}::varchar[])" for i, f in enumerate(FIELDS))
+_ASK_ROWS = ", ".join(f"({i}, '{c.lower()}', [{_quoted(x.lower() for x in a)}]::varchar[], [{_quoted(x.lower() for x in e)}]::varchar[])" for i, (c, a, e) in enumerate(ASKS))
+_VOCAB = " ".join(f"when '{k}' then [{_quoted(v)}]" for k, v in requirements.DEPARTMENTS.items())
 
 
-@query("department_match", f"{CTE} select candidate_id, ({_DEP}) and not contains(lower(segment), 'auto') as met from cand")
+@query("department_match", f"""with f as (select id, list_filter(list_transform(coalesce(fields, []), lambda x: lower(trim(x))), lambda x: x <> '') as have from (values {_FIELD_ROWS}) t(id, fields)),
+a as (select *, case category {_VOCAB} else []::varchar[] end as vocab from (values {_ASK_ROWS}) t(ask, category, allowed, excluded))
+select id, ask, len(have) > 0 and case when category in ('it', 'non-it') then len(list_filter(have, lambda h: len(list_filter(vocab, lambda v: contains(h, v))) > 0)) > 0
+  when len(allowed) > 0 then len(list_filter(have, lambda h: len(list_filter(allowed, lambda v: contains(h, v) or contains(v, h))) > 0)) > 0
+  else len(list_filter(have, lambda h: len(list_filter(excluded, lambda v: contains(h, v) or contains(v, h))) > 0)) = 0 end as met
+from f cross join a""")
 def department_match(s, d):
-    return _cand(s, d).select("candidate_id", requirements.department(F.col("segment"), "IT", excluded=["auto"]).alias("met"))
+    rows = s.createDataFrame(list(enumerate(FIELDS)), "id int, fields array<string>")
+    checks = [F.struct(F.lit(i).alias("ask"), requirements.department(F.col("fields"), *ask).alias("met")) for i, ask in enumerate(ASKS)]
+    return rows.select("id", F.inline(F.array(*checks)))
 
 
-@query("location_workmode", f"{CTE} select candidate_id, not contains(lower(location), 'remote') as onsite, contains(lower(location), 'remote') as remote, contains(lower(location), 'nation_1') as place from cand")
+MODES = ["Remote", "onsite", "on-site or hybrid", "hybrid", "NATION_1", "nation_1, europe", "flexible", "remote/onsite", "", "remote or onsite"]
+_MODE_ROWS = ", ".join(f"('{m.lower().strip()}')" for m in MODES)
+
+
+@query("location_workmode", f"""{CTE}, place as (select candidate_id, case when candidate_id like '%1' then null when candidate_id like '%2' then '' when candidate_id like '%3' then location || ' (Remote)'
+  when candidate_id like '%4' then 'Hybrid, ' || location when candidate_id like '%5' then 'On-Site and remote' else location end as p from cand)
+select candidate_id, mode, coalesce(case when mode in ('any', 'anywhere', 'remote/onsite', 'flexible', '') then true
+  when coalesce(p, '') = '' then false
+  when contains(mode, 'remote') and contains(lower(p), 'remote') then true
+  when (contains(mode, 'onsite') or contains(mode, 'on-site')) and (contains(lower(p), 'onsite') or contains(lower(p), 'on-site') or not contains(lower(p), 'remote')) then true
+  when contains(mode, 'hybrid') and contains(lower(p), 'hybrid') then true
+  when contains(mode, 'remote') and not contains(lower(p), 'remote') then false
+  else contains(lower(p), mode) or contains(mode, lower(p)) end, false) as met
+from place cross join (values {_MODE_ROWS}) m(mode)""")
 def location_workmode(s, d):
-    mode = lambda m: requirements.work_mode(F.col("location"), m).alias
-    return _cand(s, d).select("candidate_id", mode("onsite")("onsite"), mode("remote")("remote"), mode("NATION_1")("place"))
+    loc = "case when candidate_id like '%1' then null when candidate_id like '%2' then '' when candidate_id like '%3' then location || ' (Remote)' when candidate_id like '%4' then 'Hybrid, ' || location when candidate_id like '%5' then 'On-Site and remote' else location end"
+    modes = [F.struct(F.lit(m.lower().strip()).alias("mode"), requirements.work_mode(F.col("p"), m).alias("met")) for m in MODES]
+    return _cand(s, d).select("candidate_id", F.expr(loc).alias("p")).select("candidate_id", F.inline(F.array(*modes)))
 
 
-@query("other_criteria", "select doc_id, (cast(contains(lower(text), 'that') as int) + cast(contains(lower(text), 'quevi') as int) + cast(contains(lower(text), 'keit') as int) + cast(contains(lower(text), 'zzzz') as int)) * 2 >= 4 or contains(lower(text), 'that') or contains(lower(text), 'quevi') as met from {documents}")
+@query("other_criteria", "select doc_id, (cast(contains(lower(text), 'that') as int) + cast(contains(lower(text), 'quevi') as int) + cast(contains(lower(text), 'keit') as int) + cast(contains(lower(text), 'zzzz') as int)) * 2 >= 4 or contains(lower(text), 'that') or contains(lower(text), 'quevi') as one, contains(lower(text), 'that') and contains(lower(text), 'tion') as two, false as none from {documents}")
 def other_criteria(s, d):
-    return X.table(s, d, "documents").select("doc_id", requirements.other_criterion(F.col("text"), "that quevi keit of zzzz").alias("met"))
+    met = lambda *c: requirements.other_criteria(F.col("text"), c)
+    return X.table(s, d, "documents").select("doc_id", met("that quevi keit of zzzz").alias("one"), met("That", "tion").alias("two"), met("a of it", "that").alias("none"))
+
 
+# Names share a first word with many files; stems are the name's words run together, one word, the record's stem, or hold it.
+_PEOPLE = "select candidate_id, 'Jo ' || segment || ' nn' || cast(cast(substr(candidate_id, 6) as bigint) as string) as name, 'Rec-' || candidate_id as stem from cand"
+_FILES = """select 'f/' || candidate_id || '.pdf' as path, case cast(substr(candidate_id, 6) as bigint) % 6 when 0 then lower(segment) || 'nn' || cast(cast(substr(candidate_id, 6) as bigint) as string) || 'cv'
+  when 1 then segment when 2 then 'Rec-' || candidate_id when 3 then 'the rec-' || candidate_id || ' final' when 4 then 'c-' || substr(candidate_id, 1, 14) else candidate_id end as stem from cand where candidate_id not like '%5'"""
+_KEY = "lower(regexp_replace({}, '[^A-Za-z0-9 _-]', '', 'g'))"
 
-@query("file_match", f"{CTE} select candidate_id, 'f/' || candidate_id || '.pdf' as path, 1 as kind from cand where candidate_id not like '%5'")
+
+@query("file_match", f"""{CTE}, p as (select *, {_KEY.format('stem')} as rs, list_filter(string_split({_KEY.format('name')}, ' '), lambda x: length(x) > 2) as w from ({_PEOPLE})),
+f as (select *, {_KEY.format('stem')} as fs from ({_FILES})),
+m as (select p.candidate_id, f.path, case when contains(fs, w[1]) and contains(fs, w[2]) then 1 when f.stem = p.stem then 2 when contains(fs, rs) or contains(rs, fs) then 3 end as kind from p cross join f)
+select candidate_id, path, kind from m where kind is not null qualify row_number() over (partition by candidate_id order by kind, path) = 1""")
 def file_match(s, d):
-    c = _cand(s, d).select("candidate_id", F.concat(F.lit("p"), "candidate_id", F.lit(" q"), "candidate_id").alias("name"))
-    c = c.withColumn("name", F.replace("name", F.lit("_"), F.lit("")))
-    files = c.where("candidate_id not like '%5'").select(F.concat(F.lit("f/"), "candidate_id", F.lit(".pdf")).alias("path"), F.replace("name", F.lit(" "), F.lit("_")).alias("stem"))
-    return entities.match_files(c, files)
+    c = _cand(s, d)
+    return entities.match_files(s.sql(_PEOPLE.replace(" from cand", " from {cand}"), cand=c), s.sql(_FILES.replace(" from cand", " from {cand}"), cand=c))
 
 
 @query("hash_cache_misses", "select doc_id, md5(text) as content_md5, sha256('model||' || text) as embed_key from {documents} x where not exists (select 1 from {documents} y where y.doc_id % 2 = 0 and y.text = x.text)")
@@ -522,8 +557,12 @@ def pipeline_full(s, d):
 
 
 def queries() -> dict:
+    from rostrum.plans import native  # registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from rostrum.plans import native
+
     return dict(SQL)

@@ -65,7 +65,7 @@ def test_predicates(spark):
     edu = lambda v, m: one(spark, R.education(F.col("v"), m), v=v)
     assert [edu("B.Tech", "Bachelor's"), edu("Bachelor's and Master's", "Master's"), edu("PhD", "Master's")] == [False, False, True]
     assert one(spark, R.work_mode(F.col("v"), "onsite"), v="Remote") is False
-    assert one(spark, R.other_criterion(F.col("v"), "strong python skills"), v="python here") is True
+    assert one(spark, R.other_criteria(F.col("v"), ["strong python skills"]), v="python here") is True
     assert items.select(R.strict_skills(F.col("i"), F.lit("deep machine learning"), ["machine work"])).first()[0] is True
     q = spark.createDataFrame([(None,), ("x",), ("1",), ("9",), ("3",)], "v string").select(R.match_quality(F.col("v"), 2, 5))
     assert [r[0] for r in q.collect()] == ["missing", "invalid", "below", "exceeds", "exact"]
