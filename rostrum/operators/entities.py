@@ -2,7 +2,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rostrum.functions.text import matching_key, title_name, words
+from rostrum.functions.text import matching_key, slug_name, title_name, words
 
 
 def entity_key(cid: str = "candidate_id", name: str = "name") -> Column:
@@ -91,6 +91,27 @@ def match_files(people: DataFrame, files: DataFrame) -> DataFrame:
     return every.groupBy("candidate_id").agg(F.min(F.struct("kind", "path")).alias("m")).select("candidate_id", "m.path", "m.kind")
 
 
+def find_paths(people: DataFrame, mapping: DataFrame, files: DataFrame) -> DataFrame:
+    """(candidate_id, name, path, kind) of each distinct person (candidate_id, name): the file that the mapping (key, path) gives for
+
+    1. the id, 2. the name's slug, 3. a key with the name's slug, the first by key (the name in any spelling is such a key); else
+    4. the first file by path whose stem has that slug. Only paths among ``files`` (path) count; path and kind are null where none is left.
+    An empty slug finds nothing. Each table of keys has one row a key, so the joins never multiply people."""
+    there = files.where("path is not null").select("path").distinct()
+    known = mapping.where("key is not null and key <> ''").join(there, "path", "left_semi")
+    by_key = known.groupBy("key").agg(F.min("path").alias("path"))
+    by_slug = known.groupBy(slug_name("key").alias("key")).agg(F.min(F.struct(F.col("key").alias("first"), "path")).path.alias("path"))
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "")
+    by_stem = there.groupBy(slug_name(stem).alias("key")).agg(F.min("path").alias("path"))
+    out = people.select("candidate_id", "name").distinct().withColumn("_slug", slug_name("name"))
+    for i, (keys, on) in enumerate(((by_key, "candidate_id"), (by_key, "_slug"), (by_slug, "_slug"), (by_stem, "_slug")), 1):
+        side = keys.where("key <> ''").select(F.col("key").alias(f"_k{i}"), F.col("path").alias(f"_p{i}"))
+        out = out.join(side, F.col(on) == F.col(f"_k{i}"), "left")
+    ways = range(1, 5)
+    kind = F.coalesce(*[F.when(F.col(f"_p{i}").isNotNull(), i) for i in ways])
+    return out.select("candidate_id", "name", F.coalesce(*[F.col(f"_p{i}") for i in ways]).alias("path"), kind.alias("kind"))
+
+
 def duplicate_counts(rows: DataFrame, cid: str = "candidate_id") -> DataFrame:
     """One row: rows, distinct ids, surplus rows, rows without an id."""
     per = rows.groupBy(cid).agg(F.count(F.lit(1)).alias("n"))

@@ -34,6 +34,12 @@ def ranked(rows: DataFrame, score: Column, *ties: Column, out: str = "rank", sli
     return numbered.join(F.broadcast(starts), "_part").withColumn(out, (F.col("_from") + F.col("_at")).cast("int")).drop("_part", "_from", "_at")
 
 
+def top(rows: DataFrame, k: int, score: Column, *ties: Column, out: str = "rank") -> DataFrame:
+    """The first ``k`` rows of the ranking, numbered: every partition hands on k rows at most, and only k are numbered in one task."""
+    order = [score.desc_nulls_last(), *ties]
+    return rows.orderBy(*order).limit(k).withColumn(out, F.row_number().over(Window.orderBy(*order)))
+
+
 def batches(rows: DataFrame, rank: str = "rank", size: int = 30) -> DataFrame:
     return rows.withColumn("batch", F.floor((F.col(rank) - 1) / size).cast("int"))
 

@@ -38,6 +38,11 @@ def _each(items: str, part) -> Column:
     return F.coalesce(F.flatten(F.transform(F.col(items), lambda x: _list(part(x)))), _strings())
 
 
+def _canonical() -> Column:
+    """The skills of all categories; a null category is empty and takes no other with it."""
+    return F.flatten(F.transform(F.map_values("canonical_skills"), lambda c: _list(c)))
+
+
 def _sentences_of(texts: Column) -> Column:
     return F.flatten(F.transform(F.filter(_list(texts), lambda t: t.isNotNull()), lambda t: sentences(t)))
 
@@ -59,7 +64,7 @@ def record_sections(records: DataFrame, cap: int = CAP) -> DataFrame:
     r = whole(records)
     given = lambda a: F.filter(_list(a), lambda t: t.isNotNull() & (t != ""))
     profile, boost = F.col("profile_keywords_line"), F.coalesce("ats_boost_line", F.lit(""))
-    skills = F.concat(given(F.flatten(F.map_values("canonical_skills"))), _sure("inferred_skills"))
+    skills = F.concat(given(_canonical()), _sure("inferred_skills"))
     projects = _each("projects", lambda p: F.concat(sentences(p["name"]), sentences(p.approach), F.transform(_list(p.tech_keywords), lambda t: strip(t))))
     duties = _each("experience_entries", lambda e: F.concat(_sentences_of(e.responsibilities_keywords), _sentences_of(e.achievements), F.transform(given(e.primary_tech), lambda t: strip(t))))
     study = _sentences_of(F.col("education"))
@@ -114,15 +119,56 @@ def job_sections(job: dict, cap: int = CAP) -> dict[str, list[str]]:
 
 def skill_union(records: DataFrame) -> Column:
     """A record's skills of five sources, in lower case, distinct, sorted; inferred ones of any confidence."""
-    sources = [F.flatten(F.map_values("canonical_skills")), F.transform("inferred_skills", lambda s: s.skill), F.transform("skill_proficiency", lambda s: s.skill)]
+    sources = [_canonical(), F.transform("inferred_skills", lambda s: s.skill), F.transform("skill_proficiency", lambda s: s.skill)]
     sources += [_each("projects", lambda p: p.tech_keywords), _each("projects", lambda p: p.primary_skills)]
     every = F.filter(F.flatten(F.array(*map(_list, sources))), lambda t: t.isNotNull() & (t != ""))
     return F.array_sort(F.array_distinct(F.transform(every, lambda t: F.lower(strip(t)))))
 
 
+def boost_tokens(records: DataFrame) -> Column:
+    """A record's skills without those of its projects, in lower case, distinct, sorted."""
+    sources = [_canonical(), F.transform("inferred_skills", lambda s: s.skill), F.transform("skill_proficiency", lambda s: s.skill)]
+    low = F.transform(F.flatten(F.array(*map(_list, sources))), lambda t: F.lower(strip(F.coalesce(t, F.lit("")))))
+    return F.array_sort(F.array_distinct(F.filter(low, lambda t: t != "")))
+
+
+def embedding_hints(records: DataFrame) -> Column:
+    """What is embedded of a record that names nothing itself: its profile, its first two projects, its first ten skills in order."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    projects = F.transform(F.slice("projects", 1, 2), lambda p: F.concat(text(p["name"]), F.lit(": "), text(p.approach)))
+    return F.struct(
+        text(F.col("profile_keywords_line")).alias("profile_embed"), F.array_join(_list(projects), " | ").alias("projects_embed"),
+        F.array_join(F.slice(boost_tokens(records), 1, 10), ", ").alias("skills_embed"),
+    )
+
+
+def candidate_summary(rows: DataFrame, records: DataFrame, cid: str = "candidate_id") -> DataFrame:
+    """(candidate_id, summary): short JSON of each scored row (candidate_id, name and any of the four scores) for a re-ranker.
+
+    Up to five skills a category, ten in all, and three projects; a row without a record has none of these."""
+    score = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in rows.columns else F.lit(0.0)
+    field = lambda c, t: F.col(c).cast(t) if c in records.columns else F.lit(None).cast(t)
+    scores = {"p": "project_aggregate", "k": "keyword_score", "s": "semantic_score", "f": "final_score"}
+    skills = F.slice(F.filter(F.flatten(F.transform(F.map_values("canonical_skills"), lambda c: F.slice(_list(c), 1, 5))), lambda t: t.isNotNull()), 1, 10)
+    short = lambda p: F.struct(
+        F.substring(F.coalesce(p["name"], F.lit("")), 1, 50).alias("n"), F.array_join(F.slice(_list(p.tech_keywords), 1, 5), ", ").alias("tech"),
+        F.coalesce(p.metrics.domain_relevance, F.lit(0.0)).alias("score"),
+    )
+    extra = records.select(
+        cid, field("years_experience", "double").alias("_exp"), F.coalesce(field("location", "string"), F.lit("")).alias("_loc"),
+        F.coalesce(field("role_claim", "string"), F.lit("")).alias("_role"), skills.alias("_sk"), F.transform(F.slice("projects", 1, 3), short).alias("_pj"),
+    )
+    nothing = lambda c: F.coalesce(F.col(c), F.array().cast(extra.schema[c].dataType))
+    summary = F.struct(
+        F.coalesce(cid, F.lit("")).alias("id"), F.coalesce("name", F.lit("")).alias("n"), F.struct(*[score(c).alias(k) for k, c in scores.items()]).alias("sc"),
+        F.col("_exp").alias("exp"), F.coalesce("_loc", F.lit("")).alias("loc"), F.col("_role").alias("role"), nothing("_sk").alias("sk"), nothing("_pj").alias("pj"),
+    )
+    return rows.join(extra, cid, "left").select(cid, F.to_json(summary).alias("summary"))
+
+
 def record_tokens(records: DataFrame) -> Column:
     """A record's token set: skills, technologies, duties, domain tags, and the parts and words of its two lines."""
-    parts = [F.flatten(F.map_values("canonical_skills")), _sure("inferred_skills"), F.transform("skill_proficiency", lambda s: s.skill)]
+    parts = [_canonical(), _sure("inferred_skills"), F.transform("skill_proficiency", lambda s: s.skill)]
     parts += [_each("projects", lambda p: F.concat(_list(p.tech_keywords), _list(p.primary_skills)))]
     parts += [_each("experience_entries", lambda e: F.concat(_list(e.primary_tech), _list(e.responsibilities_keywords))), F.col("domain_tags")]
     low = F.transform(F.flatten(F.array(*map(_list, parts))), lambda t: F.lower(strip(F.coalesce(t, F.lit("")))))
@@ -225,6 +271,27 @@ def parse_requirements(texts: DataFrame, text: str = "text") -> DataFrame:
     })
 
 
+def text_fields(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``texts`` with email, years_experience, name and skills of a free candidate text: the offline default where no model parses it.
+
+    The name is the first line with a word; skills are the parts of the first line that begins with 'Skills:'. Null: none given."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    first = lambda pattern: F.nullif(strip(F.regexp_extract(t, pattern, 1)), F.lit(""))
+    listed = F.transform(F.split(F.regexp_extract(t, r"(?im)^[ \t]*skills[ \t]*:([^\n]*)", 1), "[,;]"), lambda x: strip(x))
+    return texts.withColumns({
+        "email": first(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"), "years_experience": first(r"(?i)([0-9]+(?:\.[0-9]+)?)\+?[ ]*years?").try_cast("double"),
+        "name": first(r"([^\n]*[^\s][^\n]*)"), "skills": F.filter(listed, lambda x: x != ""),
+    })
+
+
+def call_arguments(response: Column) -> Column:
+    """Of a model's answer (JSON) the arguments of its function call, and what is wrong where there are none."""
+    call = F.get_json_object(response, "$.choices[0].message.function_call")
+    args = F.get_json_object(response, "$.choices[0].message.function_call.arguments")
+    error = F.when(call.isNull(), "no function call").when(F.coalesce(args, F.lit("")) == "", "no arguments").when(F.try_parse_json(args).isNull(), "bad arguments")
+    return F.struct(F.when(error.isNull(), args).alias("arguments"), error.alias("error"))
+
+
 def notes_asked(notes: Iterable[dict], job_skills: Iterable[str], years) -> list[dict]:
     """Of parsed notes those of type inferred_requirement, as impact, low, high and the job's skills that their text names, or names a word of.
 

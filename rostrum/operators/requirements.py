@@ -283,3 +283,20 @@ def strict_skills(items: Column, description: Column, required) -> Column:
 def match_quality(value: Column, low: float, high: float) -> Column:
     v = value.try_cast("double")
     return F.when(value.isNull(), "missing").when(v.isNull(), "invalid").when(v < low, "below").when(v > high, "exceeds").otherwise("exact")
+
+
+def skills_report(have: Column, required) -> Column:
+    """How the skills asked for fit a record's (an array in lower case): meets, match_quality, found_skills, missing_skills, details.
+
+    Null where nothing is asked."""
+    asked = [str(s) for s in required or [] if str(s)]
+    low = [s.strip().lower() for s in asked]
+    if not low:
+        return F.lit(None).cast("struct<meets: boolean, match_quality: string, found_skills: array<string>, missing_skills: array<string>, details: string>")
+    own = F.coalesce(have, F.array().cast("array<string>"))
+    found, missing = F.filter(_lits(low), lambda s: F.array_contains(own, s)), F.filter(_lits(low), lambda s: ~F.array_contains(own, s))
+    none_left, some = F.size(missing) == 0, F.size(found) > 0
+    partly = F.concat(F.lit("Has "), F.size(found).cast("string"), F.lit(f"/{len(asked)} required skills. Missing: "), F.array_join(F.slice(missing, 1, 3), ", "))
+    details = F.when(none_left, "Has all required skills: " + ", ".join(asked)).when(some, partly).otherwise("Missing all required skills: " + ", ".join(asked[:3]))
+    quality = F.when(none_left, "exact").when(some, "partial").otherwise("missing")
+    return F.struct(none_left.alias("meets"), quality.alias("match_quality"), found.alias("found_skills"), missing.alias("missing_skills"), details.alias("details"))

@@ -404,8 +404,8 @@ def rerank_batches(s, d):
 
 @query("top_k", f"{ALL}, {FRANK} select candidate_id, rank from frank where rank <= 10")
 def top_k(s, d):
-    rows = _three(s, d).where("final_score is not null").orderBy(F.desc("final_score"), F.desc("years"), "candidate_id").limit(10)
-    return ranking.ranked(rows, F.col("final_score"), F.col("years").desc(), F.col("candidate_id").asc()).select("candidate_id", "rank")
+    rows = _three(s, d).where("final_score is not null")
+    return ranking.top(rows, 10, F.col("final_score"), F.col("years").desc(), F.col("candidate_id").asc()).select("candidate_id", "rank")
 
 
 @query("report_lines", f"{ALL}, {FRANK} select rank, concat(cast(rank as varchar), '. ', name, ' | Score: ', printf('%.3f', final_score)) as line from frank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
-from rostrum.operators import ranking, records, requirements, scoring
+from rostrum.operators import entities, ranking, records, requirements, scoring, validation
 from rostrum.plans import fixtures as X
 from rostrum.plans.catalogue import CTE, HAVE, R3, SOFT_SQL, _cand, _skilled, query
 
@@ -189,3 +189,93 @@ def domain_fallback(s, d):
     industry = F.when(~F.col("candidate_id").like("%1"), F.col("location")).otherwise("")
     department = F.when(~F.col("candidate_id").like("%11"), F.col("segment")).otherwise("")
     return _cand(s, d).select("candidate_id", records.domain(industry, department).alias("domain"))
+
+
+_ODD = """select doc_id, case when doc_id % 11 = 0 then '  ' when doc_id % 13 > 0 then concat(' doc_', doc_id) end as candidate_id, coalesce(source, '') as name, text as profile_keywords_line,
+lang as ats_boost_line, cast(doc_id % 5 - 1 as double) as years_experience, array(named_struct('skill', lang, 'confidence', (doc_id % 4) / 2D)) as inferred_skills,
+array(named_struct('name', source, 'metrics', named_struct('novelty', (doc_id % 3) / 1.5D, 'complexity', case when doc_id % 7 = 0 then -0.5D end))) as projects from {documents}"""
+
+
+@query("record_validate", """select doc_id, case when doc_id % 11 = 0 then '' when doc_id % 13 > 0 then concat('doc_', doc_id) end as candidate_id, concat_ws('; ',
+case when doc_id % 11 = 0 or doc_id % 13 = 0 then 'candidate_id: required' end, case when trim(coalesce(source, '')) = '' then 'name: required' end,
+case when coalesce(text, '') = '' then 'profile_keywords_line: required' end, case when coalesce(lang, '') = '' then 'ats_boost_line: required' end,
+case when doc_id % 5 = 0 then 'years_experience: not a number of 0 or more' end, case when lang is null then 'inferred_skills[].skill: required' end,
+case when doc_id % 4 = 3 then 'inferred_skills[].confidence: outside 0..1' end, case when doc_id % 3 = 2 then 'projects[].metrics.novelty: outside 0..1' end,
+case when doc_id % 7 = 0 then 'projects[].metrics.complexity: outside 0..1' end) as errors from {documents}""")
+def record_validate(s, d):
+    return validation.validated(X.view(s, d, _ODD)).select("doc_id", "candidate_id", F.array_join("errors", "; ").alias("errors"))
+
+
+_BOOSTED = "list_sort(list_distinct([lower(lang), lower(source), 'sql', 'inf ' || lower(lang), 'guess ' || lower(source), 'prof' || (doc_id % 5)]))"
+
+
+@query("embedding_hints", f"""{NATIVE} select candidate_id, coalesce(text, '') as profile_embed, case when doc_id % 7 > 0 then 'Project on ' || source || ': ' || coalesce(text, '') else '' end as projects_embed,
+array_to_string(({_BOOSTED})[1:10], ', ') as skills_embed from n""")
+def embedding_hints(s, d):
+    r = _native(s, d)
+    return r.select("candidate_id", records.embedding_hints(r).alias("h")).select("candidate_id", "h.*")
+
+
+@query("candidate_summary", f"""{NATIVE}, j as (select *, chr(34) as q, case when doc_id % 3 = 0 then 0.25e0 else 0.5e0 end as f from n where doc_id % 4 < 3)
+select candidate_id, concat('{{"id":"', candidate_id, '","n":"person","sc":{{"p":0.0,"k":0.0,"s":0.0,"f":', case when doc_id % 3 = 0 then '0.25' else '0.5' end, '}},"loc":"",',
+  case when doc_id % 2 = 0 then concat('"role":"","sk":["', lang, '","', source, '","SQL "],"pj":[', case when doc_id % 7 > 0 then concat('{{"n":"', substr('Project on ' || source, 1, 50), '","tech":"', source, ', Spark","score":0.0}}') else '' end, ']}}')
+  else '"sk":[],"pj":[]}}' end) as summary from j""".replace("{{", "{").replace("}}", "}"))
+def candidate_summary(s, d):
+    r = X.view(s, d, RECORDS)
+    number = F.substring("candidate_id", 5, 18).cast("long")
+    rows = r.where(number % 4 < 3).select("candidate_id", F.lit("person").alias("name"), F.when(number % 3 == 0, 0.25).otherwise(0.5).alias("final_score"))
+    return records.candidate_summary(rows, r.where(number % 2 == 0))
+
+
+_MISS = "list_filter([" + ", ".join(f"'{x}'" for x in X.JD_REQUIRED) + "], lambda x: not list_contains(skills, x))"
+
+
+@query("skills_report", f"""{CTE}, {HAVE}, m as (select candidate_id, {_MISS} as missing from have)
+select candidate_id, len(missing) = 0 as meets, case len(missing) when 0 then 'exact' when {len(X.JD_REQUIRED)} then 'missing' else 'partial' end as match_quality,
+case len(missing) when 0 then 'Has all required skills: {", ".join(X.JD_REQUIRED)}' when {len(X.JD_REQUIRED)} then 'Missing all required skills: {", ".join(X.JD_REQUIRED[:3])}'
+  else concat('Has ', {len(X.JD_REQUIRED)} - len(missing), '/{len(X.JD_REQUIRED)} required skills. Missing: ', array_to_string(missing[1:3], ', ')) end as details from m""")
+def skills_report(s, d):
+    r = _skilled(s, d).select("candidate_id", requirements.skills_report(F.col("skills"), X.JD_REQUIRED).alias("r"))
+    return r.select("candidate_id", "r.meets", "r.match_quality", "r.details")
+
+
+# Each person's key is the id, the slug, another spelling or none; every fifth mapped file is gone; some files are not mapped.
+_N = "cast(substr(candidate_id, 6) as bigint)"
+_SEEN = f"select candidate_id, concat('Ann ', segment, '-', {_N}) as name from cand"
+_MAPPED = f"""select case {_N} % 6 when 0 then candidate_id when 1 then concat('ann_', lower(segment), '_', {_N}) when 2 then concat('ANN-', segment, ' ', {_N}, '.') else concat('z', {_N}) end as key,
+concat('m/', candidate_id, '.pdf') as path from cand"""
+_THERE = f"""select concat('m/', candidate_id, '.pdf') as path from cand where {_N} % 5 > 0 union all
+select concat('u/Ann_', segment, '-', {_N}, '.pdf') as path from cand where {_N} % 4 = 0"""
+_SLUG = "trim(replace(replace(replace(lower({}), ' ', '_'), '-', '_'), '.', ''), '_')"
+
+
+@query("path_lookup", f"""{CTE}, p as (select *, {_SLUG.format('name')} as slug from ({_SEEN})), m as (select * from ({_MAPPED}) where path in (select path from ({_THERE}))),
+t as (select path, {_SLUG.format("regexp_extract(path, '([^/]+)[.]pdf$', 1)")} as slug from ({_THERE})),
+w as (select p.candidate_id, name, path, 1 as kind from p join m on key = p.candidate_id union all select p.candidate_id, name, path, 2 from p join m on key = slug
+union all select p.candidate_id, name, path, 3 from p join m on {_SLUG.format('key')} = slug union all select p.candidate_id, name, path, 4 from p join t using (slug))
+select p.candidate_id, p.name, b.path, coalesce(b.kind, 0) as kind from p left join (select * from w qualify row_number() over (partition by candidate_id order by kind, path) = 1) b using (candidate_id)""")
+def path_lookup(s, d):
+    c = _cand(s, d)
+    made = lambda sql: s.sql(sql.replace(" from cand", " from {cand}"), cand=c)
+    found = entities.find_paths(made(_SEEN), made(_MAPPED), made(_THERE))
+    return found.withColumn("kind", F.coalesce("kind", F.lit(0)))
+
+
+@query("text_fields", r"""select doc_id, nullif(regexp_extract(coalesce(text, ''), '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', 1), '') as email,
+try_cast(nullif(regexp_extract(lower(coalesce(text, '')), '([0-9]+(?:\.[0-9]+)?)\+?[ ]*years?', 1), '') as double) as years_experience,
+nullif(trim(regexp_extract(coalesce(text, ''), '([^\n]*[^ \t\n\v\f\r][^\n]*)', 1), WHITE), '') as name from {documents}""".replace("WHITE", _WHITE))
+def text_fields(s, d):
+    return records.text_fields(X.table(s, d, "documents").select("doc_id", "text")).select("doc_id", "email", "years_experience", "name")
+
+
+ANSWERS = [
+    ('{"choices": [{"message": {"function_call": {"name": "f", "arguments": "{\\"a\\": 1}"}}}]}', '{"a": 1}', None), ('{"choices": [{"message": {"content": "x"}}]}', None, "no function call"),
+    ('{"choices": [{"message": {"function_call": {"name": "f"}}}]}', None, "no arguments"), ('{"choices": [{"message": {"function_call": {"arguments": "{"}}}]}', None, "bad arguments"), ("", None, "no function call"),
+]
+_VALUE = lambda v: "null" if v is None else f"'{v}'"
+
+
+@query("call_arguments", "select * from (values " + ", ".join(f"({_VALUE(a)}, {_VALUE(b)}, {_VALUE(c)})" for a, b, c in ANSWERS) + ") t(response, arguments, error)")
+def call_arguments(s, d):
+    rows = s.createDataFrame([(a,) for a, _, _ in ANSWERS], "response string")
+    return rows.select("response", records.call_arguments(F.col("response")).alias("r")).select("response", "r.*")

@@ -102,6 +102,36 @@ def embedded(rows: DataFrame, embedder: Embedder, text: str = "text", out: str =
     return rows.mapInPandas(run, schema)
 
 
+def parsed(rows: DataFrame, parser: Parser, text: str = "text", out: str = "json") -> DataFrame:
+    """``rows`` with the JSON record of a text column, one call a text, retried and broken off per task; null texts are not sent."""
+    return _mapped(rows, lambda t: parser.parse(t), text, out, "string")
+
+
+def paged(files: DataFrame, reader: PageReader, content: str = "content", out: str = "pages") -> DataFrame:
+    """``files`` with the page texts of a binary column in place of it; a file that cannot be read has null pages."""
+    def read(data):
+        try:
+            return list(reader.pages(data))
+        except Exception:
+            return None
+
+    return _mapped(files, read, content, out, "array<string>").drop(content)
+
+
+def _mapped(rows: DataFrame, call: Callable, column: str, out: str, kind: str) -> DataFrame:
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T._parse_datatype_string(kind))])
+
+    def run(parts: Iterator[pd.DataFrame]):
+        breaker = CircuitBreaker()
+        for pdf in parts:
+            got = [None if x is None else breaker.call(lambda x=x: retried(lambda: call(x))) for x in pdf[column]]
+            yield pdf.assign(**{out: pd.Series(got, index=pdf.index, dtype=object)})
+
+    return rows.mapInPandas(run, schema)
+
+
 def reranked(batches: DataFrame, reranker: Reranker) -> DataFrame:
     """Results of batches of at most 30 rows (columns batch, candidate_id, final_score)."""
     run = lambda pdf: retried(lambda: reranker.rerank(pdf))

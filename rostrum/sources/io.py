@@ -11,10 +11,12 @@ from rostrum.operators.requirements import normalise
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; a local one only where none is configured, as in tests."""
+    """A checkpoint in the cluster's shared folder; a folder of this machine only where none is set on a local master, as in tests."""
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="rostrum-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)

@@ -1,6 +1,9 @@
+import json
+
 from pyspark.sql import functions as F
 
-from rostrum.operators import entities, records, requirements
+from rostrum.operators import entities, ranking, records, requirements, validation
+from rostrum.sources import external
 
 
 def test_missing_columns_and_nulls_are_empty(spark):
@@ -46,3 +49,78 @@ def test_normalising_variants(spark):
     v = spark.createDataFrame([("2.5",), ("3",), ("null",), ('"x "',), ('[" a"]',), ("{}",)], "j string").withColumn("v", F.try_parse_json("j"))
     got = [tuple(r) for r in v.select(records.normalised_achievements(F.col("v")), records.normalised_years(F.col("v"))).collect()]
     assert got == [([], 2), ([], 3), ([], 0), (["x"], 0), ([" a"], 0), ([], 0)]
+
+
+def test_validation_names_what_is_wrong(spark):
+    schema = """candidate_id string, name string, profile_keywords_line string, ats_boost_line string, years_experience double,
+    inferred_skills array<struct<skill: string, confidence: double>>, projects array<struct<name: string, metrics: struct<novelty: double>>>"""
+    ok = (" a ", " N ", "p", " ", 0.0, [("s", 1.0), ("t", None)], [("x", (0.0,)), ("y", None)])
+    bad = ("\t", None, "", None, float("nan"), [(None, 1.5), None], [("x", (float("nan"),))])
+    rows = validation.validated(spark.createDataFrame([ok, bad, ("b", "n", "p", "q", None, None, None)], schema)).collect()
+    assert [(r.candidate_id, r["name"], r.valid) for r in rows] == [("a", "N", True), ("", None, False), ("b", "n", True)]
+    assert rows[1].errors == [
+        "candidate_id: required", "name: required", "profile_keywords_line: required", "ats_boost_line: required", "years_experience: not a number of 0 or more",
+        "inferred_skills[].skill: required", "inferred_skills[].confidence: outside 0..1", "projects[].metrics.novelty: outside 0..1",
+    ]
+    few = spark.createDataFrame([("a",)], "candidate_id string")
+    assert validation.validated(few).first().errors == ["name: required", "profile_keywords_line: required", "ats_boost_line: required"]
+    assert validation.job_errors({"role_title": " ", "hr_points": -1, "weighting": {"education": 1.1}}) == ["role_title: required", "hr_points: not a number of 0 or more", "weighting.education: outside 0..1"]
+    assert validation.job_errors({"role_title": "x", "weighting": None, "years_experience_required": 0}) == []
+
+
+def test_hints_and_summary_cut_lists(spark):
+    skills = {"a": [f"S{i}" for i in range(7)], "b": [f"T{i}" for i in range(7)], "c": None}
+    project = {"name": "n" * 60, "approach": None, "tech_keywords": list("uvwxyz"), "primary_skills": None, "metrics": None}
+    base = records.whole(spark.createDataFrame([("1", skills, [project] * 4)], "candidate_id string, canonical_skills map<string, array<string>>, " + [x for x in records.RECORD.split("\n") if x.startswith("projects")][0].rstrip(",")))
+    hints = base.select(records.embedding_hints(base).alias("h")).first().h
+    assert hints.profile_embed == "" and hints.projects_embed == " | ".join(["n" * 60 + ": "] * 2) and len(hints.skills_embed.split(", ")) == 10
+    assert len(base.select(records.skill_union(base).alias("s")).first().s) == 20  # a null category hides no other
+    rows = spark.createDataFrame([("1", "A", 0.5), ("2", None, None)], "candidate_id string, name string, final_score double")
+    got = {r.candidate_id: json.loads(r.summary) for r in records.candidate_summary(rows, base).collect()}
+    assert got["1"]["sk"] == [f"S{i}" for i in range(5)] + [f"T{i}" for i in range(5)] and len(got["1"]["pj"]) == 3
+    assert got["1"]["pj"][0] == {"n": "n" * 50, "tech": "u, v, w, x, y", "score": 0.0}
+    assert got["2"] == {"id": "2", "n": "", "sc": {"p": 0.0, "k": 0.0, "s": 0.0, "f": 0.0}, "loc": "", "sk": [], "pj": []}
+
+
+def test_paths_by_id_then_slug_then_stem(spark):
+    people = spark.createDataFrame([("1", "José Ñ"), ("1", "José Ñ"), ("2", "Ann-Lee."), (None, "Bo"), ("4", None), ("5", "Cy")], "candidate_id string, name string")
+    mapping = spark.createDataFrame([("1", "gone"), ("JOSE n", "j"), ("ann_lee", "a"), ("Ann Lee", "b"), ("", "a"), (None, "a")], "key string, path string")
+    files = spark.createDataFrame([("j",), ("a",), ("b",), ("d/B.o.pdf",), ("d/bo.pdf",), (None,)], "path string")
+    got = {(r.candidate_id, r["name"]): (r.path, r.kind) for r in entities.find_paths(people, mapping, files).collect()}
+    assert got == {("1", "José Ñ"): ("j", 3), ("2", "Ann-Lee."): ("a", 2), (None, "Bo"): ("d/B.o.pdf", 4), ("4", None): (None, None), ("5", "Cy"): (None, None)}
+    assert entities.find_paths(people.limit(0), mapping, files).count() == 0
+
+
+def test_skills_report_words(spark):
+    df = spark.createDataFrame([(["sql", "go"],), (["sql"],), (None,)], "s array<string>")
+    got = [r.r for r in df.select(requirements.skills_report(F.col("s"), ["SQL", " Go"]).alias("r")).collect()]
+    assert [(r.meets, r.match_quality, r.missing_skills) for r in got] == [(True, "exact", []), (False, "partial", ["go"]), (False, "missing", ["sql", "go"])]
+    assert got[1].details == "Has 1/2 required skills. Missing: go"
+    assert df.select(requirements.skills_report(F.col("s"), []).alias("r")).first().r is None
+
+
+def test_top_is_the_head_of_the_ranking(spark):
+    rows = spark.range(50).selectExpr("id", "case when id % 9 > 0 then double(id % 7) end as score")
+    every = {r.id: r["rank"] for r in ranking.ranked(rows, F.col("score"), F.col("id").asc()).collect() if r["rank"] <= 5}
+    assert {r.id: r["rank"] for r in ranking.top(rows, 5, F.col("score"), F.col("id").asc()).collect()} == every
+
+
+def test_parsers_and_readers_run_by_task(spark):
+    class Upper:
+        def parse(self, text):
+            return text.upper()
+
+    class Pages:
+        def pages(self, content):
+            if content == b"x":
+                raise ValueError
+            return content.decode().split("|")
+
+    texts = spark.createDataFrame([(1, "a"), (2, None)], "id int, text string")
+    assert {r.id: r.json for r in external.parsed(texts, Upper()).collect()} == {1: "A", 2: None}
+    files = spark.createDataFrame([("p", bytearray(b"a|b")), ("q", bytearray(b"x")), ("r", None)], "path string, content binary")
+    assert {r.path: r.pages for r in external.paged(files, Pages()).collect()} == {"p": ["a", "b"], "q": None, "r": None}
+    free = spark.createDataFrame([("\n Ann Lee \nSkills: SQL; Go,\n3.5+ years at x, a.b@c.org",), (None,)], "text string")
+    one, none = records.text_fields(free).collect()
+    assert (one.email, one.years_experience, one["name"], one.skills) == ("a.b@c.org", 3.5, "Ann Lee", ["SQL", "Go"])
+    assert (none.email, none.years_experience, none["name"], none.skills) == (None, None, None, [])
