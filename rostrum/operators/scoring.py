@@ -1,7 +1,7 @@
 """Project, keyword, semantic and HR scores."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import norm_lower, phrase_tokens, r3
@@ -127,25 +127,47 @@ def min_max(df: DataFrame, col: str, out: str, equal: str = "same", previous: st
 # Sections and vectors
 
 
+def _sized(wanted: DataFrame) -> dict[str, int]:
+    """Texts of each section of one requirement record; more than ``MOST_WANTED`` in all raise an error."""
+    sizes = {r.section: r.n for r in wanted.limit(MOST_WANTED + 1).groupBy("section").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(sizes.values()) > MOST_WANTED:
+        raise ValueError(f"more than {MOST_WANTED} wanted texts")
+    return sizes
+
+
 def similarities(wanted: DataFrame, offered: DataFrame) -> DataFrame:
-    """(section, jd_id, candidate, rv, cos) of unit vectors, joined by section.
+    """(section, jd_id, candidate, rv, cos) of unit vectors, joined by section: a row a pair, where the pairs are the result.
 
     ``wanted`` (section, jd_id, vec) is one requirement record's, at most 200 texts in each of six sections; more raise an error; it is
     broadcast, and the candidates' side is read where it lies."""
-    many = wanted.limit(MOST_WANTED + 1).count()
-    if many > MOST_WANTED:
-        raise ValueError(f"more than {MOST_WANTED} wanted texts")
+    _sized(wanted)
     pairs = offered.join(F.broadcast(wanted.withColumnRenamed("vec", "jvec")), "section")
     return pairs.select("section", "jd_id", "candidate", "rv", dot(F.col("jvec"), F.col("vec")).alias("cos"))
 
 
-def section_scores(sims: DataFrame, covered: float = COVERED, dense: float = DENSE) -> DataFrame:
-    """Coverage, depth, density and score of each candidate and section."""
-    by = ["candidate", "section"]
-    rows = sims.groupBy(*by, "jd_id").agg(F.max("cos").alias("best")).groupBy(*by).agg(F.avg((F.col("best") >= covered).cast("double")).alias("coverage"), F.avg("best").alias("depth"))
-    cols = sims.groupBy(*by, "rv").agg(F.max("cos").alias("best")).groupBy(*by).agg(F.avg((F.col("best") >= dense).cast("double")).alias("density"))
+def _against(wanted: DataFrame, offered: DataFrame, keep: int | None = None) -> tuple[DataFrame, int]:
+    """``offered`` with the wanted texts of its section (w, by jd_id, the first ``keep``) and its products with them (cos), and w's greatest length.
+
+    The wanted texts are one broadcast row a section, so a text stays one row. jd_id is one text of the wanted, rv one of a candidate's section."""
+    most = max(_sized(wanted).values(), default=0)
+    w = F.array_sort(F.collect_list(F.struct("jd_id", F.col("vec").alias("jvec"))))
+    w = wanted.groupBy("section").agg((w if keep is None else F.slice(w, 1, keep)).alias("w"))
+    rows = offered.join(F.broadcast(w), "section").withColumn("cos", F.transform("w", lambda j: dot(j.jvec, F.col("vec"))))
+    return rows, most if keep is None else min(most, keep)
+
+
+def section_scores(wanted: DataFrame, offered: DataFrame, covered: float = COVERED, dense: float = DENSE) -> DataFrame:
+    """Coverage, depth, density and score of each candidate and section.
+
+    One shuffle, after partial aggregation: a maximum for each wanted text's place, and the share of dense texts."""
+    rows, most = _against(wanted, offered)
+    maxima = F.array(*[F.max(F.get("cos", F.lit(i))) for i in range(most)]).cast("array<double>")
+    per = rows.groupBy("candidate", "section").agg(maxima.alias("best"), F.avg((F.array_max("cos") >= dense).cast("double")).alias("density"))
+    per = per.withColumn("best", F.filter("best", lambda x: x.isNotNull()))
+    mean = lambda f: F.aggregate("best", F.lit(0.0), lambda s, x: s + f(x)) / F.nullif(F.size("best"), F.lit(0))
+    cols = per.select("candidate", "section", mean(lambda x: (x >= covered).cast("double")).alias("coverage"), mean(lambda x: x).alias("depth"), "density")
     a, b, c = MIX
-    return rows.join(cols, by).withColumn("section_score", F.col("coverage") * a + F.col("depth") * b + F.col("density") * c)
+    return cols.withColumn("section_score", F.col("coverage") * a + F.col("depth") * b + F.col("density") * c)
 
 
 def with_empty_sections(scores: DataFrame, candidates: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -162,12 +184,14 @@ def semantic_raw(scores: DataFrame) -> DataFrame:
     return scores.groupBy("candidate").agg(r3(F.sum(weight[F.col("section")] * F.col("section_score"))).alias("semantic_raw"))
 
 
-def best_matches(sims: DataFrame, keep: int = 5) -> DataFrame:
-    """For each wanted text the candidate's nearest, ``keep`` of them by jd_id; ties to the smaller text."""
-    best = sims.groupBy("candidate", "section", "jd_id").agg(F.max(F.struct("cos", (-F.col("rv")).alias("n"))).alias("m"))
-    best = best.select("candidate", "section", "jd_id", (-F.col("m.n")).alias("rv"), F.col("m.cos").alias("cos"))
-    rank = F.row_number().over(Window.partitionBy("candidate", "section").orderBy("jd_id"))
-    return best.withColumn("pos", rank).where(F.col("pos") <= keep)
+def best_matches(wanted: DataFrame, offered: DataFrame, keep: int = 5) -> DataFrame:
+    """For each of a section's first ``keep`` wanted texts by jd_id the candidate's nearest; ties to the smaller text."""
+    rows, most = _against(wanted, offered, keep)
+    nearest = [F.struct(F.get("w.jd_id", F.lit(i)).alias("jd_id"), F.get("cos", F.lit(i)).alias("cos"), (-F.col("rv")).alias("n")) for i in range(most)]
+    best = F.array(*[F.max(x) for x in nearest]).cast("array<struct<jd_id: bigint, cos: double, n: bigint>>")
+    per = rows.groupBy("candidate", "section").agg(best.alias("best"))
+    out = per.select("candidate", "section", F.posexplode("best").alias("at", "m")).where("m.jd_id is not null")
+    return out.selectExpr("candidate", "section", "m.jd_id jd_id", "-m.n rv", "m.cos cos", "at + 1 pos")
 
 
 # HR notes

@@ -157,11 +157,11 @@ rv as (select vec_id as rv, vec_id % 6 as sec, vec_id % 50 as candidate, embeddi
 sims as (select sec, jd_id, candidate, rv, list_dot_product(cast(jvec as double[]), cast(vec as double[])) as cos from jd join rv using (sec))"""
 
 
-def _sims(s, d):
+def _vectors(s, d):
     v = X.table(s, d, "embeddings").withColumn("section", F.element_at(F.array(*map(F.lit, X.SECTION_NAMES)), (F.col("vec_id") % 6 + 1).cast("int")))
     jd = v.where("vec_id < 24").select("section", F.col("vec_id").alias("jd_id"), F.col("embedding").alias("vec"))
     rv = v.where("vec_id >= 24").select("section", (F.col("vec_id") % 50).alias("candidate"), F.col("vec_id").alias("rv"), F.col("embedding").alias("vec"))
-    return scoring.similarities(jd, rv)
+    return jd, rv
 
 
 SEC = f"list_extract([{_quoted(X.SECTION_NAMES)}], cast(sec + 1 as int))"
@@ -169,7 +169,7 @@ SEC = f"list_extract([{_quoted(X.SECTION_NAMES)}], cast(sec + 1 as int))"
 
 @query("semantic_similarity", f"with {VEC} select {SEC} as section, jd_id, candidate, rv, {R3.format('cos')} as cos from sims")
 def semantic_similarity(s, d):
-    return _sims(s, d).withColumn("cos", T.r3("cos"))
+    return scoring.similarities(*_vectors(s, d)).withColumn("cos", T.r3("cos"))
 
 
 TAU = (0.2, 0.1)  # lower than the defaults, which these vectors never reach
@@ -182,15 +182,14 @@ secs as (select {SEC} as section, candidate, coverage, depth, density, coverage
 
 @query("semantic_section", f"with {VEC}, {SECTION} select section, candidate, {', '.join(R3.format(c) + ' as ' + c for c in ('coverage', 'depth', 'density', 'section_score'))} from secs")
 def semantic_section(s, d):
-    x = scoring.section_scores(_sims(s, d), *TAU)
+    x = scoring.section_scores(*_vectors(s, d), *TAU)
     return x.select("section", "candidate", *[T.r3(c).alias(c) for c in ("coverage", "depth", "density", "section_score")])
 
 
 def _semantic_raw(s, d):
-    sims = _sims(s, d)
-    scores = scoring.section_scores(sims, *TAU)
-    wanted = X.table(s, d, "embeddings").where("vec_id < 24").select(F.element_at(F.array(*map(F.lit, X.SECTION_NAMES)), (F.col("vec_id") % 6 + 1).cast("int")).alias("section"))
-    return scoring.semantic_raw(scoring.with_empty_sections(scores, sims.select("candidate").distinct(), wanted))
+    wanted, offered = _vectors(s, d)
+    scores = scoring.section_scores(wanted, offered, *TAU)
+    return scoring.semantic_raw(scoring.with_empty_sections(scores, offered.select("candidate").distinct(), wanted))
 
 
 _SW = "case section " + " ".join(f"when '{k}' then {v}e0" for k, v in scoring.SECTIONS.items()) + " end"
@@ -206,7 +205,7 @@ def semantic_score(s, d):
 @query("semantic_best_match", f"""with {VEC}, best as (select sec, candidate, jd_id, rv, cos from sims qualify row_number() over (partition by sec, candidate, jd_id order by cos desc, rv) = 1)
 select {SEC} as section, candidate, jd_id, rv, {R3.format('cos')} as cos, cast(pos as int) as pos from (select *, row_number() over (partition by sec, candidate order by jd_id) as pos from best) where pos <= 5""")
 def semantic_best_match(s, d):
-    return scoring.best_matches(_sims(s, d)).withColumn("cos", T.r3("cos"))
+    return scoring.best_matches(*_vectors(s, d)).withColumn("cos", T.r3("cos"))
 
 
 # Requirements

@@ -105,9 +105,14 @@ def test_scores(spark):
 def test_sections(spark):
     jd = spark.createDataFrame([("skills", 1, [1.0, 0.0]), ("skills", 2, [0.0, 1.0])], "section string, jd_id long, vec array<double>")
     rv = spark.createDataFrame([("skills", 7, 10, [1.0, 0.0]), ("skills", 7, 11, [0.6, 0.8])], "section string, candidate long, rv long, vec array<double>")
-    x = scoring.section_scores(scoring.similarities(jd, rv)).first()
+    x = scoring.section_scores(jd, rv).first()
     assert (x.coverage, x.depth, x.density) == (1.0, 0.9, 1.0) and x.section_score == pytest.approx(0.96)
-    full = scoring.with_empty_sections(scoring.section_scores(scoring.similarities(jd, rv)), spark.createDataFrame([(7,), (8,)], "candidate long"), jd)
+    full = scoring.with_empty_sections(scoring.section_scores(jd, rv), spark.createDataFrame([(7,), (8,)], "candidate long"), jd)
+    near = scoring.best_matches(jd, rv.unionAll(rv.selectExpr("section", "candidate", "rv + 5", "vec")), keep=1).collect()
+    assert [tuple(r) for r in near] == [(7, "skills", 1, 10, 1.0, 1)]
+    pairs = scoring.similarities(jd, rv).groupBy("candidate", "jd_id").agg(F.max("cos").alias("c")).collect()
+    assert {(r.candidate, r.jd_id): r.c for r in pairs} == {(7, 1): 1.0, (7, 2): 0.8}
+    assert scoring.section_scores(jd.limit(0), rv).count() == 0 and scoring.best_matches(jd, rv.limit(0)).count() == 0
     got = {(r.candidate, r.section): r.section_score for r in full.collect()}
     assert len(got) == 12 and got[8, "skills"] == 0.0 and got[8, "profile"] == 0.5
     assert one(spark, dot(F.col("a"), F.col("a")), a=F.array(F.lit(3.0), F.lit(4.0))) == 25.0
