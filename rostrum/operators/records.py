@@ -7,10 +7,12 @@ import json
 import re
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rostrum.functions.text import phrase_tokens, sentences, strip
+from rostrum.functions.text import phrase_tokens, seniority, sentences, strip
 from rostrum.operators import scoring
 from rostrum.operators.scoring import LEAST_CONFIDENCE
 
@@ -93,6 +95,21 @@ def _leaves(value, depth: int = 0) -> list[str]:
     return [s for v in inner for s in _leaves(v, depth + 1)]
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def text_leaves(records: pd.Series) -> pd.Series:
+    """All texts of a JSON record of any shape, in its order, down to ten levels; none for a null or bad one.
+
+    In Python, since the shape differs from record to record and so has no column expression."""
+
+    def leaves(record):
+        try:
+            return _leaves(json.loads(record))
+        except (TypeError, ValueError, RecursionError):
+            return []
+
+    return records.map(leaves)
+
+
 def job_sections(job: dict, cap: int = CAP) -> dict[str, list[str]]:
     """The six sections of one job description, a small record that is read on the driver; each text once, whatever its case.
 
@@ -284,6 +301,39 @@ def text_fields(texts: DataFrame, text: str = "text") -> DataFrame:
     })
 
 
+def job_fields(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``texts`` with the fields of ``parse_requirements``, role_title, seniority_level and responsibilities of a free job description.
+
+    The offline default where no model parses it. The title is the first line with a word, responsibilities are its lines that begin with -, * or a bullet."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    title = F.nullif(strip(F.regexp_extract(t, r"([^\n]*[^\s][^\n]*)", 1)), F.lit(""))
+    duties = F.transform(F.regexp_extract_all(t, F.lit(r"(?m)^[ \t]*[-*\u2022]([^\n]*)"), F.lit(1)), lambda x: strip(x))
+    return parse_requirements(texts, text).withColumns({
+        "role_title": title, "seniority_level": seniority(F.lit(None).cast("string"), F.col(text)), "responsibilities": F.filter(duties, lambda x: x != ""),
+    })
+
+
+def record_defaults(records: DataFrame, text: str, today: Column | None = None) -> DataFrame:
+    """``records`` whose meta (raw_text_length, last_updated) and explainability are filled where they are null or missing; what is given stays.
+
+    ``text`` is the column of the text that a record was read from; a null one is of length 0. ``today``: the day of the run."""
+    has = lambda c: c in records.columns
+    inner = records.schema["meta"].dataType.names if has("meta") else ()
+    given = lambda f, kind: F.col("meta")[f].cast(kind) if f in inner else F.lit(None).cast(kind)
+    day = F.date_format(F.current_date() if today is None else today, "yyyy-MM-dd")
+    length = F.coalesce(given("raw_text_length", "int"), F.length(F.col(text)), F.lit(0))
+    nothing = F.struct(_strings().alias("top_matched_sentences"), _strings().alias("top_matched_keywords"))
+    others = [F.col("meta")[f].alias(f) for f in inner if f not in ("raw_text_length", "last_updated")]
+    filled = F.struct(length.alias("raw_text_length"), F.coalesce(given("last_updated", "string"), day).alias("last_updated"), *others)
+    return records.withColumns({"meta": filled, "explainability": F.coalesce(F.col("explainability"), nothing) if has("explainability") else nothing})
+
+
+def job_defaults(job: dict, text: str, today: str) -> dict:
+    """One job description with its meta, hr_points (the number of its notes) and filter_requirements filled where they are missing."""
+    meta = {"raw_text_length": len(text), "last_updated": today} | (job.get("meta") or {})
+    return {"hr_points": len(job.get("hr_notes") or []), "filter_requirements": None} | job | {"meta": meta}
+
+
 def call_arguments(response: Column) -> Column:
     """Of a model's answer (JSON) the arguments of its function call, and what is wrong where there are none."""
     call = F.get_json_object(response, "$.choices[0].message.function_call")

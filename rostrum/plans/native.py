@@ -268,6 +268,44 @@ def text_fields(s, d):
     return records.text_fields(X.table(s, d, "documents").select("doc_id", "text")).select("doc_id", "email", "years_experience", "name")
 
 
+# The text at the tenth level counts, the one at the eleventh does not.
+_NEST = lambda n, x: "array(" * n + x + ")" * n
+_NESTED = f"""select doc_id, case when doc_id % 9 = 0 then 'no json' when doc_id % 10 = 0 then null else
+to_json(named_struct('a', text, 'n', doc_id, 'b', array(named_struct('c', lang), named_struct('c', source)), 'ten', {_NEST(9, "'in'")}, 'eleven', {_NEST(10, "'out'")})) end as record from {{documents}}"""
+
+
+@query("text_leaves", """select doc_id, len(l) as n, sha256(array_to_string(l, '|')) as digest from (select doc_id,
+case when doc_id % 9 = 0 or doc_id % 10 = 0 then [] else list_filter([text, lang, source, 'in'], lambda x: x is not null) end as l from {documents})""")
+def text_leaves(s, d):
+    rows = X.view(s, d, _NESTED).select("doc_id", records.text_leaves("record").alias("l"))
+    return rows.select("doc_id", F.size("l").cast("long").alias("n"), F.sha2(F.array_join("l", "|"), 256).alias("digest"))
+
+
+_POST = "select doc_id, concat(' \n ', coalesce(lang, 'Any'), ' engineer \n', text, '\n - ', source, '\n* \n', case when doc_id % 3 = 0 then '  * Mid-level, at least 4 years' else '' end) as text from {documents}"
+
+
+@query("job_fields", r"""with t as (select doc_id, lang, source, text from {documents})
+select doc_id, case when source is null or text is null then null else coalesce(lang, 'Any') || ' engineer' end as role_title,
+case when source is null or text is null then 'Unspecified' when contains(lower(text), 'principal') or contains(lower(source), 'principal') then 'Principal'
+  when (contains(lower(text), 'lead') or contains(lower(source), 'lead')) and not contains(lower(text), 'tech lead') then 'Lead' when contains(lower(text), 'senior') or contains(lower(source), 'senior') then 'Senior'
+  when contains(lower(text), 'mid-level') or contains(lower(text), 'mid level') or contains(lower(text), 'midlevel') or doc_id % 3 = 0 then 'Mid'
+  when contains(lower(text), 'junior') or contains(lower(text), 'entry level') or contains(lower(text), 'fresher') then 'Junior' else 'Unspecified' end as seniority_level,
+case when source is null or text is null then 0 else len(list_filter(list_transform(regexp_extract_all(text, '(?m)^[ \t]*[-*•]([^\n]*)', 1), lambda x: trim(x)), lambda x: x <> '')) + case when source = '' then 0 else 1 end + case when doc_id % 3 = 0 then 1 else 0 end end as duties
+from t""")
+def job_fields(s, d):
+    out = records.job_fields(X.view(s, d, _POST))
+    return out.select("doc_id", "role_title", "seniority_level", F.size("responsibilities").cast("long").alias("duties"))
+
+
+@query("record_defaults", """select doc_id, cast(case when doc_id % 2 = 0 then 7 else coalesce(length(text), 0) end as int) as raw_text_length,
+case when doc_id % 3 = 0 and doc_id % 2 = 0 then '2020-01-01' else '2024-05-06' end as last_updated, case when doc_id % 5 = 0 then 1 else 0 end as explained from {documents}""")
+def record_defaults(s, d):
+    given = """select doc_id, text, case when doc_id % 2 = 0 then named_struct('raw_text_length', 7, 'last_updated', case when doc_id % 3 = 0 then '2020-01-01' end) end as meta,
+case when doc_id % 5 = 0 then named_struct('top_matched_sentences', array('x'), 'top_matched_keywords', cast(array() as array<string>)) end as explainability from {documents}"""
+    out = records.record_defaults(X.view(s, d, given), "text", F.lit("2024-05-06").cast("date"))
+    return out.select("doc_id", "meta.raw_text_length", "meta.last_updated", F.size("explainability.top_matched_sentences").alias("explained"))
+
+
 ANSWERS = [
     ('{"choices": [{"message": {"function_call": {"name": "f", "arguments": "{\\"a\\": 1}"}}}]}', '{"a": 1}', None), ('{"choices": [{"message": {"content": "x"}}]}', None, "no function call"),
     ('{"choices": [{"message": {"function_call": {"name": "f"}}}]}', None, "no arguments"), ('{"choices": [{"message": {"function_call": {"arguments": "{"}}}]}', None, "bad arguments"), ("", None, "no function call"),

@@ -124,3 +124,20 @@ def test_parsers_and_readers_run_by_task(spark):
     one, none = records.text_fields(free).collect()
     assert (one.email, one.years_experience, one["name"], one.skills) == ("a.b@c.org", 3.5, "Ann Lee", ["SQL", "Go"])
     assert (none.email, none.years_experience, none["name"], none.skills) == (None, None, None, [])
+
+
+def test_leaves_jobs_and_defaults(spark):
+    shapes = spark.createDataFrame([('{"a": ["x", {"b": "y", "n": 1, "z": null}]}',), ("bad",), (None,), ('"alone"',)], "r string")
+    assert [r[0] for r in shapes.select(records.text_leaves("r")).collect()] == [["x", "y"], [], [], ["alone"]]
+    post = "\n Lead engineer\nMinimum 4 years. Location: Pune\n- Run it\n \u2022 Build\n*  \nRequired: SQL"
+    one, none = records.job_fields(spark.createDataFrame([(post,), (None,)], "text string")).collect()
+    assert (one.role_title, one.seniority_level, one.low, one.responsibilities) == ("Lead engineer", "Lead", 4, ["Run it", "Build"])
+    assert (none.role_title, none.low, none.responsibilities) == (None, None, [])
+    plain = records.record_defaults(spark.createDataFrame([("abc",), (None,)], "text string"), "text").collect()
+    assert [r.meta.raw_text_length for r in plain] == [3, 0] and plain[0].explainability.top_matched_keywords == []
+    partly = spark.createDataFrame([("abc", (5, "v1"))], "text string, meta struct<raw_text_length: int, model: string>")
+    row = records.record_defaults(partly, "text").first()
+    assert row.meta.raw_text_length == 5 and row.meta.model == "v1" and row.meta.last_updated
+    assert records.job_defaults({"hr_notes": [1, 2], "meta": {"last_updated": "x"}}, "abc", "y") == {
+        "hr_notes": [1, 2], "hr_points": 2, "filter_requirements": None, "meta": {"raw_text_length": 3, "last_updated": "x"}}
+    assert records.job_defaults({"hr_points": 9, "filter_requirements": {}}, "", "y")["hr_points"] == 9
