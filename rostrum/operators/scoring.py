@@ -55,15 +55,28 @@ def project_score(*metrics: str) -> Column:
     return F.when(n > 0, r3(s / n)).otherwise(0.0)
 
 
+def _aggregate() -> Column:
+    return r3(F.avg(project_score())).alias("project_aggregate")
+
+
+def _metric_mean() -> Column:
+    three = sum((F.coalesce(F.col(m), F.lit(0.0)) for m in ("skill_relevance", "domain_relevance", "execution_quality")), F.lit(0.0)) / 3
+    return F.avg(three).alias("project_metrics")
+
+
 def project_aggregate(projects: DataFrame, by: str = "candidate_id") -> DataFrame:
     """Mean of the projects' rounded scores."""
-    return projects.withColumn("_s", project_score()).groupBy(by).agg(r3(F.avg("_s")).alias("project_aggregate"))
+    return projects.groupBy(by).agg(_aggregate())
 
 
 def project_metric_mean(projects: DataFrame, by: str = "candidate_id") -> DataFrame:
     """Mean over projects of three metrics, a missing one as 0."""
-    three = sum((F.coalesce(F.col(m), F.lit(0.0)) for m in ("skill_relevance", "domain_relevance", "execution_quality")), F.lit(0.0)) / 3
-    return projects.groupBy(by).agg(F.avg(three).alias("project_metrics"))
+    return projects.groupBy(by).agg(_metric_mean())
+
+
+def project_facts(projects: DataFrame, by: str = "candidate_id") -> DataFrame:
+    """Both means in one pass."""
+    return projects.groupBy(by).agg(_aggregate(), _metric_mean())
 
 
 # Keywords

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rostrum.functions import text as T
 from rostrum.operators import entities, ranking, requirements, scoring
 from rostrum.plans import fixtures as X
-from rostrum.sources.io import cache_misses
+from rostrum.sources.io import cache_misses, settled
 
 R3 = "cast(round(cast({} as decimal(18,9)), 3) as double)"
 #: Frequent pieces of the documents' words, in place of the verbs, which do not occur there.
@@ -26,7 +26,7 @@ _cskill = lambda s, d: X.view(s, d, X.CSKILL)
 
 def _skilled(s, d) -> DataFrame:
     """Candidates with their skill sets; none is an empty set."""
-    sets = _cskill(s, d).groupBy("candidate_id").agg(F.collect_set("skill").alias("skills"))
+    sets = X.view(s, d, X.SKILLS).groupBy("candidate_id").agg(F.collect_set("skill").alias("skills"))
     return _cand(s, d).join(sets, "candidate_id", "left").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
 
 
@@ -125,21 +125,25 @@ FUSED = f"""kw as (select candidate_id, {REQ} as req, {PREF} as pref, {WKW} as w
 fused as (select candidate_id, {R3.format(f"greatest(pref * {_W['preferred_skills']}e0 + pm * {_W['project_metrics']}e0 + req * {_W['required_skills']}e0 + wkw * {_W['weighted_keywords']}e0 - case when req < 0.5 then (0.5e0 - req) * 0.3e0 else 0e0 end, 0e0)")} as keyword_raw from kw)"""
 
 
-def _keyword_fused(s, d):
-    m = scoring.project_metric_mean(_proj(s, d))
-    k = _skilled(s, d).join(m, "candidate_id", "left").withColumn("project_metrics", F.coalesce("project_metrics", F.lit(0.5)))
+def _keyword_raw(rows):
+    """``rows`` (skills, project_metrics) with keyword_raw."""
+    k = rows.withColumn("project_metrics", F.coalesce("project_metrics", F.lit(0.5)))
     k = k.withColumns({"required_skills": scoring.overlap(X.JD_REQUIRED, F.col("skills")), "preferred_skills": scoring.overlap(X.JD_PREFERRED, F.col("skills")), "weighted_keywords": scoring.weighted_overlap(X.JD_WEIGHTED, F.col("skills"))})
     parts = {p: p for p in ("required_skills", "preferred_skills", "weighted_keywords", "project_metrics")}
-    return k.select("candidate_id", scoring.keyword_fused(parts).alias("keyword_raw"))
+    return k.withColumn("keyword_raw", scoring.keyword_fused(parts))
+
+
+def _keyword_fused(s, d):
+    rows = _skilled(s, d).join(scoring.project_metric_mean(_proj(s, d)), "candidate_id", "left")
+    return _keyword_raw(rows).select("candidate_id", "keyword_raw")
 
 
 query("keyword_fused", f"{CTE}, {HAVE}, {PMET}, {FUSED} select * from fused")(_keyword_fused)
 KNORM = f"kb as (select min(keyword_raw) lo, max(keyword_raw) hi from fused), knorm as (select candidate_id, keyword_raw, case when hi > lo then {R3.format('(keyword_raw - lo) / (hi - lo)')} else keyword_raw end as keyword_score from fused, kb)"
 
 
-def _keyword_score(s, d, kept=None):
-    fused = _keyword_fused(s, d)
-    return scoring.min_max(fused if kept is None else fused.join(kept, "candidate_id", "left_semi"), "keyword_raw", "keyword_score")
+def _keyword_score(s, d):
+    return scoring.min_max(settled(_keyword_fused(s, d)), "keyword_raw", "keyword_score")
 
 
 query("keyword_normalised", f"{CTE}, {HAVE}, {PMET}, {FUSED}, {KNORM} select * from knorm")(_keyword_score)
@@ -362,11 +366,17 @@ fin as (select *, case (case when project_aggregate is null then 0 else 1 end) +
   else {R3.format("(coalesce(project_aggregate, 0) * 0.35e0 + coalesce(semantic_score, 0) * 0.35e0 + coalesce(keyword_score, 0) * 0.3e0) / ((case when project_aggregate is null then 0e0 else 0.35e0 end) + (case when semantic_score is null then 0e0 else 0.35e0 end) + (case when keyword_score is null then 0e0 else 0.3e0 end))")} end as final_score from three)"""
 
 
-def _three(s, d, kept=None):
-    sem = scoring.min_max(_semantic_raw(s, d), "semantic_raw", "semantic_score", equal="previous").select("candidate", "semantic_score")
-    c = _cand(s, d).withColumn("candidate", F.substring("candidate_id", 6, 9).cast("long") % 50)
-    c = c if kept is None else c.join(kept, "candidate_id", "left_semi")
-    c = c.join(scoring.project_aggregate(_proj(s, d)), "candidate_id", "left").join(_keyword_score(s, d, kept), "candidate_id", "left").join(sem, "candidate", "left")
+def _three(s, d, people=None):
+    """Three scores of ``people`` (candidates with skills; all by default). What their bounds and rows both read is written once, slim."""
+    sem = scoring.min_max(settled(_semantic_raw(s, d)), "semantic_raw", "semantic_score", equal="previous").select("candidate", "semantic_score")
+    projects = _proj(s, d)
+    if people is None:
+        people = _skilled(s, d)
+    else:
+        projects = projects.join(people.select("candidate_id"), "candidate_id", "left_semi")
+    rows = _keyword_raw(people.join(scoring.project_facts(projects), "candidate_id", "left"))
+    rows = settled(rows.select("candidate_id", "name", "years_experience", "project_aggregate", "keyword_raw"))
+    c = scoring.min_max(rows, "keyword_raw", "keyword_score").withColumn("candidate", F.substring("candidate_id", 6, 9).cast("long") % 50).join(sem, "candidate", "left")
     ends = lambda *e: F.expr(" or ".join(f"candidate_id like '%{x}'" for x in e))
     return c.select(
         "candidate_id", "name", F.coalesce("years_experience", F.lit(0.0)).alias("years"), F.when(~ends("8"), F.col("project_aggregate")).alias("project_aggregate"),
@@ -549,8 +559,8 @@ KEPT = ALL.replace(f"{KNORM}", f"{CHECK}, kfused as (select fused.* from fused s
 @query("pipeline_full", f"{KEPT}, kfin as (select fin.* from fin semi join (select candidate_id from checked where ok) w using (candidate_id)) select candidate_id, name, final_score, years, cast(row_number() over (order by final_score desc, years desc, candidate_id) as int) as rank from kfin where final_score is not null")
 def pipeline_full(s, d):
     """Mandatory filter, three scores over what it keeps, fusion and rank."""
-    kept = requirements.mandatory(_skilled(s, d), X.MANDATORY)[0].select("candidate_id")
-    rows = _three(s, d, kept).where("final_score is not null")
+    kept = requirements.mandatory(_skilled(s, d), X.MANDATORY)[0]
+    rows = _three(s, d, settled(kept.select("candidate_id", "name", "years_experience", "skills"))).where("final_score is not null")
     out = ranking.ranked(rows, F.col("final_score"), F.col("years").desc(), F.col("candidate_id").asc())
     return out.select("candidate_id", "name", "final_score", "years", "rank")
 

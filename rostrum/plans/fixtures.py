@@ -29,6 +29,9 @@ from {orders} join {lineitem} on l_orderkey = o_orderkey
 join (select p_partkey, p_brand as skill from {part} union all select p_partkey, p_type as skill from {part}) x
   on x.p_partkey = l_partkey"""
 
+#: Skills of candidates, repeated: sets are made of these, so that one shuffle does for both.
+SKILLS = CSKILL.replace("select distinct", "select", 1)
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SECTION_NAMES = ("skills", "projects", "responsibilities", "profile", "education", "overall")
 
