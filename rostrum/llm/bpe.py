@@ -200,13 +200,14 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokeni
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id and bytes, of a table of doc_id and ids; null ids give empty bytes."""
+    """doc_id and bytes, of a table of doc_id and ids; null ids give empty bytes, ids that the vocabulary has not give null."""
     shared = _share(tokens.sparkSession, path, public_tokenizers.PATTERN)
 
     def run(batches):
         encoder = Encoder(*shared.value)
         for batch in batches:
-            out = [encoder.decode(x or ()) for x in batch.column(1).to_pylist()]
+            known = encoder.bytes_of.keys()
+            out = [encoder.decode(x or ()) if known >= set(x or ()) else None for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
     return tokens.selectExpr("cast(doc_id as bigint) doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")

@@ -1,7 +1,10 @@
 """Connected components: each task contracts the edges it holds, large-star and small-star rounds do the rest.
 
 A task contracts at most about ``PER_TASK`` edges by union-find, so that their number grows with the graph; a graph of one
-task's size needs no shuffle, a larger one a round after each contraction until nothing changes."""
+task's size needs no shuffle, a larger one a round after each contraction until nothing changes.
+
+Defined cases: edges with a null end and loops are left out; repeated edges and edges in both directions count once; an empty table
+gives an empty table; other columns are ignored."""
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

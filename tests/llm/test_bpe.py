@@ -34,3 +34,9 @@ def test_equals_the_library_and_round_trips(spark):
     back = bpe.decode(bpe.encode(docs)).collect()
     assert len(back) == 4 and {bytes(r.bytes) for r in back} == {b"Hello  world", b""}
     assert bpe.round_trip(docs.limit(0)).collect() == []
+
+
+def test_unknown_ids_decode_to_null(spark):
+    rows = spark.createDataFrame([(1, [0, 1 << 40]), (2, None), (3, [0])], "doc_id long, ids array<long>")
+    got = {r.doc_id: r.bytes for r in bpe.decode(rows).collect()}
+    assert got[1] is None and got[2] == b"" and len(got[3]) == 1

@@ -252,3 +252,16 @@ def test_url_rules(spark):
     out = urls.filter_urls(pages, spark.createDataFrame([("bad.org",), (None,)], "h string")).collect()
     assert Counter((r.url, r.host, r.path, r.rule, r.verdict) for r in out) == Counter(cases * 2)
     assert urls.filter_urls(pages.limit(0), spark.createDataFrame([], "h string")).count() == 0
+
+
+def test_very_long_texts_and_urls(spark):
+    text = " ".join(f"w{i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, "a", text), (2, "a", "one two"), (3, "b", text + " x")], "doc_id long, source string, text string")
+    got = {r.doc_id: (r["size"], r.source_size, r.taken) for r in mixing.mix(docs).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {1: (100_000, 100_002), 2: (2, 100_002), 3: (100_001, 100_001)}
+    assert all(taken in (0, size, 2 * size) for size, _, taken in got.values())
+    path = "/en/" + "x" * 200_000
+    pages = spark.createDataFrame([(1, "https://EXAMPLE.net" + path), (2, "https://a." + "b" * 100_000 + ".net" + path)], "page_id long, url string")
+    listed = spark.createDataFrame([("none.example",)], "key string")
+    rows = {r.page_id: r for r in urls.filter_urls(pages, listed).collect()}
+    assert (rows[1].host, rows[1].path == path, rows[1].verdict) == ("example.net", True, "allow") and rows[2].verdict == "block"

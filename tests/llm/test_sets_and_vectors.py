@@ -226,3 +226,19 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         licenses.scan(docs, {"x": "word"})
+
+
+def test_very_long_texts_are_read_to_their_end(spark):
+    noise = lambda s, n: " ".join(f"{s}{i}" for i in range(n))
+    passage = noise("p", 60)
+    rows = [(1, noise("a", 40_000) + " " + passage + " Released under the MIT License."), (2, noise("b", 30_000) + " " + passage + " " + noise("c", 9)), (3, noise("d", 100))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.license) for r in licenses.scan(docs).collect()} == {(1, "mit")}
+    found = {(r.doc_id, r.start_word, r.end_word) for r in repeats.repeated_passages(docs).collect()}
+    assert found == {(1, 40_000, 40_060), (2, 30_000, 30_060)}
+
+
+def test_components_leave_out_null_ends_and_loops(spark):
+    df = spark.createDataFrame([(1, None), (None, 2), (3, 3), (5, 4), (4, 5), (5, 4)], "a long, b long")
+    assert {(r.node, r.root) for r in components.components(Scratch(spark), df).collect()} == {(4, 4), (5, 4)}
+    assert components.components(Scratch(spark), df.limit(0)).count() == 0
