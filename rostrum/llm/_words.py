@@ -1,6 +1,6 @@
 """Words of many texts at once: numpy over the UTF-8 bytes of an Arrow batch.
 
-A word is a run of bytes other than space, \\t, \\n, \\v, \\f and \\r. Words and sequences of words
+A word is a run of bytes other than space, \\t, \\n, \\v, \\f and \\r, or than those of another table given. Words and sequences of words
 get 64-bit polynomial hashes, from running sums, so that any stretch costs two look-ups."""
 import numpy as np
 
@@ -8,6 +8,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: What parts terms, in lower case: ASCII other than letters and digits.
+BETWEEN = np.arange(256) < 128
+BETWEEN[[*range(48, 58), *range(97, 123)]] = False
 U = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -51,9 +54,9 @@ def stretch(total: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) ->
 class Words:
     """start, end: byte ranges of the words; first: each text's first word, and the number of words at the end."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE):
         n = len(data)
-        solid = ~SPACE[data]
+        solid = ~gaps[data]
         begin, last = solid.copy(), solid.copy()
         begin[1:] &= ~solid[:-1]
         last[:-1] &= ~solid[1:]

@@ -1,5 +1,5 @@
 """Queries of this subpackage and their SQL."""
-from rostrum.llm import bpe, html, licenses, mixing, neardup, neighbours, pii, quality, repeats, urls
+from rostrum.llm import bpe, html, lexical, licenses, mixing, neardup, neighbours, pieces, pii, quality, repeats, resampling, urls
 
 
 def queries() -> dict:
@@ -14,6 +14,9 @@ def queries() -> dict:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_nearest": neighbours.op9_nearest,
         "op10_pii": pii.op10_pii,
+        "op11_ranked_search": lexical.op11_ranked_search,
+        "op12_importance_draw": resampling.op12_importance_draw,
+        "op13_sentencepiece": pieces.op13_sentencepiece,
     }
 
 
@@ -23,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": licenses.OP3_SQL,
         "op5_url_filter": urls.OP5_SQL,
         "op7_near_dups": neardup.OP7_SQL,
+        "op11_ranked_search": lexical.OP11_SQL,
     }
