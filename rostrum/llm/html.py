@@ -14,7 +14,8 @@ an ``article`` element, in units of a word's, within the bounds of ``BOUNDS``. T
 all pages are extracted.
 
 Defined cases: null html is empty and gives an empty text; pages of any length and depth of nesting are read whole, in linear
-time and memory; unclosed and cut-off markup is read as far as it goes; among equally good regions the first is taken; every input row
+time and memory; unclosed and cut-off markup is read as far as it goes; among equally good regions the first is taken, and of several
+articles the one that scores best; every input row
 gives one output row; an empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 import html
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from rostrum.llm._spark import Scratch, text_slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)", re.S)
+#: Comments, declarations and tags. Quotation marks matter right behind an equals sign only; elsewhere, as in ``title=it's``, they are characters.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^=>]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)*+(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 HINT = re.compile(r"\s(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed"}
