@@ -2,6 +2,8 @@
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: Jobs opened within the innermost ``Scratch.group`` of this thread.
+_group: ContextVar = ContextVar("group", default=None)
+
+
 class Scratch:
     """Tables of one job in the shared folder. ``save`` cuts the lineage: a lost executor costs no recomputation.
 
-    Results are lazy and read these tables, so they stay until ``close``, or until the driver ends."""
-
-    opened: list = []
+    Results are lazy and read these tables, so they stay until ``close``, until their ``group`` ends, or until the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/rostrum-{uuid.uuid4().hex}"
         self.n = 0
-        Scratch.opened.append(self)
+        if (own := _group.get()) is not None:
+            own.append(self)
         if spark.conf.get(BATCH, None) is None:  # a session's own setting stays
             spark.conf.set(BATCH, "500")
 
@@ -69,13 +74,23 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    @classmethod
-    def close(cls, since: int = 0) -> None:
-        """Deletes the tables of all jobs but the first ``since``; only for when no result that reads them is still wanted."""
-        for s in cls.opened[since:]:
-            path, fs = s._at(s.root)
+    def close(self) -> None:
+        """Deletes the job's tables; only for when no result that reads them is still wanted."""
+        if self.n:
+            path, fs = self._at(self.root)
             fs.delete(path, True)
-        del cls.opened[since:]
+
+    @classmethod
+    @contextmanager
+    def group(cls):
+        """Closes, in the end, the jobs opened within by this thread; those of other threads and of groups around it stay."""
+        token = _group.set([])
+        try:
+            yield
+        finally:
+            for job in _group.get():
+                job.close()
+            _group.reset(token)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
