@@ -58,9 +58,8 @@ def run(spark, sf_dir):
     """All stages over ``documents``."""
     docs, scratch, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark), None
     for _, stage in STAGES:
-        opened = len(Scratch.opened)
-        docs = scratch.save(stage(spark, docs, sf_dir))
-        Scratch.close(opened)  # the stage's own tables; its result is written
+        with Scratch.group():  # the stage's own tables go when its result is written
+            docs = scratch.save(stage(spark, docs, sf_dir))
         if last is not None:
             scratch.drop(last)
         last = docs
