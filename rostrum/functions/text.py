@@ -85,9 +85,12 @@ def tagged(tags, prefix: str) -> Column:
 
 
 def hr_note(tag) -> Column:
-    """HR_NOTE:k=v;k=v to a struct; a missing or bad impact is 0.5."""
-    m = F.expr("str_to_map(substr({0}, 9), ';', '=')".format(tag if isinstance(tag, str) else "tag"))
-    part = lambda k: F.element_at(m, k)
+    """HR_NOTE:k=v;k=v to a struct; a missing or bad impact is 0.5. Keys and values are trimmed; of a repeated key the last counts.
+
+    Parts without = are left out. A null tag gives nulls and 0.5."""
+    parts = F.filter(F.split(F.substr(_c(tag), F.lit(9)), ";"), lambda p: F.contains(p, F.lit("=")))
+    pairs = F.transform(parts, lambda p: F.struct(strip(F.substring_index(p, "=", 1)).alias("k"), strip(F.substr(p, F.instr(p, "=") + 1)).alias("v")))
+    part = lambda k: F.try_element_at(F.filter(pairs, lambda x: x.k == k), F.lit(-1)).v
     return F.struct(
         F.coalesce(part("category"), part("cat")).alias("category"), part("type").alias("type"), part("note").alias("note"),
         F.coalesce(part("impact").try_cast("double"), F.lit(0.5)).alias("impact"),

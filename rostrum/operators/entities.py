@@ -3,33 +3,110 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import matching_key, slug_name, title_name, words
+from rostrum.sources.io import settled
+
+
+def _id(cid) -> Column:
+    """An id as text; an empty one is none."""
+    return F.nullif((F.col(cid) if isinstance(cid, str) else cid).cast("string"), F.lit(""))
+
+
+def _name(name) -> Column:
+    """A name in title form; an empty one is none."""
+    return F.nullif(title_name(name), F.lit(""))
 
 
 def entity_key(cid: str = "candidate_id", name: str = "name") -> Column:
-    return F.coalesce(F.col(cid).cast("string"), F.concat(F.lit("name:"), title_name(name)))
+    """What a record is known by: its id, else its name; null where it has neither and so is like no other."""
+    return F.coalesce(F.concat(F.lit("id:"), _id(cid)), F.concat(F.lit("name:"), _name(name)))
 
 
 def keep_first(rows: DataFrame, order: str, cid: str = "candidate_id", name: str = "name") -> DataFrame:
-    """The first row of each id; a row without an id only where no earlier kept row has its name."""
-    first = F.row_number().over(Window.partitionBy(cid).orderBy(order))
-    with_id = rows.where(F.col(cid).isNotNull()).withColumn("_n", first).where("_n = 1").drop("_n")
-    marked = with_id.withColumn("_id", F.lit(True)).unionByName(rows.where(F.col(cid).isNull()).withColumn("_id", F.lit(False)))
-    seen = F.row_number().over(Window.partitionBy(title_name(name)).orderBy(order))
-    return marked.withColumn("_n", seen).where(F.col("_id") | (F.col("_n") == 1)).drop("_n", "_id")
-
-
-def merge_scores(left: DataFrame, right: DataFrame, cid: str = "candidate_id", name: str = "name") -> DataFrame:
-    """Full outer merge by id; rows that found no id partner meet by name if one side has no id."""
-    r = right.select(*[F.col(c).alias(f"_r_{c}") for c in right.columns])
-    by_id = left.join(r, F.col(cid) == F.col(f"_r_{cid}"), "full_outer")
-    done = by_id.where(F.col(cid).isNotNull() & F.col(f"_r_{cid}").isNotNull())
-    alone_l = left.join(right.select(cid), cid, "left_anti").select(*left.columns)
-    alone_r = right.join(left.select(cid), cid, "left_anti").select(*[F.col(c).alias(f"_r_{c}") for c in right.columns])
-    same = (title_name(name) == title_name(f"_r_{name}")) & (F.col(cid).isNull() | F.col(f"_r_{cid}").isNull())
-    every = done.unionByName(alone_l.join(alone_r, same, "full_outer"))
+    """The first row of each id; a row without an id only where no earlier kept row has its name.
+
+    Rows with neither id nor name (null, empty or blank) are all kept. A row with an id counts as earlier than one without at the same
+    place of the order. Both windows keep one row a key, which Spark does before the shuffle too; nameless rows meet no window."""
+    i, n = free_names(rows, "_id", "_name")
+    r = rows.withColumns({i: _id(cid), n: _name(name)})
+    first = lambda part, key: part.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+    with_id = first(r.where(F.col(i).isNotNull()), i)
+    named = first(r.where(F.col(i).isNull() & F.col(n).isNotNull()), n)
+    taken = with_id.where(F.col(n).isNotNull()).groupBy(F.col(n).alias("_taken")).agg(F.min(order).alias("_since"))
+    fresh = named.join(taken, (F.col(n) == F.col("_taken")) & (F.col("_since") <= F.col(order)), "left_anti")
+    neither = r.where(F.col(i).isNull() & F.col(n).isNull())
+    return with_id.unionByName(fresh).unionByName(neither).select(*rows.columns)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, with underscores in front where ``df`` has such columns."""
+    have, out = {c.lower() for c in df.columns}, []
+    for w in wanted:
+        while w.lower() in have:
+            w = "_" + w
+        have.add(w.lower())
+        out.append(w)
+    return out
+
+
+def positions(rows: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """``rows`` with their place (from 0) among those alike in ``keys``, by ``order``.
+
+    Rows are dealt to ranges of the order and checkpointed; each is numbered within key and range, and the key's counts in earlier ranges, one
+    row a key and range, are added. So a key that most rows share is numbered by many tasks; rows alike in all that the order names
+    are dealt by where they stand."""
+    part, own, before = free_names(rows, "_part", "_own", "_before")
+    alike = [F.col(k) for k in keys]
+    dealt = settled(rows.withColumn(own, F.monotonically_increasing_id()).repartitionByRange(*order, own).withColumn(part, F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(before))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy(*alike, part).orderBy(*order, own))
+    numbered = dealt.withColumn(own, within).join(sizes, [*keys, part])
+    return numbered.withColumn(out, F.col(own) + F.col(before) - 1).select(*rows.columns, out)
+
+
+#: Parts that rows of one name are dealt to when they meet the name's counts.
+SALTS = 16
+
+
+def merge_scores(left: DataFrame, right: DataFrame, cid: str = "candidate_id", name: str = "name", order: str | None = None) -> DataFrame:
+    """Full outer merge of two score tables; each row meets one row of the other side at most, so none is lost or doubled.
+
+    Rows with one id meet first, the i-th with the i-th where an id stands more than once. What is left meets by name where
+    one of both has no id: those with an id on the left take those without on the right; those without on the left
+    take what is left on the right, those without an id first. Like-named rows are taken by id, then by ``order``, a column of both
+    sides (by default a hash of all they hold). Rows with neither id nor name stay alone. Columns of both sides are the left's, else the right's."""
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        return df.select(whole.alias(p), _id(cid).alias(f"{p}_id"), _name(name).alias(f"{p}_name"), (F.col(order) if order else F.xxhash64(F.to_json(whole))).alias(f"{p}_by"))
+
+    def met(l: DataFrame, r: DataFrame, key: str, also: Column | None = None) -> DataFrame:
+        on = (F.col(f"l_{key}") == F.col(f"r_{key}")) & (F.col("l_at") == F.col("r_at"))
+        return l.join(r, on if also is None else on & also, "full_outer").drop("l_at", "r_at")
+
+    sides = {p: side(df, p) for p, df in (("l", left), ("r", right))}
+    given = {p: positions(df.where(F.col(f"{p}_id").isNotNull()), [f"{p}_id"], [F.col(f"{p}_by")], f"{p}_at") for p, df in sides.items()}
+    by_id = settled(met(given["l"], given["r"], "id"))
+    done = by_id.where("l is not null and r is not null").select("l", "r")
+    rest = {p: by_id.where(f"{q} is null").select(*df.columns).unionByName(df.where(F.col(f"{p}_id").isNull())) for (p, df), q in zip(sides.items(), "rl")}
+    named = {p: df.where(F.col(f"{p}_name").isNotNull()) for p, df in rest.items()}
+    # On the left those with an id come first, on the right those without: the i-th of both meet.
+    l = positions(named["l"], ["l_name"], [F.col("l_id").isNull(), F.col("l_id"), F.col("l_by")], "l_at")
+    r = positions(named["r"], ["r_name"], [F.col("r_id").isNotNull(), F.col("r_id"), F.col("r_by")], "r_at")
+    # Rows with an id on the right come after the left's with an id, which they cannot meet.
+    heads = l.where("l_id is not null").select(F.col("l_name").alias("_n"), F.lit(1).alias("_more"))
+    heads = heads.unionAll(r.where("r_id is null").select("r_name", F.lit(-1))).groupBy("_n").agg(F.greatest(F.sum("_more"), F.lit(0)).alias("_more"))
+    heads = heads.where("_more > 0").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    later = r.join(heads, (F.col("r_name") == F.col("_n")) & (F.pmod("r_at", F.lit(SALTS)) == F.col("_s")) & F.col("r_id").isNotNull(), "left")
+    r = later.withColumn("r_at", F.col("r_at") + F.coalesce("_more", F.lit(0))).select(*r.columns)
+    by_name = met(l, r, "name", F.col("l_id").isNull() | F.col("r_id").isNull()).select("l", "r")
+    none = lambda p: F.lit(None).cast(sides[p].schema[p].dataType).alias(p)
+    alone = rest["l"].where("l_name is null").select("l", none("r")).unionByName(rest["r"].where("r_name is null").select(none("l"), "r"))
     both = [c for c in left.columns if c in right.columns]
-    out = [F.coalesce(F.col(c), F.col(f"_r_{c}")).alias(c) for c in both]
-    return every.select(*out, *[c for c in left.columns if c not in both], *[F.col(f"_r_{c}").alias(c) for c in right.columns if c not in both])
+    cell = lambda p, c: F.col(p)[c]
+    out = [F.coalesce(cell("l", c), cell("r", c)).alias(c) for c in both] + [cell("l", c).alias(c) for c in left.columns if c not in both] + [cell("r", c).alias(c) for c in right.columns if c not in both]
+    return done.unionByName(by_name).unionByName(alone).select(*out)
 
 
 def in_batch(scores: DataFrame, batch: DataFrame, cid: str = "candidate_id", name: str = "name") -> DataFrame:
@@ -50,17 +127,39 @@ def append_skips(log: DataFrame, new: DataFrame, cid: str = "candidate_id") -> D
     return log.unionByName(fresh.select(*new.columns), allowMissingColumns=True)
 
 
-#: Contained texts are looked up by their first letters, at most so many.
+#: Letters of a gram, by which contained texts are looked up; shorter texts are grams themselves.
 GRAM = 5
 
 
-def _grams(text: Column, least: int) -> Column:
+def _grams(text: Column, least: int = 1) -> Column:
     """The distinct substrings of ``least`` to ``GRAM`` letters."""
     n = F.length(text)
     cut = lambda size: F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substr(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.flatten(F.array(*[cut(k) for k in range(least, GRAM + 1)])))
 
 
+def _rarest(parts: DataFrame, grams: DataFrame) -> DataFrame:
+    """(part, g, n): of each distinct text (part) the gram that fewest of the texts behind ``grams`` (g) have, and how many have it.
+
+    A part with a gram that none has is in none of them and is left out."""
+    frequent = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    size = F.least(F.length("part"), F.lit(GRAM))
+    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("part") - size + 1), lambda i: F.substr(F.col("part"), i, size)))
+    asked = parts.where("part <> ''").distinct().withColumn("own", own).select("part", F.size("own").alias("all"), F.explode("own").alias("g"))
+    found = asked.join(frequent, "g").groupBy("part").agg(F.min(F.struct("n", "g")).alias("m"), F.count(F.lit(1)).alias("have"), F.first("all").alias("all"))
+    return found.where("have = all").select("part", "m.g", "m.n")
+
+
+def containing(parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(part, text) of the distinct texts of two tables where the text contains the part, neither empty.
+
+    A part is looked up under its rarest gram alone, so what is compared beyond the pairs found does not grow with what the
+    texts have in common."""
+    t = texts.where("text <> ''").distinct()
+    grams = t.select("text", F.explode(_grams(F.col("text"))).alias("g"))
+    return _rarest(parts, grams).join(grams, "g").where(F.contains("text", "part")).select("part", "text")
+
+
 def match_files(people: DataFrame, files: DataFrame) -> DataFrame:
     """(candidate_id, path, kind) of people (candidate_id, name, stem of the record) and files (path, stem): the best file by
 
@@ -68,25 +167,29 @@ def match_files(people: DataFrame, files: DataFrame) -> DataFrame:
     2. the record's stem;
     3. either stem containing the other; ties by path.
 
-    Contained texts meet by an equi join on their first letters and are checked after. As two words of a name must be found, its most
-    frequent word need not be looked up, so that a common first name makes no pairs of its own."""
+    Contained texts meet by an equi join on their rarest gram and are checked after. As two words of a name must be found, its most
+    frequent word need not be looked up, so that a common first name makes no pairs of its own. Names, stems and files alike are
+    compared once; only a stem's first file by path is carried."""
     p = people.select("candidate_id", "stem", matching_key("stem").alias("rs"), F.array_distinct(F.filter(words(matching_key("name")), lambda w: F.length(w) > 2)).alias("w"))
-    p = p.withColumn("need", F.least(F.lit(2), F.size("w")))
-    f = files.select("path", "stem", matching_key("stem").alias("fs"))
-    grams = f.select("path", "fs", F.explode(_grams(F.col("fs"), 1)).alias("g"))
-    frequent = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    asked = p.select("candidate_id", "w", "need", F.explode("w").alias("word")).withColumn("g", F.substring("word", 1, GRAM))
-    asked = asked.join(frequent, "g").withColumn("r", F.row_number().over(Window.partitionBy("candidate_id").orderBy("n", "word")))
+    f = files.where("path is not null").select("path", "stem", matching_key("stem").alias("fs"))
+    first = f.where("fs <> ''").groupBy("fs").agg(F.min("path").alias("path"))
+    grams = first.select("fs", "path", F.explode(_grams(F.col("fs"))).alias("g"))
+    names = p.select("w").where(F.size("w") > 0).distinct().withColumn("need", F.least(F.lit(2), F.size("w")))
+    asked = names.select("w", "need", F.explode("w").alias("part"))
+    asked = asked.join(_rarest(asked.select("part"), grams), "part").withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy("n", "part")))
     # Words that no file has are gone, so at most need - 1 of those left may be passed over.
-    left = F.count(F.lit(1)).over(Window.partitionBy("candidate_id"))
-    asked = asked.withColumn("left", left).where("r <= left - need + 1").select("candidate_id", "w", "need", "word", "g")
-    named = asked.join(grams, "g").where(F.contains("fs", "word")).where(F.size(F.filter("w", lambda w: F.contains("fs", w))) >= F.col("need"))
-    exact = p.select("candidate_id", "stem").join(f.select("path", "stem"), "stem")
-    inner = p.where("rs <> ''").withColumn("g", F.substring("rs", 1, GRAM)).join(grams, "g").where(F.contains("fs", "rs"))
-    outer = p.select("candidate_id", "rs", F.explode(_grams(F.col("rs"), 1)).alias("g")).join(f.where("fs <> ''").withColumn("g", F.substring("fs", 1, GRAM)), "g").where(F.contains("rs", "fs"))
+    left = F.count(F.lit(1)).over(Window.partitionBy("w"))
+    asked = asked.withColumn("left", left).where("r <= left - need + 1").select("w", "need", "part", "g")
+    named = asked.join(grams, "g").where(F.contains("fs", "part")).where(F.size(F.filter("w", lambda w: F.contains("fs", w))) >= F.col("need"))
+    named = named.groupBy("w").agg(F.min("path").alias("path"))
+    exact = f.groupBy("stem").agg(F.min("path").alias("path"))
+    stems, others = p.select("rs").distinct(), first.select("fs")
+    inner = containing(stems.select(F.col("rs").alias("part")), others.select(F.col("fs").alias("text"))).select(F.col("part").alias("rs"), F.col("text").alias("fs"))
+    outer = containing(others.select(F.col("fs").alias("part")), stems.select(F.col("rs").alias("text"))).select(F.col("text").alias("rs"), F.col("part").alias("fs"))
+    either = inner.unionAll(outer).join(first, "fs").groupBy("rs").agg(F.min("path").alias("path"))
     every = None
-    for kind, found in ((1, named), (2, exact), (3, inner), (3, outer)):
-        found = found.select("candidate_id", "path", F.lit(kind).alias("kind"))
+    for kind, (key, found) in enumerate((("w", named), ("stem", exact), ("rs", either)), 1):
+        found = p.select("candidate_id", key).join(found, key).select("candidate_id", "path", F.lit(kind).alias("kind"))
         every = found if every is None else every.unionAll(found)
     return every.groupBy("candidate_id").agg(F.min(F.struct("kind", "path")).alias("m")).select("candidate_id", "m.path", "m.kind")
 

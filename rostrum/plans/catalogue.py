@@ -17,7 +17,6 @@ NOTES = [
     {"impact": 0.4, "low": None, "high": 5.0, "skills": []},
     {"impact": 0.9, "low": None, "high": None, "skills": ["brand#12", "brand#13", "economy", "brand#99"]},
 ]
-NOTE_TEXTS = ["2-3 years", "3 to 5 years", "at least 4 years", "3 years experience", "5+ years", "over 7 years", "none"]
 
 _cand = lambda s, d: X.view(s, d, X.CAND)
 _proj = lambda s, d: X.view(s, d, X.PROJ)
@@ -258,8 +257,11 @@ def req_boolean(s, d):
     return _cand(s, d).select("candidate_id", requirements.boolean(F.col("years_experience"), "double").alias("met"))
 
 
-CHECK = f"""chk as (select candidate_id, c.name, coalesce(years_experience >= 1 and years_experience <= 5, false) as e, {_fuzzy(['promo', 'brand#1'])} as h from cand c join have using (candidate_id)),
-checked as (select candidate_id, name, e and h as ok, (cast(e as int) + cast(h as int)) / 2e0 as score, case when not e and not h then 'experience: not met; hard_skills: not met' when not e then 'experience: not met' else 'hard_skills: not met' end as filter_reason from chk)"""
+_HAS = "list_filter(['promo', 'brand#1'], lambda i: len(list_filter(skills, lambda x: contains(x, i) or contains(i, x))) > 0)"
+_WHY = """case when e then null when years is null then 'experience: experience not found in resume' else concat('experience: experience: ', cast(years as varchar), ' (required: 1-5)') end as why_e,
+  case when h then null else concat('hard_skills: Skills: Found ', case len(has) when 0 then 'none' else array_to_string(has, ', ') end, '. Missing: ', array_to_string(list_filter(['promo', 'brand#1'], lambda i: not list_contains(has, i)), ', ')) end as why_h"""
+CHECK = f"""chk as (select candidate_id, c.name, years_experience as years, coalesce(years_experience >= 1 and years_experience <= 5, false) as e, {_fuzzy(['promo', 'brand#1'])} as h, {_HAS} as has from cand c join have using (candidate_id)),
+checked as (select candidate_id, name, e and h as ok, (cast(e as int) + cast(h as int)) / 2e0 as score, concat_ws('; ', why_e, why_h) as filter_reason from (select *, {_WHY} from chk))"""
 
 
 @query("mandatory_filter", f"{CTE}, {HAVE}, {CHECK} select candidate_id, score from checked where ok")
@@ -272,14 +274,16 @@ def filter_skipped(s, d):
     return requirements.mandatory(_skilled(s, d), X.MANDATORY)[1].select("candidate_id", "name", "score", "filter_reason")
 
 
-SOFT_SQL = f"soft as (select candidate_id, {LOC} as l, contains(lower(segment), 'building') as g from cand)"
+SOFT_SQL = f"soft as (select candidate_id, location, segment, {LOC} as l, contains(lower(segment), 'building') as g from cand)"
 
 
 @query("soft_compliance", f"""{CTE}, {SOFT_SQL} select candidate_id, concat_ws(', ', case when l then 'location' end, case when g then 'segment' end) as met,
-concat_ws(', ', case when not l then 'location' end, case when not g then 'segment' end) as missing, (cast(l as int) + cast(g as int)) / 2e0 as score from soft""")
+concat_ws(', ', case when not l then 'location' end, case when not g then 'segment' end) as missing, (cast(l as int) + cast(g as int)) / 2e0 as score,
+concat('Location: ', location, ' (allowed: NATION_1, NATION_2)|segment: ', chr(39), segment, chr(39), ' (required: ', chr(39), 'BUILDING', chr(39), ')') as details from soft""")
 def soft_compliance(s, d):
     c = requirements.compliance(_cand(s, d), X.SOFT)
-    return c.select("candidate_id", F.array_join("met", ", ").alias("met"), F.array_join("missing", ", ").alias("missing"), "score")
+    details = F.array_join(F.transform("details", lambda x: x.details), "|").alias("details")
+    return c.select("candidate_id", F.array_join("met", ", ").alias("met"), F.array_join("missing", ", ").alias("missing"), "score", details)
 
 
 @query("compliance_label", f"""{CTE}, {SOFT_SQL} select candidate_id, case cast(l as int) + cast(g as int) when 2 then '✅ 2/2' when 1 then '⚠️ 1/2' else '❌ 0/2' end as label from soft""")
@@ -446,10 +450,14 @@ def hr_note_parse(s, d):
     return n.select("candidate_id", "n.category", "n.note", "n.impact")
 
 
-@query("experience_parse", "select * from (values ('2-3 years', 2e0, 3e0), ('3 to 5 years', 3e0, 5e0), ('at least 4 years', 4e0, null), ('3 years experience', 3e0, 5e0), ('5+ years', 5e0, null), ('over 7 years', 7e0, null), ('none', null, null)) t(note, low, high)")
+_NOTED = """select c_custkey, case c_custkey % 7 when 0 then concat(c_custkey % 4, '-', c_custkey % 4 + 3, ' years') when 1 then concat(c_custkey % 5, ' to ', c_custkey % 5 + 2, ' Years of ', c_mktsegment)
+when 2 then concat('at least ', c_custkey % 9, ' years') when 3 then concat(c_name, ' has ', c_custkey % 9, ' years experience') when 4 then concat(c_custkey % 9, '+ years') when 5 then concat('over ', c_custkey % 9, ' year') else c_mktsegment end as note from {customer}"""
+
+
+@query("experience_parse", """select c_custkey, case c_custkey % 7 when 0 then c_custkey % 4 when 1 then c_custkey % 5 when 6 then null else c_custkey % 9 end::double as low,
+case c_custkey % 7 when 0 then c_custkey % 4 + 3 when 1 then c_custkey % 5 + 2 when 3 then c_custkey % 9 + 2 end::double as high from customer""")
 def experience_parse(s, d):
-    notes = s.createDataFrame([(n,) for n in NOTE_TEXTS], "note string").withColumn("r", T.experience_range("note"))
-    return notes.select("note", "r.low", "r.high")
+    return X.view(s, d, _NOTED).select("c_custkey", T.experience_range("note").alias("r")).select("c_custkey", "r.low", "r.high")
 
 
 @query("skills_missing", f"{CTE}, {HAVE} select candidate_id, " + " || ".join(f"case when {_fuzzy([i])} then '' else '{i};' end" for i in X.JD_REQUIRED) + " as missing from have")
@@ -487,21 +495,23 @@ def seniority(s, d):
 #: Departments and what is asked of them, with cases of every branch.
 FIELDS = [["Computer Science"], ["Mechanical Engineering"], ["Botany"], ["Botany", "B.Tech Civil"], ["", " "], None, ["Law "], ["Fine Arts"], ["ENTC"], ["History of Law"]]
 ASKS = [("IT", [], []), ("Non-IT", [], ["civil"]), ("", ["law", "art"], []), ("", [], ["Law"]), ("", [], []), ("it", ["law"], ["computer science"])]
-_FIELD_ROWS = ", ".join(f"({i}, {'null' if f is None else '[' + _quoted(f) + ']'}::varchar[])" for i, f in enumerate(FIELDS))
 _ASK_ROWS = ", ".join(f"({i}, '{c.lower()}', [{_quoted(x.lower() for x in a)}]::varchar[], [{_quoted(x.lower() for x in e)}]::varchar[])" for i, (c, a, e) in enumerate(ASKS))
 _VOCAB = " ".join(f"when '{k}' then [{_quoted(v)}]" for k, v in requirements.DEPARTMENTS.items())
+# A customer's departments: those of its number, and its segment where it is even.
+_OWN = lambda array: "case c_custkey % 10 " + " ".join(f"when {i} then {'null' if f is None else array(f)}" for i, f in enumerate(FIELDS)) + " end"
 
 
-@query("department_match", f"""with f as (select id, list_filter(list_transform(coalesce(fields, []), lambda x: lower(trim(x))), lambda x: x <> '') as have from (values {_FIELD_ROWS}) t(id, fields)),
+@query("department_match", f"""with f as (select c_custkey, list_filter(list_transform(list_concat(coalesce({_OWN(lambda f: f'[{_quoted(f)}]')}, []), case when c_custkey % 20 < 10 then [c_mktsegment] else [] end), lambda x: lower(trim(x))), lambda x: x <> '') as have from customer),
 a as (select *, case category {_VOCAB} else []::varchar[] end as vocab from (values {_ASK_ROWS}) t(ask, category, allowed, excluded))
-select id, ask, len(have) > 0 and case when category in ('it', 'non-it') then len(list_filter(have, lambda h: len(list_filter(vocab, lambda v: contains(h, v))) > 0)) > 0
+select c_custkey, ask, len(have) > 0 and case when category in ('it', 'non-it') then len(list_filter(have, lambda h: len(list_filter(vocab, lambda v: contains(h, v))) > 0)) > 0
   when len(allowed) > 0 then len(list_filter(have, lambda h: len(list_filter(allowed, lambda v: contains(h, v) or contains(v, h))) > 0)) > 0
   else len(list_filter(have, lambda h: len(list_filter(excluded, lambda v: contains(h, v) or contains(v, h))) > 0)) = 0 end as met
 from f cross join a""")
 def department_match(s, d):
-    rows = s.createDataFrame(list(enumerate(FIELDS)), "id int, fields array<string>")
+    own = F.expr(_OWN(lambda f: f"array({_quoted(f)})"))
+    rows = X.table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 20 < 10, F.concat(F.coalesce(own, F.array().cast("array<string>")), F.array("c_mktsegment"))).otherwise(own).alias("fields"))
     checks = [F.struct(F.lit(i).alias("ask"), requirements.department(F.col("fields"), *ask).alias("met")) for i, ask in enumerate(ASKS)]
-    return rows.select("id", F.inline(F.array(*checks)))
+    return rows.select("c_custkey", F.inline(F.array(*checks)))
 
 
 MODES = ["Remote", "onsite", "on-site or hybrid", "hybrid", "NATION_1", "nation_1, europe", "flexible", "remote/onsite", "", "remote or onsite"]
@@ -566,12 +576,12 @@ def pipeline_full(s, d):
 
 
 def queries() -> dict:
-    from rostrum.plans import native  # registers its own
+    from rostrum.plans import asked, native, resolution  # register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from rostrum.plans import native
+    from rostrum.plans import asked, native, resolution
 
     return dict(SQL)

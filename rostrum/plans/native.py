@@ -63,17 +63,24 @@ def record_sections(s, d):
     return records.record_sections(_native(s, d)).groupBy("candidate_id", "section").agg(F.count(F.lit(1)).alias("n"), F.sha2(texts, 256).alias("digest"))
 
 
-JOB_ROWS = [
-    ("profile", 0, "Senior data engineer."), ("profile", 1, "About the whole team"), ("skills", 0, "SQL"), ("skills", 1, "Spark"), ("skills", 2, "en"), ("skills", 3, "zzz"), ("skills", 4, "tech"),
-    ("responsibilities", 0, "Led the team of five."), ("responsibilities", 1, "Run the data platform!"), ("responsibilities", 2, "And more of it"), ("education", 0, "AWS"),
-    ("overall", 0, "We build data tools."), ("overall", 1, "For all of us."), ("overall", 2, "It is a good team?"),
-]
+_JOBS = f"""select doc_id, concat('Senior ', lang, ' data engineer. Ok.') as role_title, array(named_struct('title', 'About the whole team', 'content', concat('It is ', source, ' team?')), named_struct('title', cast(null as string), 'content', text)) as sections,
+case when doc_id % 3 > 0 then array(' SQL', lang, 'sql', cast(null as string)) end as required_skills, array(upper(lang)) as preferred_skills, array('x', source) as keywords_flat,
+named_struct('projects_embed', cast(null as string), 'overall_embed', concat('We build ', source, ' tools. For all of us.')) as embedding_hints, array('Led the team of five.', 'x', concat('Run the ', lang, ' platform! And more of it')) as responsibilities,
+array('AWS') as certifications_required, case when doc_id % 2 = 0 then array(source, 'aws') end as education_requirements, concat('we build ', source, ' tools.') as summary from ({BASE})"""
+_SAID = "list_filter(list_transform({0}, lambda x: trim(x)), lambda x, i: list_position(list_transform({0}, lambda y: lower(trim(y))), lower(trim(x))) = i)[1:200]"
+_SECTION = {
+    "profile": "['Senior ' || lang || ' data engineer.', 'About the whole team']",
+    "skills": "case when doc_id % 3 > 0 then ['SQL', lang, 'sql', upper(lang)] else [upper(lang)] end", "responsibilities": "['Led the team of five.', 'Run the ' || lang || ' platform!', 'And more of it']",
+    "education": "case when doc_id % 2 = 0 then ['AWS', source, 'aws'] else ['AWS'] end", "overall": f"flatten([['We build ' || source || ' tools.', 'For all of us.', 'we build ' || source || ' tools.', 'It is ' || source || ' team?'], {_sent('text')}])",
+}
+_JOB_EACH = " union all ".join(f"select doc_id, '{n}' as section, {_SAID.format('v')} as texts from (select doc_id, {x} as v from n)" for n, x in _SECTION.items())
 
 
-@query("job_sections", "select * from (values " + ", ".join(f"('{a}', {b}, '{c}')" for a, b, c in JOB_ROWS) + ") t(section, pos, text)")
+@query("job_sections", f"{NATIVE} select doc_id, section, len(texts) as n, sha256(array_to_string(texts, '|')) as digest from ({_JOB_EACH})")
 def job_sections(s, d):
-    rows = [(n, i, t) for n, texts in records.job_sections(JOB).items() for i, t in enumerate(texts)]
-    return s.createDataFrame(rows, "section string, pos int, text string")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x.text), "|")
+    rows = records.job_section_rows(X.view(s, d, _JOBS), "doc_id")
+    return rows.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n"), F.sha2(texts, 256).alias("digest"))
 
 
 TOKENS = f"""{NATIVE}, t as (select *, list_sort(list_distinct(list_filter({_CAT("list_transform([lang, source, 'sql', 'inf ' || lang, 'prof' || (doc_id % 5), 'tech', 'led the team of five.', 'dom' || (doc_id % 3)], lambda x: lower(x))", _IF7("['spark']"), _phrases('text'), _phrases('boost'))}, lambda x: x <> ''))) as tokens from n)"""
@@ -142,19 +149,20 @@ def job_tags(s, d):
     return b.select("doc_id", tags.alias("t")).select("doc_id", F.size("t").alias("n"), F.sha2(F.array_join("t", "|"), 256).alias("digest"))
 
 
-ASKS = [
-    ("2-3 years. Must have: python, sql; Location: Pune.", 2, 3, "Pune", "python", ""),
-    ("at least 4 years; skills: Spark", 4, None, None, "Spark", ""),
-    ("Location: any. Preferred: go. nice-to-have: rust", None, None, None, "", "go|rust"),
-    ("requires 5 years, required: SQL. hard skills: SQL; skill: C++", 5, None, None, "C++|SQL", ""),
-    ("", None, None, None, "", ""),
-]
+# Lists that end at a full stop, a semicolon, a line's end or the next list; names with a full stop inside; company is not anywhere.
+_WISHES = """select c_custkey, case c_custkey % 5 when 0 then concat('Must have: ', c_name, ', sql and Node.js. Location: ', c_mktsegment, ' at our company, soon')
+when 1 then concat(c_custkey % 9, '-', c_custkey % 9 + 3, ' years. Skills: ', c_mktsegment, '; location any place. Preferred: go and rust')
+when 2 then concat('at least ', c_custkey % 7, ' years', chr(10), 'hard skills: C++, SQL', chr(10), c_mktsegment, ' nice-to-have ', c_name, ', sandbox. Required: sql, C++')
+when 3 then concat('We hire. Must have ', c_name, ' Preferred skills: ', c_mktsegment, '. requires 5+ years') else case when c_custkey % 2 = 0 then '' end end as text from {customer}"""
 
 
-@query("requirement_parse", "select * from (values " + ", ".join("('{}', {}, {}, {}, '{}', '{}')".format(a, "null::double" if b is None else f"{b}e0", "null::double" if c is None else f"{c}e0", "null" if e is None else f"'{e}'", f, g) for a, b, c, e, f, g in ASKS) + ") t(text, low, high, location, hard, preferred)")
+@query("requirement_parse", """select c_custkey, case c_custkey % 5 when 1 then c_custkey % 9 when 2 then c_custkey % 7 when 3 then 5 end::double as low, case c_custkey % 5 when 1 then c_custkey % 9 + 3 end::double as high,
+case c_custkey % 5 when 0 then c_mktsegment || ' at our company' end as location,
+case c_custkey % 5 when 0 then c_name || '|Node.js|sql' when 1 then c_mktsegment when 2 then 'C++|SQL|sql' when 3 then c_name else '' end as hard,
+case c_custkey % 5 when 1 then 'go|rust' when 2 then c_name || '|sandbox' when 3 then c_mktsegment else '' end as preferred from customer""")
 def requirement_parse(s, d):
-    out = records.parse_requirements(s.createDataFrame([(a[0],) for a in ASKS], "text string"))
-    return out.select("text", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), "location", F.array_join("hard_skills", "|").alias("hard"), F.array_join("preferred_skills", "|").alias("preferred"))
+    out = records.parse_requirements(X.view(s, d, _WISHES))
+    return out.select("c_custkey", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), "location", F.array_join("hard_skills", "|").alias("hard"), F.array_join("preferred_skills", "|").alias("preferred"))
 
 
 NOTE_TAGS = [
@@ -216,14 +224,14 @@ def embedding_hints(s, d):
     return r.select("candidate_id", records.embedding_hints(r).alias("h")).select("candidate_id", "h.*")
 
 
-@query("candidate_summary", f"""{NATIVE}, j as (select *, chr(34) as q, case when doc_id % 3 = 0 then 0.25e0 else 0.5e0 end as f from n where doc_id % 4 < 3)
+@query("candidate_summary", f"""{NATIVE}, j as (select *, chr(34) as q, case when doc_id % 3 = 0 then 0.25e0 else 0.5e0 end as f from n)
 select candidate_id, concat('{{"id":"', candidate_id, '","n":"person","sc":{{"p":0.0,"k":0.0,"s":0.0,"f":', case when doc_id % 3 = 0 then '0.25' else '0.5' end, '}},"loc":"",',
   case when doc_id % 2 = 0 then concat('"role":"","sk":["', lang, '","', source, '","SQL "],"pj":[', case when doc_id % 7 > 0 then concat('{{"n":"', substr('Project on ' || source, 1, 50), '","tech":"', source, ', Spark","score":0.0}}') else '' end, ']}}')
   else '"sk":[],"pj":[]}}' end) as summary from j""".replace("{{", "{").replace("}}", "}"))
 def candidate_summary(s, d):
     r = X.view(s, d, RECORDS)
     number = F.substring("candidate_id", 5, 18).cast("long")
-    rows = r.where(number % 4 < 3).select("candidate_id", F.lit("person").alias("name"), F.when(number % 3 == 0, 0.25).otherwise(0.5).alias("final_score"))
+    rows = r.select("candidate_id", F.lit("person").alias("name"), F.when(number % 3 == 0, 0.25).otherwise(0.5).alias("final_score"))
     return records.candidate_summary(rows, r.where(number % 2 == 0))
 
 
@@ -306,14 +314,14 @@ case when doc_id % 5 = 0 then named_struct('top_matched_sentences', array('x'),
     return out.select("doc_id", "meta.raw_text_length", "meta.last_updated", F.size("explainability.top_matched_sentences").alias("explained"))
 
 
-ANSWERS = [
-    ('{"choices": [{"message": {"function_call": {"name": "f", "arguments": "{\\"a\\": 1}"}}}]}', '{"a": 1}', None), ('{"choices": [{"message": {"content": "x"}}]}', None, "no function call"),
-    ('{"choices": [{"message": {"function_call": {"name": "f"}}}]}', None, "no arguments"), ('{"choices": [{"message": {"function_call": {"arguments": "{"}}}]}', None, "bad arguments"), ("", None, "no function call"),
-]
-_VALUE = lambda v: "null" if v is None else f"'{v}'"
+_ARGS = "to_json(named_struct('t', text, 'n', turn))"
+_CALL = "to_json(named_struct('choices', array(named_struct('message', named_struct('function_call', named_struct('name', 'f', 'arguments', {}))))))"
+_ANSWERED = f"""select conv_id, turn, case (conv_id + turn) % 6 when 0 then {_CALL.format(_ARGS)} when 1 then to_json(named_struct('choices', array(named_struct('message', named_struct('content', text)))))
+when 2 then {_CALL.format("cast(null as string)")} when 3 then {_CALL.format("concat('{{', text)")} when 4 then concat('so: ', text) else {_CALL.format(_ARGS)} end as response from {{conversations}}"""
 
 
-@query("call_arguments", "select * from (values " + ", ".join(f"({_VALUE(a)}, {_VALUE(b)}, {_VALUE(c)})" for a, b, c in ANSWERS) + ") t(response, arguments, error)")
+@query("call_arguments", """select conv_id, turn, case when (conv_id + turn) % 6 in (0, 5) then text end as t, case when (conv_id + turn) % 6 in (0, 5) then turn::double end as n,
+case (conv_id + turn) % 6 when 1 then 'no function call' when 2 then 'no arguments' when 3 then case when text is null then 'no arguments' else 'bad arguments' end when 4 then 'no function call' end as error from conversations""")
 def call_arguments(s, d):
-    rows = s.createDataFrame([(a,) for a, _, _ in ANSWERS], "response string")
-    return rows.select("response", records.call_arguments(F.col("response")).alias("r")).select("response", "r.*")
+    rows = X.view(s, d, _ANSWERED).select("conv_id", "turn", records.call_arguments(F.col("response")).alias("r"))
+    return rows.select("conv_id", "turn", F.get_json_object("r.arguments", "$.t").alias("t"), F.get_json_object("r.arguments", "$.n").cast("double").alias("n"), "r.error")

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.operators.requirements import normalise
+from rostrum.operators.requirements import flat_requirements, normalise
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def page_text(pages: Column) -> Column:
 
 
 def read_requirements(spark: SparkSession, path: str) -> dict[str, dict]:
-    """{'mandatory': specs, 'soft': specs} of a requirement file in the new or the old form; {} for a missing or bad file.
+    """{'mandatory': specs, 'soft': specs} of a requirement file in the new or the old form, its nested lists laid flat; {} for a missing or bad file.
 
     A requirement file is a few lines written by a person; it is read on the driver."""
     found = spark.read.text(path, wholetext=True) if _exists(spark, path) else None
@@ -72,7 +72,9 @@ def read_requirements(spark: SparkSession, path: str) -> dict[str, dict]:
     except (ValueError, TypeError):
         data = {}
     tiers = {"mandatory": data.get("mandatory_compliances") or (data if "structured" in data else {}), "soft": data.get("soft_compliances") or {}}
-    return {t: {f: n for f, s in (x.get("structured") or {}).items() if (n := normalise(s))} for t, x in tiers.items()}
+    structured = {t: x.get("structured") or {} for t, x in tiers.items()}
+    flat = {t: flat_requirements(x) if isinstance(x.get("requirements"), list) else x for t, x in structured.items()}
+    return {t: {f: n for f, s in x.items() if (n := normalise(s))} for t, x in flat.items()}
 
 
 def requirement_table(spark: SparkSession, tiers: dict[str, dict]) -> DataFrame:
