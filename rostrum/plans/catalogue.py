@@ -576,12 +576,12 @@ def pipeline_full(s, d):
 
 
 def queries() -> dict:
-    from rostrum.plans import asked, native, resolution  # register their own
+    from rostrum.plans import asked, native, resolution, stores  # register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from rostrum.plans import asked, native, resolution
+    from rostrum.plans import asked, native, resolution, stores
 
     return dict(SQL)

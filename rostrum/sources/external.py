@@ -54,19 +54,27 @@ class KeepOrder:
         return pd.DataFrame({"candidate_id": batch["candidate_id"], "re_rank_score": batch["final_score"], "meets_requirements": True})
 
 
-def retried(call: Callable, attempts: int = 3, first: float = 1.0, most: float = 10.0, sleep=time.sleep):
-    """The call's result, tried again after growing waits."""
+def retried(call: Callable, attempts: int = 3, first: float = 1.0, most: float = 10.0, sleep=time.sleep, growth: float = 2.0, jitter: float = 0.1):
+    """The call's result, tried again after waits that grow by ``growth``, each with up to ``jitter`` times the first added."""
     for k in range(attempts):
         try:
             return call()
         except Exception:
             if k == attempts - 1:
                 raise
-            sleep(min(most, first * 2**k) + random.random() * first * 0.1)
+            sleep(min(most, first * growth**k) + random.random() * first * jitter)
 
 
 class CircuitBreaker:
-    """Opens after so many failures in a row, refuses calls for ``rest`` seconds, then lets one through. One a task."""
+    """Opens after so many failures in a row, refuses calls for ``rest`` seconds, then lets one through.
+
+    ``of_process`` is the one of a worker process, which its later tasks find as earlier ones left it."""
+
+    _shared: dict = {}
+
+    @classmethod
+    def of_process(cls, name: str) -> "CircuitBreaker":
+        return cls._shared.setdefault(name, cls())
 
     def __init__(self, failures: int = 5, rest: float = 60.0, clock=time.monotonic):
         self.limit, self.rest, self.clock, self.failed, self.opened = failures, rest, clock, 0, None
@@ -85,25 +93,29 @@ class CircuitBreaker:
         return out
 
 
+#: Tries of an embedding call, and the growth of the waits between them.
+EMBED_TRIES, EMBED_GROWTH = 5, 1.4
+
+
 def embedded(rows: DataFrame, embedder: Embedder, text: str = "text", out: str = "vec", batch: int = 256) -> DataFrame:
-    """``rows`` with the embedding of a text column, in batches of at most ``batch`` texts, retried and broken off per task."""
+    """``rows`` with the embedding of a text column, in batches of at most ``batch`` texts, tried five times, and broken off per worker process."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(parts: Iterator[pd.DataFrame]):
-        breaker = CircuitBreaker()
+        breaker = CircuitBreaker.of_process("embed")
         for pdf in parts:
             for i in range(0, len(pdf), batch):
                 part = pdf.iloc[i : i + batch]
                 texts = part[text].fillna("").tolist()
-                yield part.assign(**{out: breaker.call(lambda: retried(lambda: embedder.embed(texts)))})
+                yield part.assign(**{out: breaker.call(lambda: retried(lambda: embedder.embed(texts), EMBED_TRIES, growth=EMBED_GROWTH, jitter=1.0))})
 
     return rows.mapInPandas(run, schema)
 
 
 def parsed(rows: DataFrame, parser: Parser, text: str = "text", out: str = "json") -> DataFrame:
-    """``rows`` with the JSON record of a text column, one call a text, retried and broken off per task; null texts are not sent."""
+    """``rows`` with the JSON record of a text column, one call a text, retried, and broken off per worker process; null texts are not sent."""
     return _mapped(rows, lambda t: parser.parse(t), text, out, "string")
 
 
@@ -124,7 +136,7 @@ def _mapped(rows: DataFrame, call: Callable, column: str, out: str, kind: str) -
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T._parse_datatype_string(kind))])
 
     def run(parts: Iterator[pd.DataFrame]):
-        breaker = CircuitBreaker()
+        breaker = CircuitBreaker.of_process(out)
         for pdf in parts:
             got = [None if x is None else breaker.call(lambda x=x: retried(lambda: call(x))) for x in pdf[column]]
             yield pdf.assign(**{out: pd.Series(got, index=pdf.index, dtype=object)})

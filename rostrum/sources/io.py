@@ -3,16 +3,17 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.operators.requirements import flat_requirements, normalise
+from rostrum.sources.versions import Versions
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; a folder of this machine only where none is set on a local master, as in tests."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of this machine only where none is set on a local master, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not spark.sparkContext.master.startswith("local"):
@@ -20,6 +21,22 @@ def settled(df: DataFrame) -> DataFrame:
         path = tempfile.mkdtemp(prefix="rostrum-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    name = f"{shared_folder(spark)}/rostrum-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return name
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -93,12 +110,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_scores(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A score table; an empty one where there is none yet."""
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    """A score table; an empty one where there is none yet. It stays as it is while others write."""
+    return Versions(spark, path).read("scores", schema)
 
 
 def write_scores(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Replaces a score table in one step; it may be made from the table itself. Old versions stay until ``Versions.clear``."""
+    Versions(df.sparkSession, path).replace(scores=df)
+
+
+def write_split(kept: DataFrame, filtered: DataFrame, path: str) -> int:
+    """Kept and filtered records as two tables of one store, changed together in one step; the input is never touched. The new version."""
+    return Versions(kept.sparkSession, path).replace(kept=kept, filtered=filtered)
 
 
 def write_ranking(df: DataFrame, path: str, description: str = "", skipped: int = 0, note: str = "") -> None:
