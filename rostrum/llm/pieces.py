@@ -16,7 +16,7 @@ repeated or null ids included; an empty table gives an empty table; other column
 import hashlib
 import heapq
 import re
-from itertools import chain
+from itertools import chain, pairwise
 
 import pyarrow as pa
 import public_tokenizers
@@ -32,6 +32,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 MERGES = 2
 BROKEN = "�"
+#: Symbols of a segment up to which its agenda is a plain list; a rank behind all others.
+SHORT, NEVER = 40, 1 << 60
 
 
 def read_model(data: bytes) -> ModelProto:
@@ -62,7 +64,8 @@ def whole_characters(data: bytes) -> str:
 
 
 class Pieces:
-    """Built once a worker from the model's bytes. ``known`` remembers segments; it is emptied at ``room`` entries."""
+    """Built once a worker from the model's bytes. ``known`` remembers segments (those of texts with plain single
+    spaces without their mark, which no other begins without); it is emptied before a text that finds ``room`` of them."""
 
     made: dict = {}
 
@@ -74,7 +77,7 @@ class Pieces:
             cls.made[data] = cls(data)
         return cls.made[data]
 
-    def __init__(self, data: bytes, room: int = 500_000):
+    def __init__(self, data: bytes, room: int = 1_000_000):
         model = read_model(data)
         self.library = SentencePieceProcessor(model_proto=data)
         self.room, self.known = room, {}
@@ -86,13 +89,39 @@ class Pieces:
         self.id_of_byte = {b: i for i, b in self.byte_of.items()}
         self.text_of = {i: p.piece.replace(MARK, " ") for i, p in enumerate(pieces) if p.type == NORMAL}
         self.text_of |= {i: "" for i, p in enumerate(pieces) if p.type == CONTROL} | {i: model.trainer_spec.unk_surface for i, p in enumerate(pieces) if p.type == UNKNOWN}
+        self.text_of |= {i: chr(b) for i, b in self.byte_of.items() if b < 128}  # never part of a longer character
         self.silent = {i for i, p in enumerate(pieces) if p.type == CONTROL}
         self.digits = [str(i) for i in range(len(pieces))]
-        apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id_of)
-        self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if apart else "(?s:.+)").findall
+        self.apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id_of)
+        self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if self.apart else "(?s:.+)").findall
 
     def merge(self, segment: str) -> tuple[int, ...]:
-        """Ids of a segment by the agenda, n log n in its length."""
+        """Ids of a segment by the agenda: a list of ranks for short ones, a heap for others, n log n in their length."""
+        symbols = self._by_list(segment) if len(segment) <= SHORT else self._by_heap(segment)
+        out = []
+        for s in symbols:
+            one = self.id_of.get(s)
+            if one is None:
+                out.extend(self.id_of_byte[b] for b in s.encode())
+            else:
+                out.append(one)
+        return tuple(out)
+
+    def _by_list(self, segment: str) -> list[str]:
+        symbols, get = list(segment), self.rank_of.get
+        agenda = [get(a + b, NEVER) for a, b in pairwise(segment)]  # of each symbol joined with the next
+        agenda.append(NEVER)
+        while (r := min(agenda)) < NEVER:
+            i = agenda.index(r)
+            one = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i + 1 < len(symbols):
+                agenda[i] = get(one + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + one, NEVER)
+        return symbols
+
+    def _by_heap(self, segment: str) -> list[str]:
         n, get = len(segment), self.rank_of.get
         end_of, before = list(range(1, n + 1)), list(range(-1, n))  # of the symbol that starts at i
         rank_at = [get(segment[i : i + 2]) for i in range(n - 1)]  # of that symbol joined with the next; None: no piece
@@ -117,30 +146,25 @@ class Pieces:
                     heapq.heappush(agenda, r * n + k)
         out, i = [], 0
         while i < n:
-            piece = segment[i : end_of[i]]
-            if (one := self.id_of.get(piece)) is not None:
-                out.append(one)
-            else:
-                out.extend(self.id_of_byte[b] for b in piece.encode())
+            out.append(segment[i : end_of[i]])
             i = end_of[i]
-        return tuple(out)
-
-    def segment(self, segment: str) -> tuple[int, ...]:
-        ids = self.merge(segment)
-        if len(self.known) >= self.room:
-            self.known.clear()
-        self.known[segment] = ids
-        return ids
+        return out
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        parts = self.cut(MARK + text.replace(" ", MARK))
-        try:
-            return list(chain.from_iterable(map(self.known.__getitem__, parts)))
-        except KeyError:
-            known = self.known
-            return list(chain.from_iterable([known.get(p) or self.segment(p) for p in parts]))
+        known = self.known
+        if len(known) >= self.room:
+            known.clear()
+        if self.apart and text[0] != " " and "  " not in text and MARK not in text:
+            parts = text.split(" ")  # each of these is a segment without its one mark
+            for part in set(parts).difference(known):
+                known[part] = self.merge(MARK + part)
+        else:
+            parts = self.cut(MARK + text.replace(" ", MARK))
+            for part in set(parts).difference(known):
+                known[part] = self.merge(part)
+        return list(chain.from_iterable(map(known.__getitem__, parts)))
 
     def decode(self, ids) -> str:
         """The ids' text without the space in front; runs of byte pieces are read as UTF-8."""
@@ -149,7 +173,7 @@ class Pieces:
         except KeyError:
             parts, run = [], bytearray()
             for i in ids:
-                if i in self.byte_of:
+                if i not in self.text_of:
                     run.append(self.byte_of[i])
                     continue
                 if run:
