@@ -16,7 +16,8 @@ repeated or null ids included; an empty table gives an empty table; other column
 import hashlib
 import heapq
 import re
-from itertools import chain, pairwise
+from itertools import chain, repeat
+from operator import add
 
 import pyarrow as pa
 import public_tokenizers
@@ -98,24 +99,25 @@ class Pieces:
     def merge(self, segment: str) -> tuple[int, ...]:
         """Ids of a segment by the agenda: a list of ranks for short ones, a heap for others, n log n in their length."""
         symbols = self._by_list(segment) if len(segment) <= SHORT else self._by_heap(segment)
-        out = []
+        try:
+            return tuple(map(self.id_of.__getitem__, symbols))
+        except KeyError:
+            out = []
         for s in symbols:
             one = self.id_of.get(s)
-            if one is None:
-                out.extend(self.id_of_byte[b] for b in s.encode())
-            else:
-                out.append(one)
+            out += (one,) if one is not None else [self.id_of_byte[b] for b in s.encode()]
         return tuple(out)
 
     def _by_list(self, segment: str) -> list[str]:
         symbols, get = list(segment), self.rank_of.get
-        agenda = [get(a + b, NEVER) for a, b in pairwise(segment)]  # of each symbol joined with the next
-        agenda.append(NEVER)
-        while (r := min(agenda)) < NEVER:
+        agenda = list(map(get, map(add, symbols, symbols[1:]), repeat(NEVER)))  # of each symbol joined with the next
+        left = len(agenda)  # pairs of neighbours
+        while left and (r := min(agenda)) < NEVER:
             i = agenda.index(r)
             one = symbols[i] = symbols[i] + symbols.pop(i + 1)
             del agenda[i]
-            if i + 1 < len(symbols):
+            left -= 1
+            if i < left:
                 agenda[i] = get(one + symbols[i + 1], NEVER)
             if i:
                 agenda[i - 1] = get(symbols[i - 1] + one, NEVER)
