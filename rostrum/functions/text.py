@@ -2,6 +2,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rostrum.functions.letters import plain_letters
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -24,15 +26,10 @@ def title_name(x) -> Column:
     return F.coalesce(F.array_join(words(F.array_join(cased, "")), " "), F.lit(""))
 
 
-#: Accented Latin letters and their bases, for slugs.
-_ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeeegggghiiiijklllnnnooorrrsssstttuuuuuuwyzzz")
-
-
 def slug_name(x) -> Column:
-    """Lower case without accents, dots or combining marks; spaces and hyphens become single underscores' places."""
-    plain = F.translate(F.lower(F.coalesce(_c(x), F.lit(""))), *_ACCENTS)
-    plain = F.regexp_replace(plain, r"\p{M}", "")
-    return F.regexp_replace(F.translate(F.regexp_replace(plain, r"\.", ""), " -", "__"), r"^_+|_+$", "")
+    """Without accents and other combining marks (NFKD), in lower case, without dots; spaces and hyphens as underscores, none at the ends."""
+    plain = F.lower(plain_letters(F.coalesce(_c(x), F.lit(""))))
+    return F.regexp_replace(F.translate(plain, " -.", "__"), r"^_+|_+$", "")
 
 
 def plain_name(x) -> Column:
@@ -166,7 +163,26 @@ def total_years(durations) -> Column:
     return F.aggregate(n, F.lit(0.0), lambda a, v: a + v)
 
 
-def word_any(skill, note) -> Column:
-    """The skill, or any word of it, is part of the note."""
+#: What words are made of where whole words count: letters, digits, underscores, and the signs of names such as c++ and c#.
+WORD = r"[\p{L}\p{N}_+#]+"
+
+
+def spaced(x) -> Column:
+    """A text's words in lower case, a space before and after each, so that a phrase's words are found in a row and as wholes."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(_c(x), F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" "))
+
+
+def has_phrase(text: Column, phrase: Column) -> Column:
+    """Whether a text holds a phrase's words in a row, as whole words; a phrase without words is in none."""
+    return F.contains(spaced(text), spaced(phrase)) & (spaced(phrase) != "  ")
+
+
+def word_any(skill, note, strict: bool = False) -> Column:
+    """The skill, or any word of it, is part of the note; with ``strict`` as whole words."""
+    if strict:
+        each = F.regexp_extract_all(F.lower(F.coalesce(_c(skill), F.lit(""))), F.lit(WORD), F.lit(0))
+        text = spaced(note)
+        return F.exists(each, lambda w: F.contains(text, F.concat(F.lit(" "), w, F.lit(" "))))
     low = F.lower(_c(note))
     return F.contains(low, F.lower(_c(skill))) | F.exists(words(F.lower(_c(skill))), lambda w: F.contains(low, w))

@@ -410,6 +410,14 @@ def notes_asked(notes: Iterable[dict], job_skills: Iterable[str], years) -> list
     return out
 
 
+#: Fixed value: letters of a note that a report shows.
+NOTE_SHOWN = 100
+
+
+def short_note(note: Column) -> Column:
+    return F.substring(note, 1, NOTE_SHOWN)
+
+
 def hr_gate(rows: DataFrame, verdicts: DataFrame, cid: str = "candidate_id") -> tuple[DataFrame, DataFrame]:
     """(kept, skipped): rows whose verdict says hr_should_filter are skipped; those without a verdict are kept."""
     both = rows.join(verdicts.select(cid, "hr_should_filter"), cid, "left")

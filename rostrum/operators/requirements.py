@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.functions.text import total_years
+from rostrum.functions.text import has_phrase, total_years
 
 #: Education levels in rising order.
 LEVELS = ("High School", "Bachelor's", "Master's", "PhD")
@@ -58,24 +58,26 @@ def numeric(value: Column, low=None, high=None) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def any_way(items: Column, wanted: Column) -> Column:
-    """Some item contains the wanted text or is contained in it."""
+def any_way(items: Column, wanted: Column, strict: bool = False) -> Column:
+    """Some item contains the wanted text or is contained in it; with ``strict`` as whole words, so that r is not in docker."""
+    if strict:
+        return F.exists(items, lambda i: has_phrase(i, wanted) | has_phrase(wanted, i))
     return F.exists(items, lambda i: F.contains(i, wanted) | F.contains(wanted, i))
 
 
-def any_way_of(items: Column, wanted: Column) -> Column:
-    return F.coalesce(any_way(items, wanted), F.lit(False))
+def any_way_of(items: Column, wanted: Column, strict: bool = False) -> Column:
+    return F.coalesce(any_way(items, wanted, strict), F.lit(False))
 
 
-def skill_list(items: Column, required) -> Column:
+def skill_list(items: Column, required, strict: bool = False) -> Column:
     required = _low(required)
     if not required:
         return F.lit(None).cast("boolean")
-    return F.coalesce(F.forall(_lits(required), lambda r: any_way(items, r)), F.lit(False))
+    return F.coalesce(F.forall(_lits(required), lambda r: any_way(items, r, strict)), F.lit(False))
 
 
-def missing_skills(items: Column, required) -> Column:
-    return F.filter(_lits(_low(required)), lambda r: ~any_way_of(items, r))
+def missing_skills(items: Column, required, strict: bool = False) -> Column:
+    return F.filter(_lits(_low(required)), lambda r: ~any_way_of(items, r, strict))
 
 
 def text(value: Column, required) -> Column:
@@ -313,10 +315,10 @@ def _shown(value: Column, dtype: str) -> Column:
     return F.coalesce(value.cast("string"), F.lit("None"))
 
 
-def check(df: DataFrame, field: str, spec, zero_is_missing: bool = False, enforce_max: bool = True) -> tuple[Column, Column, Column]:
+def check(df: DataFrame, field: str, spec, zero_is_missing: bool = False, enforce_max: bool = True, whole_words: bool = False) -> tuple[Column, Column, Column]:
     """For one field of ``df``: met, not met or skipped (null); a text that says why; and the optional items of a list that a row has.
 
-    ``zero_is_missing`` takes 0 years of experience for no statement; without ``enforce_max`` an upper bound is shown but not asked for."""
+    ``zero_is_missing`` takes 0 years of experience for no statement; without ``enforce_max`` an upper bound is shown but not asked for; with ``whole_words`` list items meet as whole words only."""
     spec, no_items = normalise(spec), F.array().cast("array<string>")
     if spec is None:
         return F.lit(None).cast("boolean"), F.lit(None).cast("string"), no_items
@@ -340,8 +342,8 @@ def check(df: DataFrame, field: str, spec, zero_is_missing: bool = False, enforc
         items = value if dtype.startswith("array") else F.array(value.cast("string"))
         clean = F.filter(F.transform(F.coalesce(items, no_items), lambda i: F.lower(F.trim(i.cast("string")))), lambda i: i.isNotNull() & (i != ""))
         wanted = _low(spec.get("required"))
-        missing = missing_skills(clean, wanted)
-        found = F.filter(_lits(wanted), lambda r: any_way_of(clean, r))
+        missing = missing_skills(clean, wanted, whole_words)
+        found = F.filter(_lits(wanted), lambda r: any_way_of(clean, r, whole_words))
         listed = F.array_join(found, ", ")
         if field.lower() in ("hard_skills", "skills", "required_skills"):
             part = F.concat(lit("Skills: Found "), F.when(listed == "", "none").otherwise(listed), lit(". Missing: "), F.array_join(missing, ", "))
@@ -349,7 +351,7 @@ def check(df: DataFrame, field: str, spec, zero_is_missing: bool = False, enforc
         else:
             few = F.array_join(F.slice(missing, 1, 3), ", ")
             why = F.concat(lit(f"{field}: Found "), F.size(found).cast("string"), lit(f"/{len(wanted)} required. Missing: "), F.when(few == "", "none").otherwise(few))
-        return skill_list(clean, wanted), F.when(F.lit(bool(wanted)), why), F.filter(_lits(_low(spec.get("optional"))), lambda o: F.array_contains(clean, o))
+        return skill_list(clean, wanted, whole_words), F.when(F.lit(bool(wanted)), why), F.filter(_lits(_low(spec.get("optional"))), lambda o: F.array_contains(clean, o))
     if kind == "location":
         required, allowed = spec.get("required"), spec.get("allowed") or ()
         met = location(value.cast("string"), required, allowed)

@@ -1,10 +1,12 @@
 """Project, keyword, semantic and HR scores."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.functions.text import norm_lower, phrase_tokens, r3
+from rostrum.functions.text import WORD, norm_lower, phrase_tokens, r3
 from rostrum.functions.vec import dot
 
 #: Project metrics, all of weight 0.142857.
@@ -109,11 +111,47 @@ def weighted_overlap(wanted: dict[str, float], have: Column) -> Column:
     return F.coalesce(sum((F.when(F.array_contains(have, k.strip().lower()), float(w)).otherwise(0.0) for k, w in sorted(wanted.items())), F.lit(0.0)) / total, F.lit(0.0))
 
 
-def lexicon_score(text: Column, lexicon: dict[str, float] | None = None) -> Column:
-    """Weights of the words that are part of the text, over all weights."""
+def lexicon_score(text: Column, lexicon: dict[str, float] | None = None, strict: bool = False) -> Column:
+    """Weights of the words that are part of the text, over all weights; with ``strict`` of those that it holds as whole words."""
     lexicon = VERBS if lexicon is None else lexicon
     low = F.lower(F.coalesce(text, F.lit("")))
-    return sum((F.when(F.contains(low, F.lit(k)), float(w)).otherwise(0.0) for k, w in sorted(lexicon.items())), F.lit(0.0)) / float(sum(lexicon.values()))
+    if strict:
+        found = phrases_found(low, list(lexicon))
+        hit = lambda k: F.array_contains(found, k)
+    else:
+        hit = lambda k: F.contains(low, F.lit(k))
+    return sum((F.when(hit(k), float(w)).otherwise(0.0) for k, w in sorted(lexicon.items())), F.lit(0.0)) / float(sum(lexicon.values()))
+
+
+def phrases_found(text: Column, phrases: list[str]) -> Column:
+    """Of a few phrases those that a text holds, their words in a row and as whole words: an array in no order, each once.
+
+    The phrases' words make a trie, a small literal map from state and word to state. A text's words are walked once, with the states that
+    phrases begun before have reached; the cost grows with the text and not with the number of phrases."""
+    moves, ends, count = {}, {}, 0
+    for phrase in sorted(set(phrases)):
+        state = 0
+        for word in re.findall(r"[\w+#]+", phrase.lower()):
+            if (state, word) not in moves:
+                count += 1
+                moves[state, word] = count
+            state = moves[state, word]
+        if state:
+            ends.setdefault(state, []).append(phrase)
+    if not moves:
+        return _strings()
+    step = F.create_map(*[c for (s, w), n in moves.items() for c in (F.lit(f"{s} {w}"), F.lit(n))])
+    said = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    ints = lambda *n: F.array(*map(F.lit, n)).cast("array<int>")
+
+    def walk(a: Column, word: Column) -> Column:
+        reached = F.filter(F.transform(F.array_append(a.at, F.lit(0)), lambda s: F.try_element_at(step, F.concat(s.cast("string"), F.lit(" "), word))), lambda s: s.isNotNull())
+        ended = F.filter(reached, lambda s: s.isin(*ends))
+        return F.struct(reached.alias("at"), F.when(F.size(ended) > 0, F.array_union(a.met, ended)).otherwise(a.met).alias("met"))
+
+    met = F.aggregate(said, F.struct(ints().alias("at"), ints().alias("met")), walk, lambda a: a.met)
+    names = F.create_map(*[c for s, p in ends.items() for c in (F.lit(s), F.array(*map(F.lit, p)))])
+    return F.array_distinct(F.flatten(F.transform(met, lambda s: F.try_element_at(names, s))))
 
 
 def keyword_fused(parts: dict[str, str], has_required: bool = True, weights: dict | None = None) -> Column:
