@@ -4,16 +4,17 @@ The cascade's first filter encodes the listed keys. The second encodes the keys
 pass the first, the third the listed ones that pass the second, and so on until none are left. A key is decided by
 the first filter that it fails, so the cascade is exact for every key of the universe it was built over, here all
 the corpus's keys, and rows are judged by bit look-ups without a join. Filters are long arrays read as scalar
-subqueries; a list whose filter would exceed ``max_bits`` is split into shards by key hash, each judged on its own.
+subqueries; a list whose filter would exceed ``max_bits`` is split into shards by key hash, which are built together, and each row
+meets its shard's filters, one row a shard, by the shard's number: the table is read once at any size.
 
 Only DataFrame functions are used. Defined cases: a null URL, or one without ``://``, has an empty host and path; the empty
 host is a key like any other and is never listed by itself; null listed keys are ignored; repeated rows each give a row; an
-empty table gives an empty table; other columns are kept.
+empty table gives an empty table; other columns are kept, and a new column whose name they have gets underscores in front.
 """
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm._spark import Scratch
+from rostrum.llm._spark import Scratch, free_names
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Host labels of unwanted sites; with them op5 makes its list, in place of an external one.
@@ -22,19 +23,19 @@ UNWANTED = r"(^|[.-])(ads|adult|bets|casino|gambling|malware|phishing|pills|poke
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
-def with_host_path(pages: DataFrame, url: str = "url") -> DataFrame:
+def with_host_path(pages: DataFrame, url: str = "url", host: str = "host", path: str = "path") -> DataFrame:
+    """``pages`` with two columns more, named as given."""
     at = F.locate("://", F.col(url))
     rest = F.when(at > 0, F.expr(f"substring({url}, locate('://', {url}) + 3)")).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER)
-    return pages.withColumn("host", host).withColumn("path", F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1))
+    return pages.withColumns({host: F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER), path: F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)})
 
 
-def rule_of(rules=RULES) -> tuple[Column, Column]:
+def rule_of(rules=RULES, at: str = "host", on: str = "path") -> tuple[Column, Column]:
     """The longest fitting rule and its verdict, null where none fits."""
     rule = verdict = F.lit(None).cast("string")
     for host, path, what in sorted(rules, key=lambda r: (len(r[0] + r[1]), r)):  # the longest ends up outermost
-        fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
+        fits = ((F.col(at) == host) | F.col(at).endswith("." + host)) & F.col(on).startswith(path)
         rule, verdict = F.when(fits, host + path).otherwise(rule), F.when(fits, what).otherwise(verdict)
     return rule, verdict
 
@@ -44,28 +45,46 @@ def _bit(key: Column, level: int, i: int, bits: int) -> Column:
 
 
 class Cascade:
-    """Filters over ``keys`` (columns key and listed, one row a key), saved one row each; ``has`` is exact for those keys."""
+    """Filters over ``keys`` (columns key and listed, one row a key), a row a shard; the verdicts are exact for those keys.
 
-    def __init__(self, scratch: Scratch, keys: DataFrame, bits_per_key: int = 10, hashes: int = 6):
-        self.hashes, self.levels = hashes, []
+    All shards have filters of the size that the fullest one needs, level by level."""
+
+    def __init__(self, scratch: Scratch, keys: DataFrame, bits_per_key: int = 10, hashes: int = 6, shards: int = 1):
+        self.hashes, self.shards, self.levels = hashes, shards, []
         spark = scratch.spark
-        inside = scratch.save(keys.where("listed").select("key"))
-        outside = keys.where("not listed").select("key")
-        n = inside.count()
+        keys = keys.select("key", "listed", self.shard(F.col("key")).alias("shard"))
+        inside, outside = scratch.save(keys.where("listed").select("shard", "key")), keys.where("not listed").select("shard", "key")
+        n = self._fullest(inside)
         while n:
             level, bits = len(self.levels), 64 * max(1, -(-n * bits_per_key // 64))
             at = F.explode(F.array(*[_bit(F.col("key"), level, i, bits) for i in range(hashes)]))
-            set_ = inside.select(at.alias("at")).selectExpr("at div 32 as word", "shiftleft(1L, cast(at % 32 as int)) as bits")
-            full = set_.unionAll(spark.range(bits // 32).selectExpr("id as word", "0L as bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-            # One row of bits / 32 longs: bounded by max_bits.
-            row = full.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x.bits).alias("bits"))
-            self.levels.append((scratch.save(row), bits))
-            passed = scratch.save(outside.where(self._hit(F.col("key"), level)))
-            inside, outside, n = passed, inside, passed.count()
+            set_ = inside.select("shard", at.alias("at")).selectExpr("shard", "at div 32 as word", "shiftleft(1L, cast(at % 32 as int)) as bits")
+            words = bits // 32
+            none = spark.range(words * shards).selectExpr(f"cast(id div {words} as int) as shard", f"id % {words} as word", "0L as bits")
+            full = set_.unionAll(none).groupBy("shard", "word").agg(F.bit_or("bits").alias("bits"))
+            # Of bits / 32 longs each: bounded by max_bits.
+            rows = full.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x.bits).alias("bits"))
+            self.levels.append((scratch.save(rows), bits))
+            passed = self.with_filters(outside, [level])
+            passed = scratch.save(passed.where(self._hit(F.col("key"), level)).select("shard", "key"))
+            inside, outside, n = passed, inside, self._fullest(passed)
+
+    def shard(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(self.shards)).cast("int") if self.shards > 1 else F.lit(0)
+
+    def _fullest(self, keys: DataFrame) -> int:
+        return keys.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+    def with_filters(self, rows: DataFrame, levels=None, shard: str = "shard") -> DataFrame:
+        """``rows`` with their shard's filters, where there are several; one shard's are read as scalar subqueries and need no column."""
+        for level in (range(len(self.levels)) if levels is None else levels) if self.shards > 1 else ():
+            table = self.levels[level][0].select(F.col("shard").alias(f"_at_{level}"), F.col("bits").alias(f"_filter_{level}"))
+            rows = rows.join(table, F.col(shard) == F.col(f"_at_{level}"), "left")
+        return rows
 
     def _hit(self, key: Column, level: int) -> Column:
         row, bits = self.levels[level]
-        words, hit = row.scalar(), F.lit(True)
+        words, hit = F.col(f"_filter_{level}") if self.shards > 1 else row.select("bits").scalar(), F.lit(True)
         for i in range(self.hashes):
             at = _bit(key, level, i, bits)
             word = F.get(words, F.floor(at / 32).cast("int"))
@@ -80,8 +99,8 @@ class Cascade:
         return out
 
 
-def listed_flag(rows: DataFrame, key: str, listed: DataFrame, max_bits: int = 1 << 26, bits_per_key: int = 10) -> DataFrame:
-    """``rows`` with the column listed: whether ``rows[key]`` is a row of the one-column table ``listed``.
+def listed_flag(rows: DataFrame, key: str, listed: DataFrame, max_bits: int = 1 << 26, bits_per_key: int = 10, out: str = "listed") -> DataFrame:
+    """``rows`` with the column ``out``: whether ``rows[key]`` is a row of the one-column table ``listed``.
 
     The universe is every distinct key of ``rows``."""
     scratch = Scratch(rows.sparkSession)
@@ -89,22 +108,21 @@ def listed_flag(rows: DataFrame, key: str, listed: DataFrame, max_bits: int = 1
     keys = rows.select(F.col(key).alias("key")).where("key is not null").distinct().join(names, "key", "left")
     keys = scratch.save(keys.select("key", F.coalesce("l", F.lit(False)).alias("listed")))
     shards = -(-keys.where("listed").count() * bits_per_key // max_bits) or 1
-    shard = F.pmod(F.xxhash64(F.lit(-1), F.col(key)), F.lit(shards))
-    out = None
-    for s in range(shards):
-        mine = keys if shards == 1 else keys.where(F.pmod(F.xxhash64(F.lit(-1), "key"), F.lit(shards)) == s)
-        part = rows if shards == 1 else rows.where(shard == s)
-        part = part.withColumn("listed", F.coalesce(Cascade(scratch, mine, bits_per_key).has(F.col(key)) & F.col(key).isNotNull(), F.lit(False)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    cascade = Cascade(scratch, keys, bits_per_key, shards=shards)
+    flag = F.coalesce(cascade.has(F.col(key)) & F.col(key).isNotNull(), F.lit(False)).alias(out)
+    if shards == 1:
+        return rows.select("*", flag)
+    (own,) = free_names(rows, "_shard")
+    return cascade.with_filters(rows.withColumn(own, cascade.shard(F.col(key))), shard=own).select(*rows.columns, flag)
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url", **options) -> DataFrame:
     """``pages`` with host, path, rule, listed and verdict: the rule's; else block where the host is listed, allow where not."""
-    rule, verdict = rule_of(rules)
-    judged = listed_flag(with_host_path(pages, url), "host", listed, **options)
-    method = F.when(F.col("listed"), "block").otherwise("allow")
-    return judged.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, method))
+    host, path, rule, flag, verdict = free_names(pages, "host", "path", "rule", "listed", "verdict")
+    which, what = rule_of(rules, host, path)
+    judged = listed_flag(with_host_path(pages, url, host, path), host, listed, out=flag, **options)
+    method = F.when(F.col(flag), "block").otherwise("allow")
+    return judged.withColumn(rule, which).withColumn(verdict, F.coalesce(what, method))
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
