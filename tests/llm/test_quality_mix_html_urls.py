@@ -230,7 +230,7 @@ def test_cascade_is_exact_with_false_positives(spark):
 
     assert keys.withColumn("has", c.has(F.col("key"))).where("has <> listed").count() == 0
     listed = keys.where("listed").select("key").unionAll(spark.sql("select cast(null as string)"))
-    for bits in (1 << 26, 2000):
+    for bits in (1 << 26, 2000, 300):
         out = urls.listed_flag(keys.select("key", F.lit(1).alias("host")), "key", listed, max_bits=bits).join(keys.withColumnRenamed("listed", "want"), "key")
         assert out.count() == 3000 and out.where("listed <> want").count() == 0
 
@@ -265,3 +265,31 @@ def test_very_long_texts_and_urls(spark):
     listed = spark.createDataFrame([("none.example",)], "key string")
     rows = {r.page_id: r for r in urls.filter_urls(pages, listed).collect()}
     assert (rows[1].host, rows[1].path == path, rows[1].verdict) == ("example.net", True, "allow") and rows[2].verdict == "block"
+
+
+def test_url_columns_of_the_callers_stay(spark):
+    pages = spark.createDataFrame([(1, "http://bad.org/x", "mine", "p", 7), (2, None, None, None, 8)], "page_id long, url string, host string, Verdict string, _shard int")
+    for bits in (1 << 26, 1):
+        out = urls.filter_urls(pages, spark.createDataFrame([("bad.org",), ("",)], "h string"), max_bits=bits)
+        assert out.columns == ["page_id", "url", "host", "Verdict", "_shard", "_host", "path", "listed", "rule", "_verdict"]
+        assert sorted(tuple(r)[2:] for r in out.where("page_id = 1").collect()) == [("mine", "p", 7, "bad.org", "/x", True, None, "block")]
+
+
+def test_one_scan_for_any_number_of_shards(spark, tmp_path):
+    spark.range(400).selectExpr("id page_id", "concat('http://h', id % 97, '.org/') url").write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p"))
+    out = urls.filter_urls(pages, spark.range(0, 97, 2).selectExpr("concat('h', id, '.org') h"), max_bits=64)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"Relation [page_id") <= 1 and out.where("listed").count() == sum(i % 97 % 2 == 0 for i in range(400))
+
+
+def test_unquoted_attributes_with_apostrophes():
+    assert html.extract("<p title=it's>Hello world, it's me and more text here.</p><p>Second paragraph.</p>") == "Hello world, it's me and more text here.\nSecond paragraph."
+    assert html.extract("<p class=\"a>b\" x = 'c>d'>Some words</p><p \"odd>More of it</p>") == "Some words\nMore of it"
+
+
+def test_marked_elements_are_not_needed(spark):
+    """With article and main turned into div, the texts of given pages stay the same."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    plain = lambda h: re.sub(r"(</?)(?:article|main)\b", r"\1div", h or "", flags=re.I)
+    assert all(html.extract(r.html or "") == html.extract(plain(r.html)) for r in rows)
