@@ -76,7 +76,10 @@ def test_mandatory_and_report(spark):
     specs = {"experience": {"min": 1, "max": 5}, "skills": ["python"], "location": {"type": "location", "required": "x", "allowed": ["pune"]}, "empty": {}, "budget": {"type": "text", "required": "z"}}
     kept, out = R.mandatory(df, {k: v for k, v in specs.items() if k != "budget"})
     assert [r.candidate_id for r in kept.collect()] == ["a"]
-    assert {r.candidate_id: r.filter_reason for r in out.collect()} == {"b": "experience: not met; location: not met; skills: not met", "c": "experience: not met; location: not met"}
+    assert {r.candidate_id: r.filter_reason for r in out.collect()} == {
+        "b": "experience: experience not found in resume; location: Location: Rome (allowed: pune); skills: Skills: Found none. Missing: python",
+        "c": "experience: experience: 9.0 (required: 1-5); location: Location not found in resume",
+    }
     assert {r.candidate_id: r.score for r in R.compliance(df, specs).collect()}["a"] == 0.75
     assert R.compliance(df, {}).first().score == 1.0
 
