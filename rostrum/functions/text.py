@@ -163,6 +163,61 @@ def total_years(durations) -> Column:
     return F.aggregate(n, F.lit(0.0), lambda a, v: a + v)
 
 
+# Names of files, and texts of files
+
+
+def file_stem(path) -> Column:
+    """A path's last part without its last extension."""
+    return F.regexp_replace(F.regexp_extract(_c(path), r"([^/]+)$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def extension(path) -> Column:
+    """What follows the last full stop of a path, in lower case; the whole name where there is none."""
+    return F.lower(F.regexp_extract(_c(path), r"([^./]*)$", 1))
+
+
+#: MIME types by extension.
+MIME = {
+    "csv": "text/csv",
+    "doc": "application/msword",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "htm": "text/html",
+    "html": "text/html",
+    "jpg": "image/jpeg",
+    "json": "application/json",
+    "pdf": "application/pdf",
+    "png": "image/png",
+    "txt": "text/plain",
+    "xml": "text/xml",
+    "zip": "application/zip",
+}
+
+
+def mime_type(path) -> Column:
+    """By the extension; empty for one that is not known."""
+    known = F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, extension(path)), F.lit(""))
+
+
+def clean_lines(x) -> Column:
+    """A text's lines, stripped, without blank ones."""
+    lines = F.transform(F.split(F.coalesce(_c(x), F.lit("")), r"\r\n|[\n\r\u000B\f\u001C-\u001E\u0085\u2028\u2029]"), lambda t: strip(t))
+    return F.array_join(F.filter(lines, lambda t: t != ""), "\n")
+
+
+#: Fixed value: a PDF with less text than this is taken for a scanned one.
+LEAST_TEXT = 100
+
+
+def looks_scanned(path, text) -> Column:
+    return (mime_type(path) == MIME["pdf"]) & (F.length(strip(F.coalesce(_c(text), F.lit("")))) < LEAST_TEXT)
+
+
+def temporary_id(path) -> Column:
+    """A file's stem and eight hex digits of its path's digest: an id until a record has its own, the same in every run."""
+    return F.concat(file_stem(path), F.lit("_"), F.substring(F.sha2(_c(path), 256), 1, 8))
+
+
 #: What words are made of where whole words count: letters, digits, underscores, and the signs of names such as c++ and c#.
 WORD = r"[\p{L}\p{N}_+#]+"
 

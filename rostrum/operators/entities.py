@@ -215,6 +215,21 @@ def find_paths(people: DataFrame, mapping: DataFrame, files: DataFrame) -> DataF
     return out.select("candidate_id", "name", F.coalesce(*[F.col(f"_p{i}") for i in ways]).alias("path"), kind.alias("kind"))
 
 
+def assign_leftovers(people: DataFrame, files: DataFrame, arbitrary: bool = False) -> DataFrame:
+    """(candidate_id, path, kind) of people (candidate_id, name) and files (path) that nothing else has brought together: 1, the first file by
+    path whose stem has the name's slug, each file given once, to the first such person by id. With ``arbitrary``, 2: the i-th person left takes the i-th file left."""
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "")
+    by_slug = files.where("path is not null").select("path", slug_name(stem).alias("slug")).where("slug <> ''").groupBy("slug").agg(F.min("path").alias("path"))
+    first = people.select("candidate_id", slug_name("name").alias("slug")).where("slug <> ''").groupBy("slug").agg(F.min("candidate_id").alias("candidate_id"))
+    exact = settled(first.join(by_slug, "slug").select("candidate_id", "path", F.lit(1).alias("kind")))
+    if not arbitrary:
+        return exact
+    p = people.select("candidate_id").distinct().join(exact, "candidate_id", "left_anti").withColumn("all", F.lit(0))
+    f = files.where("path is not null").select("path").distinct().join(exact, "path", "left_anti").withColumn("all", F.lit(0))
+    p, f = positions(p, ["all"], [F.col("candidate_id")], "at"), positions(f, ["all"], [F.col("path")], "at")
+    return exact.unionByName(p.join(f.drop("all"), "at").select("candidate_id", "path", F.lit(2).alias("kind")))
+
+
 def duplicate_counts(rows: DataFrame, cid: str = "candidate_id") -> DataFrame:
     """One row: rows, distinct ids, surplus rows, rows without an id."""
     per = rows.groupBy(cid).agg(F.count(F.lit(1)).alias("n"))

@@ -68,3 +68,8 @@ def manifest(rows: DataFrame, paths: DataFrame) -> DataFrame:
     stem = F.concat(F.format_string("%03d_", "rank"), file_name("name"))
     both = rows.join(paths, "candidate_id", "left")
     return both.select("candidate_id", F.when(F.col("path").isNotNull(), F.concat(stem, F.lit("_resume.pdf"))).otherwise(F.concat(stem, F.lit("_resume_missing.txt"))).alias("entry"))
+
+
+def selection(rows: DataFrame, chosen: DataFrame, cid: str = "candidate_id", rank: str = "rank") -> DataFrame:
+    """The chosen candidates' rows in rank order."""
+    return rows.join(chosen.select(cid).distinct(), cid, "left_semi").orderBy(rank)

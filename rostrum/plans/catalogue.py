@@ -576,12 +576,12 @@ def pipeline_full(s, d):
 
 
 def queries() -> dict:
-    from rostrum.plans import asked, native, resolution, stores, texts  # register their own
+    from rostrum.plans import asked, files, native, resolution, stores, texts  # register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from rostrum.plans import asked, native, resolution, stores, texts
+    from rostrum.plans import asked, files, native, resolution, stores, texts
 
     return dict(SQL)
