@@ -8,7 +8,9 @@ shingles collides in a band with probability c m / w at least; the number of ban
 probability of a miss at most ``miss`` for the class's shortest chunk, at the containment asked for.
 
 A window can hold the share c of a chunk only where it has as many of the templates' shingles as the class's shortest chunk
-needs, so bands are computed for those windows only; no match is lost by that. Templates that contain each other to that share are a family (versions of one
+needs, so bands are computed for those windows only; no match is lost by that. Shingles that may be a template's are known by one bit of
+a bitmap of ``BITS`` bits a shingle of the templates, a literal of the plan: one look-up a shingle, whatever the number of templates; one
+bit in ``BITS`` says yes wrongly, and the bands and the exact share decide. Templates that contain each other to that share are a family (versions of one
 license); of a family only the best contained counts in a window and its two neighbours, which share its text.
 
 Only DataFrame functions are used. The templates are a parameter; their bands are broadcast, bounded by ``MAX_ROWS``.
@@ -16,6 +18,7 @@ Only DataFrame functions are used. The templates are a parameter; their bands ar
 Defined cases: a null or empty text has no match; texts are read whole; rows alike in id and text are reported once; a null id
 is reported as null; an empty table gives an empty table; other columns are ignored.
 """
+import json
 import math
 import re
 
@@ -24,24 +27,71 @@ from pyspark.sql import functions as F
 
 from rostrum.llm._spark import Scratch
 
-#: Notices by which works name their license.
+_WARRANTY = (
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details. You should have received a copy of the {0} along with this program. If not, see "
+    "<https://www.gnu.org/licenses/>."
+)
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. "
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+    "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
+    "STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Notices by which works name their license: short ones in one sentence, and the licenses' own headers, conditions and grants.
 TEMPLATES = {
     "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-3.0-header": _GNU.format("GNU Affero General Public License", 3) + _WARRANTY.format("GNU Affero General Public License"),
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "apache-2.0-header": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+    ),
+    "boost-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    "bsd-2-clause-text": _BSD + _BSD_END,
     "bsd-3-clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "bsd-3-clause-text": _BSD + _THIRD + _BSD_END,
     "cc-by-4.0": "Licensed under CC BY 4.0.",
+    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc0-1.0": "Released under CC0 1.0 Universal.",
     "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2.0-header": _GNU.format("GNU General Public License", 2) + _WARRANTY.format("GNU General Public License"),
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-3.0-header": _GNU.format("GNU General Public License", 3) + _WARRANTY.format("GNU General Public License"),
+    "isc-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+    ),
+    "lgpl-2.1-header": _GNU.format("GNU Lesser General Public License", "2.1") + _WARRANTY.format("GNU Lesser General Public License"),
     "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-3.0-header": _GNU.format("GNU Lesser General Public License", 3) + _WARRANTY.format("GNU Lesser General Public License"),
     "mit": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+    "mit-warranty": (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "unlicense-text": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 CHUNK, MAX_ROWS = 32, 1 << 20
+#: Bits of the templates' bitmap for each of their shingles.
+BITS = 16
 WORDS = r"[^\p{L}\p{N}]+"
 
 
@@ -91,6 +141,21 @@ def _shingled(rows: DataFrame) -> DataFrame:
     return _once(rows, sh=F.expr("zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> xxhash64(a, b))")).drop("w")
 
 
+def _bitmap(hashes: set[int]):
+    """Whether a hash may be one of these: a function of a column, over a literal of bounded size."""
+    size = 1 << max(12, (BITS * len(hashes) - 1).bit_length())
+    words = [0] * (size // 32)
+    for h in hashes:
+        words[h % size // 32] |= 1 << (h % 32)
+    literal = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+
+    def may(h):
+        at = F.pmod(h, F.lit(size)).cast("int")
+        return F.getbit(F.get(literal, F.shiftright(at, 5)), at.bitwiseAND(31)) == 1
+
+    return may
+
+
 def _bands(col: str, bands: int):
     return F.expr(f"transform(sequence(0, {bands - 1}), i -> array_min(transform({col}, h -> xxhash64(i, h))))")
 
@@ -103,12 +168,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
     rows = docs.selectExpr("xxhash64(doc_id is null, doc_id, text) row_key", "cast(doc_id as bigint) doc_id", "cast(text as string) text")
     made = spark.createDataFrame([(n, i, c, f, " ".join(w)) for (n, i, c, w), f in zip(cut, families(cut, containment))], "license string, chunk int, longest int, family int, text string")
     made = scratch.save(_shingled(made).withColumn("sh", F.array_distinct("sh")).coalesce(1))
-    wanted = made.select(F.flatten(F.collect_list("sh")).alias("all")).select(F.array_distinct("all").alias("all"))
+    may = _bitmap({h for r in made.select("sh").collect() for h in r.sh})  # the templates', which the driver has given
 
     # The shingles that a window must have of the templates': by class, for its shortest chunk.
     need = {c: math.ceil(containment * min(len(set(zip(w, w[1:]))) for _, _, k, w in cut if k == c)) for c in sorted({c for _, _, c, _ in cut})}
-    hits = _once(_shingled(rows), mine=F.array_intersect("sh", wanted.scalar())).where(F.size("mine") >= min(need.values()))
-    hits = _once(hits, at=F.expr("filter(sequence(0, size(sh) - 1), i -> array_contains(mine, get(sh, i)))")).drop("mine")
+    hits = _once(_shingled(rows), at=F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: may(F.get("sh", i)))).where(F.size("at") >= min(need.values()))
 
     def windows(n: int) -> str:
         """Those that have enough, by number; window j has the shingles from j * n to j * n + 2 * n - 2."""
