@@ -93,6 +93,14 @@ class Scratch:
             _group.reset(token)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the cluster has cores, if it has fewer: a small file is read by few tasks, whatever is to be done with its rows.
+
+    A table of more partitions than cores, as any large one is, is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """The wanted names, each with as many underscores in front as it takes to be none of ``df``'s columns."""
     taken, out = {c.lower() for c in df.columns}, []

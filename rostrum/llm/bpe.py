@@ -11,6 +11,7 @@ import base64
 import hashlib
 import heapq
 import re
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -20,7 +21,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from rostrum.llm._spark import Scratch, text_slices
+from rostrum.llm._spark import Scratch, spread, text_slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 MASK = (1 << 64) - 1
@@ -171,9 +172,15 @@ class Encoder:
         return " ".join(map(self.text_of.__getitem__, ids))
 
 
-def _share(spark, path: str, pattern: str):
+@cache
+def _vocabulary(path: str) -> tuple[dict[bytes, int], PerfectHash]:
+    """Ranks and perfect hash of a file, made once a driver."""
     ranks = read_ranks(path)
-    return spark.sparkContext.broadcast((ranks, PerfectHash(list(ranks)), pattern))
+    return ranks, PerfectHash(list(ranks))
+
+
+def _share(spark, path: str, pattern: str):
+    return spark.sparkContext.broadcast((*_vocabulary(path), pattern))
 
 
 def _mapped(docs: DataFrame, work, schema: str, path: str, pattern: str, text: str) -> DataFrame:
@@ -186,7 +193,7 @@ def _mapped(docs: DataFrame, work, schema: str, path: str, pattern: str, text: s
             for rows, _, _ in text_slices(batch, text):
                 yield work(encoder, rows)
 
-    return docs.mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

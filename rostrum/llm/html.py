@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm._spark import Scratch, text_slices
+from rostrum.llm._spark import Scratch, spread, text_slices
 
 #: Comments, declarations and tags. Quotation marks matter right behind an equals sign only; elsewhere, as in ``title=it's``, they are characters.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^=>]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)*+(?:>|\Z)", re.S)
@@ -250,7 +250,7 @@ def extract_pages(pages: DataFrame, weights: dict) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "cast(html as string) html")
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return spread(rows).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_text(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ coordinates, or two in one case of four (1 / threshold on average), by a hash of
 the tokens they have there. Two sets of similarity s stay together along a branch with probability s, so that
 similar ones share some node deep down in some tree while the others part within a few levels.
 
+The number of trees follows from the share of pairs that may be missed (``trees_for``).
+
 - A node of at most ``leaf`` members is compared exhaustively.
 - A larger one is branched further; rows stay in proportion to the documents.
 - A node that is still large at the last depth holds sets that are much alike. Its members are compared with one of
@@ -24,12 +26,14 @@ has its whole word sequence as its only shingle; a component's id is its smalles
 repeated rows are members of one class; texts of any length are read whole; an empty table gives an empty table; other columns,
 whatever their names, are ignored by ``near_dups`` and kept by ``drop_near_dups``.
 """
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm._spark import Scratch, free_names, text_slices
+from rostrum.llm._spark import Scratch, free_names, spread, text_slices
 from rostrum.llm._words import LOWER, U, Words, mix, run_sums, runs
 from rostrum.llm.components import components
 
@@ -90,6 +94,18 @@ def _facts(k: int, seed: int):
     return run
 
 
+def trees_for(pct: int, depth: int, miss: float) -> int:
+    """How many trees it takes until a pair of that similarity shares no node at ``depth`` with probability ``miss`` at most.
+
+    A pair stays together along a branch with its similarity s, and one node in four has two branches, so the probability of having
+    parted in a tree follows level by level. Trees count as independent; that they share coordinates makes misses about three times as many."""
+    s, apart = pct / 100, 0.0
+    for _ in range(depth):
+        one = 1 - s + s * apart
+        apart = 0.75 * one + 0.25 * one * one
+    return math.ceil(math.log(miss) / math.log(apart))
+
+
 def grow(least: np.ndarray, member: np.ndarray, path: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
     """The nodes ``levels`` below the given ones: (member, path)."""
     for _ in range(levels):
@@ -198,15 +214,16 @@ def _across(pct: int):
     return run
 
 
-def near_dups(docs: DataFrame, k: int = 5, pct: int = 80, trees: int = 12, depths: tuple = (3, 5, 7), leaf: int = 16, block: int = 64) -> DataFrame:
+def near_dups(docs: DataFrame, k: int = 5, pct: int = 80, miss: float = 1e-3, depths: tuple = (3, 5, 7), leaf: int = 16, block: int = 64) -> DataFrame:
     """row_key, doc_id, n_shingles, component_id, kept (doc_id is the component's) of every row of ``docs`` (doc_id, text).
 
-    Sets of k-word shingles are linked where their Jaccard similarity is ``pct`` percent at least."""
-    scratch = Scratch(docs.sparkSession)
+    Sets of k-word shingles are linked where their Jaccard similarity is ``pct`` percent at least; of pairs at ``pct`` exactly
+    that meet at the last depth only, the share ``miss`` may be missed, see ``trees_for``."""
+    scratch, trees = Scratch(docs.sparkSession), trees_for(pct, depths[-1], miss)
     rows = docs.selectExpr("xxhash64(doc_id is null, doc_id, text) row_key", "cast(doc_id as bigint) doc_id", "cast(text as string) text")
     seed = 0
     while True:
-        facts = scratch.save(rows.mapInArrow(_facts(k, seed), "row_key long, doc_id long, n long, cls long, check long, least binary"))
+        facts = scratch.save(spread(rows).mapInArrow(_facts(k, seed), "row_key long, doc_id long, n long, cls long, check long, least binary"))
         per = facts.where("n > 0").groupBy("cls").agg(F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n"), F.min("row_key").alias("row_key"))
         per = scratch.save(per)
         if not per.where("c0 <> c1").limit(1).count():

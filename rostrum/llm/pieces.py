@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
 from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
-from rostrum.llm._spark import Scratch, text_slices
+from rostrum.llm._spark import Scratch, spread, text_slices
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
@@ -200,7 +200,7 @@ def _mapped(rows: DataFrame, work, schema: str, model: str, column: str) -> Data
             for part in text_slices(batch, column) if column == "text" else [(batch,)]:
                 yield work(pieces, part[0])
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
