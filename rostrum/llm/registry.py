@@ -27,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": urls.OP5_SQL,
         "op7_near_dups": neardup.OP7_SQL,
         "op11_ranked_search": lexical.OP11_SQL,
+        "op12_importance_draw": resampling.OP12_SQL,
     }

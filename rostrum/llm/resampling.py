@@ -191,3 +191,29 @@ def drawn(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least: int
 
 def op12_importance_draw(spark, sf_dir: str) -> DataFrame:
     return drawn(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _sql() -> str:
+    """CRC-32 goes by half bytes, the lower one first, over each distinct feature."""
+    nibbles = []
+    for i in range(16):
+        for _ in range(4):
+            i = (i >> 1) ^ 0xEDB88320 if i & 1 else i >> 1
+        nibbles.append(i)
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    runs = "(select {0}, array_to_string(ws[i:i + n - 1], ' ') as g from {1}, (values (1), (2), (3)) t(n), unnest(range(1, len(ws) - n + 2)) u(i))"
+    half = "strpos('0123456789ABCDEF', substr(hex(encode(g)), 2 * k + {}, 1)) - 1"
+    return f"""with d as (select row_number() over () as d, doc_id, {words} as ws from documents), b as (select {words} as ws from benchmark),
+df as {runs.format('d', 'd')}, bf as {runs.format('1 as one', 'b')},
+c as (select g, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(0, length(hex(encode(g))) // 2), lambda k: [{half.format(2)}, {half.format(1)}]))), lambda s, x: xor(s >> 4, {nibbles}[(xor(s, x) & 15) + 1])), 4294967295) % {BUCKETS} as bucket
+  from (select g from df union select g from bf)),
+s as (select bucket, count(*) as n from df join c using (g) group by bucket), t as (select bucket, count(*) as n from bf join c using (g) group by bucket),
+gain as (select bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1) * ((select count(*) from df) + {BUCKETS}))::double / ((coalesce(s.n, 0) + 1) * ((select count(*) from bf) + {BUCKETS}))))::bigint as gain from (select distinct bucket from c) left join s using (bucket) left join t using (bucket)),
+w as (select d, sum(gain)::bigint as weight, count(*) as n_features from df join c using (g) join gain using (bucket) group by d),
+x as (select doc_id, len(ws) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, list_reduce(list_transform(range(1, 9), lambda k: strpos('0123456789abcdef', substr(sha256('{SEED}:' || coalesce(doc_id::varchar, '')), k, 1)) - 1), lambda a, n: a * 16 + n)::bigint as h from d left join w using (d)),
+y as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from x),
+z as (select *, row_number() over (partition by n_words >= {LEAST_WORDS} order by score desc, doc_id) as r, (select {PERCENT} * count(*) // 100 from y where n_words >= {LEAST_WORDS}) as k from y)
+select doc_id, n_features, weight, score, case when n_words >= {LEAST_WORDS} and r <= k then r end as rank from z"""
+
+
+OP12_SQL = _sql()
