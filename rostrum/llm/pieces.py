@@ -64,9 +64,20 @@ def whole_characters(data: bytes) -> str:
     return "".join(out)
 
 
+class Known(dict):
+    """Ids of segments, each merged when it is first asked for, with ``mark`` in front."""
+
+    def __init__(self, merge, mark: str):
+        self.merge, self.mark = merge, mark
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        self[part] = ids = self.merge(self.mark + part)
+        return ids
+
+
 class Pieces:
-    """Built once a worker from the model's bytes. ``known`` remembers segments (those of texts with plain single
-    spaces without their mark, which no other begins without); it is emptied before a text that finds ``room`` of them."""
+    """Built once a worker from the model's bytes. ``known`` remembers segments, ``plain`` those of texts with single
+    spaces, without their mark; both are emptied before a text that finds ``room`` of them."""
 
     made: dict = {}
 
@@ -81,7 +92,7 @@ class Pieces:
     def __init__(self, data: bytes, room: int = 1_000_000):
         model = read_model(data)
         self.library = SentencePieceProcessor(model_proto=data)
-        self.room, self.known = room, {}
+        self.room, self.known, self.plain = room, Known(self.merge, ""), Known(self.merge, MARK)
         pieces = list(model.pieces)
         places = {s: i for i, s in enumerate(sorted({-p.score for p in pieces if p.type == NORMAL}))}
         self.id_of = {p.piece: i for i, p in enumerate(pieces) if p.type == NORMAL}
@@ -155,17 +166,13 @@ class Pieces:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        known = self.known
-        if len(known) >= self.room:
-            known.clear()
+        if len(self.known) + len(self.plain) >= self.room:
+            self.known.clear()
+            self.plain.clear()
         if self.apart and text[0] != " " and "  " not in text and MARK not in text:
-            parts = text.split(" ")  # each of these is a segment without its one mark
-            for part in set(parts).difference(known):
-                known[part] = self.merge(MARK + part)
+            known, parts = self.plain, text.split(" ")  # each of these is a segment without its one mark
         else:
-            parts = self.cut(MARK + text.replace(" ", MARK))
-            for part in set(parts).difference(known):
-                known[part] = self.merge(part)
+            known, parts = self.known, self.cut(MARK + text.replace(" ", MARK))
         return list(chain.from_iterable(map(known.__getitem__, parts)))
 
     def decode(self, ids) -> str:
