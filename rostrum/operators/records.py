@@ -157,8 +157,14 @@ def job_section_rows(jobs: DataFrame, key: str, cap: int = CAP) -> DataFrame:
     }
 
     def once(texts: Column) -> Column:
-        keys = F.transform(texts, lambda t: F.lower(strip(t)))
-        return F.filter(texts, lambda t, i: F.array_position(keys, F.lower(strip(t))) == i + 1)
+        """The first ``cap`` that differ in more than case; nothing is computed anew for each text."""
+        none = F.struct(_strings().alias("keys"), _strings().alias("texts"))
+
+        def add(a: Column, t: Column) -> Column:
+            key = F.lower(strip(t))
+            return F.when((F.size(a.keys) >= cap) | F.array_contains(a.keys, key), a).otherwise(F.struct(F.array_append(a.keys, key).alias("keys"), F.array_append(a.texts, t).alias("texts")))
+
+        return F.aggregate(texts, none, add, lambda a: a.texts)
 
     j = j.withColumns({f"_{n}": once(c) for n, c in every.items()})
     hints = F.array("embedding_hints.projects_embed", "embedding_hints.overall_embed")
