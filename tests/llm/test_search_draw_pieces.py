@@ -172,3 +172,77 @@ def test_other_models_are_refused(spark, tmp_path):
     (tmp_path / "m").write_bytes(model.SerializeToString())
     with pytest.raises(ValueError):
         pieces.encode(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "m"))
+
+
+def test_real_notices_are_found(spark):
+    from rostrum.llm import licenses
+
+    header = (
+        "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n"
+        " * (at your option) any later version.\n *\n * This program is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n"
+        " * GNU General Public License for more details.\n *\n * You should have received a copy of the GNU General Public License\n * along with this program.  If not, see <http://www.gnu.org/licenses/>.\n */"
+    )
+    docs = [(1, "some words before " * 20 + header + " and after" * 30), (2, licenses.TEMPLATES["bsd-3-clause-text"]), (3, "x " + licenses.TEMPLATES["mit-grant"] + " " + licenses.TEMPLATES["mit-warranty"]), (4, "free software " * 50), (5, None)]
+    got = {(r.doc_id, r.license): r.chunk_share for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1, "gpl-3.0-header"] == got[2, "bsd-3-clause-text"] == got[3, "mit-grant"] == got[3, "mit-warranty"] == 1.0
+    assert all(share < 1 for (d, name), share in got.items() if (d, name) in ((1, "gpl-2.0-header"), (1, "agpl-3.0-header"), (2, "bsd-2-clause-text")))
+    assert {d for d, _ in got} == {1, 2, 3}
+
+
+def test_bitmap_knows_its_hashes(spark):
+    from rostrum.llm import licenses
+
+    rnd = random.Random(9)
+    mine = [rnd.getrandbits(64) - (1 << 63) for _ in range(3000)]
+    others = [rnd.getrandbits(64) - (1 << 63) for _ in range(3000)]
+    may = licenses._bitmap(set(mine))
+    df = spark.createDataFrame([(mine, others)], "a array<long>, b array<long>")
+    a, b = df.select(F.size(F.filter("a", lambda h: may(h))), F.size(F.filter("b", lambda h: may(h)))).first()
+    assert a == 3000 and b < 3000 * 2 / licenses.BITS
+
+
+def test_groups_close_their_own_threads_tables(spark):
+    import threading
+
+    from rostrum.llm._spark import Scratch
+
+    outer = Scratch(spark)
+    kept = outer.save(spark.range(3))
+    others = []
+    opened, closed = threading.Event(), threading.Event()
+
+    def another():
+        others.append(Scratch(spark).save(spark.range(5)))
+        opened.set()
+        closed.wait(60)
+        others.append(others[0].count())
+
+    with Scratch.group():
+        mine = Scratch(spark).save(spark.range(4))
+        with Scratch.group():
+            inner = Scratch(spark).save(spark.range(2))
+        t = threading.Thread(target=another)
+        t.start()
+        assert opened.wait(60) and mine.count() == 4
+    closed.set()
+    t.join(60)
+    assert others[1] == 5 and kept.count() == 3
+    for gone in (mine, inner):
+        with pytest.raises(Exception):
+            spark.read.parquet(gone.scratch_path).count()
+
+
+def test_small_tables_are_spread(spark):
+    from rostrum.llm._spark import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    one, many = spark.range(100).coalesce(1), spark.range(100).repartition(cores + 3)
+    assert spread(one).rdd.getNumPartitions() == cores and spread(one).count() == 100
+    assert spread(many) is many
+
+
+def test_trees_for_a_recall():
+    from rostrum.llm.neardup import trees_for
+
+    assert trees_for(80, 7, 1e-3) == 12 and trees_for(80, 7, 1e-6) == 24 and trees_for(90, 7, 1e-3) < 12
+    assert [trees_for(80, d, 1e-3) for d in (3, 5, 7)] == sorted(trees_for(80, d, 1e-3) for d in (3, 5, 7))
