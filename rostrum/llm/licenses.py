@@ -7,10 +7,10 @@ window and chunk has ``bands`` bands of one minimum each. A chunk that holds the
 shingles collides in a band with probability c m / w at least; the number of bands is the smallest that makes the
 probability of a miss at most ``miss`` for the class's shortest chunk, at the containment asked for.
 
-A window can hold the share c of a chunk only where it has as many of the templates' shingles as the class's shortest chunk
-needs, so bands are computed for those windows only; no match is lost by that. Shingles that may be a template's are known by one bit of
-a bitmap of ``BITS`` bits a shingle of the templates, a literal of the plan: one look-up a shingle, whatever the number of templates; one
-bit in ``BITS`` says yes wrongly, and the bands and the exact share decide. Templates that contain each other to that share are a family (versions of one
+A window that holds the share c of a chunk's m shingles lacks m - c m of them at most, so it holds one of any m - c m + 1; the ones with the most
+letters, which are rare, are the chunk's signature. It also has as many of the templates' shingles as the class's shortest chunk needs.
+Bands are computed for windows that have both only; no match is lost by that. Shingles are known by one bit of a bitmap, a literal of the
+plan: one look-up a shingle, whatever the number of templates; a bit that is set by chance only makes another window a candidate. Templates that contain each other to that share are a family (versions of one
 license); of a family only the best contained counts in a window and its two neighbours, which share its text.
 
 Only DataFrame functions are used. The templates are a parameter; their bands are broadcast, bounded by ``MAX_ROWS``.
@@ -90,8 +90,8 @@ TEMPLATES = {
     "unlicense-text": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 CHUNK, MAX_ROWS = 32, 1 << 20
-#: Bits of the templates' bitmap for each of their shingles.
-BITS = 16
+#: Bits of a bitmap for each of its shingles: of the templates', and of the signatures', of which every word of the corpus is asked.
+BITS, SIGNED = 16, 1024
 WORDS = r"[^\p{L}\p{N}]+"
 
 
@@ -141,9 +141,9 @@ def _shingled(rows: DataFrame) -> DataFrame:
     return _once(rows, sh=F.expr("zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> xxhash64(a, b))")).drop("w")
 
 
-def _bitmap(hashes: set[int]):
-    """Whether a hash may be one of these: a function of a column, over a literal of bounded size."""
-    size = 1 << max(12, (BITS * len(hashes) - 1).bit_length())
+def _bitmap(hashes: set[int], bits: int):
+    """Whether a hash may be one of these: a function of a column, over a literal of ``bits`` bits a hash, 2 ** 23 at most."""
+    size = 1 << min(23, max(12, (bits * len(hashes) - 1).bit_length()))
     words = [0] * (size // 32)
     for h in hashes:
         words[h % size // 32] |= 1 << (h % 32)
@@ -168,15 +168,24 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
     rows = docs.selectExpr("xxhash64(doc_id is null, doc_id, text) row_key", "cast(doc_id as bigint) doc_id", "cast(text as string) text")
     made = spark.createDataFrame([(n, i, c, f, " ".join(w)) for (n, i, c, w), f in zip(cut, families(cut, containment))], "license string, chunk int, longest int, family int, text string")
     made = scratch.save(_shingled(made).withColumn("sh", F.array_distinct("sh")).coalesce(1))
-    may = _bitmap({h for r in made.select("sh").collect() for h in r.sh})  # the templates', which the driver has given
+    every, signed = set(), set()
+    for r in made.select("license", "chunk", "sh").collect():  # the templates', which the driver has given
+        words = next(w for n, i, _, w in cut if (n, i) == (r.license, r.chunk))
+        pairs = list(dict.fromkeys(zip(words, words[1:])))  # as the distinct hashes stand
+        lacks = len(pairs) - math.ceil(containment * len(pairs))
+        every |= set(r.sh)
+        signed |= {h for _, h in sorted(zip(pairs, r.sh), key=lambda x: (-len("".join(x[0])), x[0]))[: lacks + 1]}
+    may, sign = _bitmap(every, BITS), _bitmap(signed, SIGNED)
 
     # The shingles that a window must have of the templates': by class, for its shortest chunk.
     need = {c: math.ceil(containment * min(len(set(zip(w, w[1:]))) for _, _, k, w in cut if k == c)) for c in sorted({c for _, _, c, _ in cut})}
-    hits = _once(_shingled(rows), at=F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: may(F.get("sh", i)))).where(F.size("at") >= min(need.values()))
+    places = lambda known: F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: known(F.get("sh", i)))
+    hits = _once(_shingled(rows), sig=places(sign)).where("size(sig) > 0")
+    hits = _once(hits, at=places(may)).where(F.size("at") >= min(need.values()))
 
     def windows(n: int) -> str:
         """Those that have enough, by number; window j has the shingles from j * n to j * n + 2 * n - 2."""
-        touched = f"array_distinct(flatten(transform(at, p -> array(p div {n}, greatest(p div {n} - 1, 0L)))))"
+        touched = f"array_distinct(flatten(transform(sig, p -> array(p div {n}, greatest(p div {n} - 1, 0L)))))"
         return f"filter({touched}, j -> size(filter(at, p -> p >= j * {n} and p < j * {n} + {2 * n - 1})) >= {need[n]})"
 
     hits = _once(hits, **{f"win{n}": F.expr(windows(n)) for n in need})
