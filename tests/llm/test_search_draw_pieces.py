@@ -195,7 +195,7 @@ def test_bitmap_knows_its_hashes(spark):
     rnd = random.Random(9)
     mine = [rnd.getrandbits(64) - (1 << 63) for _ in range(3000)]
     others = [rnd.getrandbits(64) - (1 << 63) for _ in range(3000)]
-    may = licenses._bitmap(set(mine))
+    may = licenses._bitmap(set(mine), licenses.BITS)
     df = spark.createDataFrame([(mine, others)], "a array<long>, b array<long>")
     a, b = df.select(F.size(F.filter("a", lambda h: may(h))), F.size(F.filter("b", lambda h: may(h)))).first()
     assert a == 3000 and b < 3000 * 2 / licenses.BITS
