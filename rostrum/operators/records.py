@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rostrum.functions.text import phrase_tokens, seniority, sentences, strip
+from rostrum.functions.text import boost_line, candidate_id, phrase_tokens, seniority, sentences, strip, total_years
 from rostrum.operators import scoring
 from rostrum.operators.scoring import LEAST_CONFIDENCE
 
@@ -373,6 +373,92 @@ def job_fields(texts: DataFrame, text: str = "text") -> DataFrame:
     })
 
 
+#: What heads a part of a candidate's or a job's text, on a line of its own or with a colon behind it, and the part it heads.
+HEADS = {
+    "summary": "profile", "profile": "profile", "objective": "profile", "about": "profile", "skills": "skills", "technical skills": "skills", "key skills": "skills",
+    "experience": "experience", "work experience": "experience", "employment": "experience", "employment history": "experience", "projects": "projects", "project": "projects",
+    "education": "education", "certifications": "certifications", "certification": "certifications", "responsibilities": "responsibilities", "requirements": "requirements", "must have": "requirements", "nice to have": "requirements", "required": "requirements", "preferred": "requirements",
+    "keywords": "keywords",
+}
+_HEAD = r"(?im)^[ \t#*]*(" + "|".join(sorted(HEADS, key=len, reverse=True)) + r")[ \t*]*(?::|$)"
+_BULLET = r"^[ \t]*[-*\u2022][ \t]*"
+
+
+def _parts(text: Column) -> Column:
+    """(part, body) of each headed part of a text; what stands before the first head is the part named head."""
+    cut = F.split(F.concat(F.lit("head\u0002"), F.regexp_replace(F.coalesce(text, F.lit("")), _HEAD, "\u0001$1\u0002")), "\u0001")
+    known = F.create_map(*[F.lit(x) for kv in (HEADS | {"head": "head"}).items() for x in kv])
+    return F.transform(cut, lambda p: F.struct(F.try_element_at(known, F.lower(F.substring_index(p, "\u0002", 1))).alias("part"), F.get(F.split(p, "\u0002"), F.lit(1)).alias("body")))
+
+
+def _body(part: str) -> Column:
+    return F.array_join(F.transform(F.filter("_parts", lambda p: p.part == part), lambda p: p.body), "\n")
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n"), lambda t: strip(t)), lambda t: t != "")
+
+
+def _items(text: Column) -> Column:
+    """What a list names, once each: parted at commas, semicolons, bars, bullets and line ends."""
+    found = F.transform(F.split(text, r"[,;|\n\u2022]"), lambda t: strip(F.regexp_replace(t, _BULLET, "")))
+    return F.array_distinct(F.filter(found, lambda t: t != ""))
+
+
+def _headed(texts: DataFrame, text: str) -> DataFrame:
+    """With ``_parts`` as a column made once a row: a one-row generator, which no projection is folded into."""
+    return texts.select("*", F.inline(F.array(F.struct(_parts(F.col(text)).alias("_parts")))))
+
+
+def resume_records(texts: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """``texts`` with the columns of ``RECORD``, email, phone, years_experience and certifications of free candidate texts: the offline default where no model parses them.
+
+    The text's heads (``HEADS``) part it. The name is its first line; skills are the items of its skills part, under 'listed'; projects are lines
+    'name: approach (tool, tool)'; an experience entry is a line without a bullet, with its years as duration, and the bulleted lines under it.
+    Years are those that the text states, else the sum of the entries'. A text without heads has a name, an e-mail, a phone and years at most."""
+    t = _headed(text_fields(texts, text).drop("skills"), text)
+    phone = F.nullif(strip(F.regexp_extract(F.coalesce(text, F.lit("")), r"(\+[0-9][\x20().0-9-]{7,}[0-9])", 1)), F.lit(""))
+    skills, study = _items(_body("skills")), F.transform(_lines(_body("education")), lambda x: F.regexp_replace(x, _BULLET, ""))
+
+    def project(line: Column) -> Column:
+        bare = F.regexp_replace(line, _BULLET, "")
+        tools = F.regexp_extract(bare, r"\(([^()]*)\)[ \t.]*$", 1)
+        said = strip(F.regexp_replace(bare, r"\([^()]*\)[ \t.]*$", ""))
+        return F.struct(strip(F.substring_index(said, ":", 1)).alias("name"), F.when(F.contains(said, F.lit(":")), strip(F.regexp_replace(said, r"^[^:]*:", ""))).alias("approach"), _items(tools).alias("tech_keywords"), _strings().alias("primary_skills"),
+                        F.lit(None).cast("struct<skill_relevance: double, domain_relevance: double, execution_quality: double>").alias("metrics"))
+
+    def entry(block: Column) -> Column:
+        lines = _lines(block)
+        head = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+        duties = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.regexp_replace(x, _BULLET, ""))
+        return F.struct(head.alias("title"), F.regexp_extract(F.lower(head), r"([0-9]+\.?[0-9]*[ ]*years?)", 1).alias("duration"), _strings().alias("primary_tech"), duties.alias("responsibilities_keywords"), _strings().alias("achievements"))
+
+    blocks = F.filter(F.split(_body("experience"), r"\n(?=[ \t]*[^\s*\u2022-])"), lambda b: strip(b) != "")
+    t = t.withColumns({"phone": phone, "_skills": skills, "education": study, "projects": F.transform(_lines(_body("projects")), project), "experience_entries": F.transform(blocks, entry), "certifications": _items(_body("certifications"))})
+    stated, summed = F.col("years_experience"), total_years(F.transform("experience_entries", lambda e: e.duration))
+    name = F.when(~F.coalesce(F.lower("name"), F.lit("")).isin(*HEADS), F.col("name"))
+    t = t.withColumns({
+        "name": name, "candidate_id": candidate_id(F.col("email"), F.col("phone"), F.coalesce(name, F.lit("")), F.col(path) if path else F.lit("")), "years_experience": F.coalesce(stated, F.when(summed > 0, summed)),
+        "profile_keywords_line": F.nullif(F.array_join(_lines(_body("profile")), " "), F.lit("")), "ats_boost_line": boost_line("_skills"), "canonical_skills": F.when(F.size("_skills") > 0, F.create_map(F.lit("listed"), F.col("_skills"))),
+        "inferred_skills": F.lit(None).cast("array<struct<skill: string, confidence: double>>"), "skill_proficiency": F.lit(None).cast("array<struct<skill: string, years_last_used: int>>"), "domain_tags": _items(_body("keywords")),
+    })
+    return t.drop("_parts", "_skills")
+
+
+def job_records(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``texts`` with the columns of ``JOB`` that free job descriptions fill, and those of ``job_fields``: the offline default where no model parses them.
+
+    Skills are those of its lists; where none is introduced in a sentence, the items of its skills part. Responsibilities are the lines under that head, else the bulleted ones."""
+    t = _headed(job_fields(texts, text), text)
+    own = F.transform(_lines(_body("responsibilities")), lambda x: F.regexp_replace(x, _BULLET, ""))
+    listed = _items(_body("skills"))
+    t = t.withColumns({
+        "responsibilities": F.when(F.size(own) > 0, own).otherwise(F.col("responsibilities")), "required_skills": F.when(F.size("hard_skills") > 0, F.col("hard_skills")).otherwise(listed),
+        "education_requirements": _lines(_body("education")), "certifications_required": _items(_body("certifications")), "keywords_flat": _items(_body("keywords")), "summary": F.nullif(F.array_join(_lines(_body("profile")), " "), F.lit("")),
+    })
+    return t.drop("_parts")
+
+
 def record_defaults(records: DataFrame, text: str, today: Column | None = None) -> DataFrame:
     """``records`` whose meta (raw_text_length, last_updated) and explainability are filled where they are null or missing; what is given stays.
 

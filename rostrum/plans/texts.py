@@ -112,3 +112,33 @@ def rerank_packs(s, d):
 def note_texts(s, d):
     note = F.concat("c_name", F.lit(" "), "c_mktsegment", F.lit(" needs ten years of work in the field and a good deal of patience with the people of the house and more"))
     return X.table(s, d, "customer").select("c_custkey", records.short_note(note).alias("note"))
+
+
+# A candidate's text: heads with and without colons, lists, projects with and without tools, entries with and without bullets.
+_RESUME = """select c_custkey, concat(c_name, chr(10), 'mail: c', c_custkey, '@x.org, +49 30 ', 1000000 + c_custkey, chr(10), 'Summary', chr(10), 'Works in ', c_mktsegment, '.', chr(10), 'SKILLS: SQL, Spark; ', lower(c_mktsegment), ', SQL', chr(10),
+case when c_custkey % 3 > 0 then concat('## Experience', chr(10), 'Engineer at A, 2 years', chr(10), '- built ', c_mktsegment, chr(10), '* led', chr(10), 'Clerk, 1.5 years', chr(10)) else '' end,
+'Projects:', chr(10), '- Lake: stores ', c_mktsegment, ' (Spark, Delta)', chr(10), 'Plain', chr(10), 'Education', chr(10), 'BSc ', c_mktsegment) as text from {customer}"""
+
+
+@query("resume_records", """select c_custkey, c_name as name, 'c' || c_custkey || '@x.org' as email, '+49 30 ' || (1000000 + c_custkey) as phone, case when c_custkey % 3 > 0 then 2e0 end as years, 'Works in ' || c_mktsegment || '.' as profile,
+array_to_string(list_sort([lower(c_mktsegment), 'spark', 'sql']), ', ') as boost, 'SQL|Spark|' || lower(c_mktsegment) as skills, 'Lake>stores ' || c_mktsegment || '>Spark,Delta|Plain>>' as projects,
+case when c_custkey % 3 > 0 then 'Engineer at A, 2 years>2 years>built ' || c_mktsegment || ',led|Clerk, 1.5 years>1.5 years>' else '' end as entries, 'BSc ' || c_mktsegment as education,
+left('c' || c_custkey, 8) || '_' || substr(sha256('email:c' || c_custkey || '@x.org'), 1, 12) as candidate_id from {customer}""")
+def resume_records(s, d):
+    r = records.resume_records(X.view(s, d, _RESUME))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    projects = F.transform("projects", lambda p: F.concat(p["name"], F.lit(">"), text(p.approach), F.lit(">"), F.array_join(p.tech_keywords, ",")))
+    entries = F.transform("experience_entries", lambda e: F.concat(e.title, F.lit(">"), e.duration, F.lit(">"), F.array_join(e.responsibilities_keywords, ",")))
+    return r.select("c_custkey", "name", "email", "phone", F.col("years_experience").alias("years"), F.col("profile_keywords_line").alias("profile"), F.col("ats_boost_line").alias("boost"), F.array_join(F.col("canonical_skills")["listed"], "|").alias("skills"),
+                    F.array_join(projects, "|").alias("projects"), F.array_join(entries, "|").alias("entries"), F.array_join("education", "|").alias("education"), "candidate_id")
+
+
+_JOB_TEXT = """select c_custkey, concat('Senior ', c_mktsegment, ' analyst', chr(10), 'About: we sell ', c_mktsegment, chr(10), case when c_custkey % 2 = 0 then concat('Must have: SQL, ', c_mktsegment, ' and Spark.', chr(10)) else concat('Skills', chr(10), '- SQL', chr(10), '- ', c_mktsegment, chr(10)) end,
+case when c_custkey % 3 = 0 then concat('Responsibilities:', chr(10), '- run reports', chr(10), 'Meet clients', chr(10)) else '' end, 'Certifications: AWS, GCP', chr(10), 'Education', chr(10), 'BSc') as text from {customer}"""
+
+
+@query("job_records", """select c_custkey, 'Senior ' || c_mktsegment || ' analyst' as title, 'Senior' as level, case when c_custkey % 2 = 0 then array_to_string(list_sort(['SQL', 'Spark', c_mktsegment]), '|') else 'SQL|' || c_mktsegment end as skills,
+case when c_custkey % 3 = 0 then 'run reports|Meet clients' when c_custkey % 2 = 1 then 'SQL|' || c_mktsegment else '' end as duties, 'AWS|GCP' as certificates, 'BSc' as education, 'we sell ' || c_mktsegment as summary from {customer}""")
+def job_records(s, d):
+    r, joined = records.job_records(X.view(s, d, _JOB_TEXT)), lambda c: F.array_join(c, "|")
+    return r.select("c_custkey", F.col("role_title").alias("title"), F.col("seniority_level").alias("level"), joined("required_skills").alias("skills"), joined("responsibilities").alias("duties"), joined("certifications_required").alias("certificates"), joined("education_requirements").alias("education"), "summary")
