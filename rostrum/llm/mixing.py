@@ -211,3 +211,12 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def source_mix_overlap(spark, sf_dir: str) -> DataFrame:
+    """The mix over texts that stand under several sources: equal texts are one document, the one with the smallest id, which is
+    a member of all their sources, and the flow says which of these it serves. doc_id, sources, size, target and taken."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    alike = docs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.collect_set(F.coalesce("source", F.lit("(none)"))).alias("sources"))
+    texts = docs.select("doc_id", "text").dropDuplicates(["doc_id"]).join(alike, "doc_id").select("doc_id", "text", "sources")
+    return mix(texts, members="sources").select("doc_id", F.array_join(F.array_sort("sources"), "|").alias("sources"), "size", "target", "taken")

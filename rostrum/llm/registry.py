@@ -17,6 +17,7 @@ def queries() -> dict:
         "op11_ranked_search": lexical.op11_ranked_search,
         "op12_importance_draw": resampling.op12_importance_draw,
         "op13_sentencepiece": pieces.op13_sentencepiece,
+        "source_mix_overlap": mixing.source_mix_overlap,
     }
 
 
