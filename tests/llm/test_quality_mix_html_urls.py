@@ -293,3 +293,26 @@ def test_marked_elements_are_not_needed(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
     plain = lambda h: re.sub(r"(</?)(?:article|main)\b", r"\1div", h or "", flags=re.I)
     assert all(html.extract(r.html or "") == html.extract(plain(r.html)) for r in rows)
+
+
+def test_overlapping_sources_of_a_table(spark, tmp_path):
+    rows = [(i, f"word number {i} " * (1 + i % 4), ("a", "b", "c")[i % 3]) for i in range(60)]
+    rows += [(100 + i, rows[i][1], ("b", "c", None)[i % 3]) for i in range(0, 40, 2)] + [(200, None, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = mixing.source_mix_overlap(spark, str(tmp_path)).collect()
+    texts = {}
+    for d, t, s in rows:
+        texts.setdefault(t or "", []).append((d, s or "(none)"))
+    assert {(r.doc_id, r.sources) for r in out} == {(min(d for d, _ in m), "|".join(sorted({s for _, s in m}))) for m in texts.values()}
+    patterns = Counter()
+    for t, m in texts.items():
+        patterns[tuple(sorted({s for _, s in m}))] += len(t.split())
+    names = sorted({s for p in patterns for s in p})
+    sizes = {n: sum(v for p, v in patterns.items() if n in p) for n in names}
+    goal = mixing.targets(sizes, dict(zip(names, itertools.cycle((3, 1, 2)))), 1.5 * sum(patterns.values()), 2)
+    given, taken = mixing.route(patterns, goal, 2), Counter()
+    for r in out:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[tuple(r.sources.split("|"))] += r.taken
+    longest = max(len(t.split()) for t in texts)
+    assert len([p for p in patterns if len(p) > 1]) == 3 and all(abs(taken[p] - given[p]) <= longest for p in patterns)
