@@ -6,7 +6,8 @@ IBAN (mod 97) or credential that follows it; from a digit start address and card
 linear in the text.
 
 Base kinds: email, ip, card, phone, exactly the leftmost non-overlapping matches of their patterns, then validated.
-Added kinds: login (scheme://user:pass@), iban, account, secret.
+Added kinds: login (scheme://user:pass@), iban (mod 97, in any case), account (six digits or more that are no date, or 7 to 12 letters and digits
+with four digits), secret (16 characters or more behind an equals sign or colon; behind "is" with a digit among them).
 
 Defined cases: a null text is empty, without spans; positions are code points, end exclusive; texts are read whole;
 every input row gives one output row, repeated or null ids included; spans of different kinds may overlap; an empty table gives an
@@ -35,10 +36,13 @@ IP = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOGIN = re.compile(r"[^\s/?#@:\"'<>]++(?::[^\s/?#@\"'<>]*+)?@[A-Za-z0-9.-]++(?::[0-9]{1,5})?")
-IBAN = re.compile(r"[ \t:=#.]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+IBAN = re.compile(r"[ \t:=#.]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])", re.I)
 IBAN_SIZE = dict(AT=20, BE=16, CH=21, CZ=24, DE=22, DK=18, ES=24, FI=18, FR=27, GB=22, IE=22, IT=27, LU=20, NL=18, NO=15, PL=28, PT=25, SE=24)
-ACCOUNT = re.compile(r"(?:[ \t]?(?:number|no\.?|nr\.?|id))?(?:[ \t](?:is|ist|est|es))?[ \t:=#.]{1,4}([A-Z]{0,2}[0-9](?:[ -]?[0-9]){5,19})(?![0-9])", re.I)
-SECRET = re.compile(r"[ \t]{0,3}[=:][ \t]{0,3}[\"']?")
+ACCOUNT = re.compile(
+    r"(?:[ \t]?(?:number|no\.?|nr\.?|id))?(?:[ \t](?:is|ist|est|es))?[ \t:=#.]{1,4}"
+    r"([A-Z]{0,2}[0-9](?:[ -]?[0-9]){5,}(?![A-Z0-9])|(?=(?:[A-Z]*[0-9]){4})[A-Z0-9]{7,12}(?![A-Z0-9]))", re.I)
+DATE = re.compile(r"(?:19|20)[0-9]{2}[ -]?(?:0[1-9]|1[0-2])[ -]?(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[ -](?:0[1-9]|1[0-2])[ -](?:19|20)[0-9]{2}")
+SECRET = re.compile(r"[ \t]{0,3}(?:[=:]|(is|ist|est|es)(?=[ \t]))[ \t]{0,3}[\"']?", re.I)
 SECRET_RUN = re.compile(r"[A-Za-z0-9_+/=.-]*+")
 
 
@@ -105,12 +109,12 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int,
             if (m := IBAN.match(text, end)) and (size := _iban_size(m[1])):
                 out.append((m.start(1), 5, m.start(1) + size))
         elif mark == "account":
-            if m := ACCOUNT.match(text, end):
+            if (m := ACCOUNT.match(text, end)) and not DATE.fullmatch(m[1]):
                 out.append((m.start(1), 6, m.end(1)))
         elif m := SECRET.match(text, end):
             if m.end() >= run:  # else within the run read last, which has the same end: each run is read once
                 run = SECRET_RUN.match(text, m.end()).end()
-            if run - m.end() >= 16:
+            if run - m.end() >= 16 and (not m[1] or any(c in DIGITS for c in text[m.end() : run])):
                 out.append((m.end(), 7, run))
     return sorted(set(out))
 
@@ -121,7 +125,12 @@ def _iban(s: str) -> bool:
 
 
 def _iban_size(s: str) -> int:
-    """How much of ``s`` is an IBAN, 0 for nothing: its country's length, else the longest; it ends where a word ends."""
+    """How much of ``s`` is an IBAN, 0 for nothing: its country's length, else the longest; it ends where a word ends.
+
+    Small letters count as capitals in those of known countries, as words may follow."""
+    small, s = s != s.upper(), s.upper()
+    if small and s[:2] not in IBAN_SIZE:
+        return 0
     cuts = [i for i in range(len(s), 14, -1) if s[i - 1] != " " and s[i : i + 1] in ("", " ")]
     cuts = [i for i in cuts if len(s[:i].replace(" ", "")) >= 15]
     cuts.sort(key=lambda i: len(s[:i].replace(" ", "")) != IBAN_SIZE.get(s[:2]))
