@@ -73,3 +73,16 @@ def test_long_and_followed_spans_are_found():
     assert found("token=" + "aB3_" * 500 + " end") == ["aB3_" * 500]
     assert found("see db://" + "u" * 300 + ":" + "p" * 400 + "@host.org now") == ["u" * 300 + ":" + "p" * 400 + "@host.org"]
     assert len(found("token=" * 20000)) > 19000  # linear
+
+
+def test_added_kinds_are_validated():
+    a = pii.automaton()
+    kinds = lambda t: [(pii.KINDS[k], t[x:y]) for x, k, y in pii.spans_of(t, a) if k >= 4]
+    assert kinds("password is abcdefghijklmnop1234") == [("secret", "abcdefghijklmnop1234")]
+    assert kinds("the password is unbelievablylongforyou") == kinds("his token island 0123456789abcdef01") == []
+    assert kinds("iban de89 3704 0044 0532 0130 00 and more") == [("iban", "de89 3704 0044 0532 0130 00")]
+    assert kinds("iban de88 3704 0044 0532 0130 00") == kinds("iban xx82west12345698765432") == []
+    assert kinds("passport number: C01X00T47.") == [("account", "C01X00T47")] and kinds("passport renewed") == kinds("account abcdefgh12") == []
+    assert kinds("account 20241015") == kinds("account 2024-10-15, paid") == kinds("konto 15-10-2024") == []
+    assert kinds("account " + "12345" * 6) == [("account", "12345" * 6)]
+    assert kinds("account 12345678") == [("account", "12345678")]
