@@ -129,14 +129,22 @@ def seniority(given, text, inferred=None) -> Column:
     )
 
 
+#: Patterns of the years that a note asks for, and of those that criteria ask for.
+NOTED_SPAN = r"(\d+)\s*[-–—to]+\s*(\d+)\s*years?"
+NOTED_LEAST = r"(?:at least|minimum|min|more than|over)\s*(\d+)\s*years?"
+NOTED_EXACT = r"(\d+)\s*years?\s*(?:of|experience|exp)"
+NOTED_PLUS = r"(\d+)\s*\+\s*years?"
+CRITERIA_SPAN = r"(\d+)\s*-\s*(\d+)\s*years?"
+CRITERIA_LEAST = r"(?:at least|minimum|min)\s*(\d+)"
+CRITERIA_MOST = r"(?:up to|maximum|max)\s*(\d+)"
+CRITERIA_EXACT = r"(\d+)\s*years?"
+
+
 def experience_range(x) -> Column:
     """(low, high) years that a note asks for: a range; at least N; N years (to N + 2); N+ years; null if none."""
     t = F.lower(F.coalesce(_c(x), F.lit("")))
     num = lambda p, g=1: F.regexp_extract(t, p, g).try_cast("double")
-    span = r"(\d+)\s*[-–—to]+\s*(\d+)\s*years?"
-    least = r"(?:at least|minimum|min|more than|over)\s*(\d+)\s*years?"
-    exact = r"(\d+)\s*years?\s*(?:of|experience|exp)"
-    plus = r"(\d+)\s*\+\s*years?"
+    span, least, exact, plus = NOTED_SPAN, NOTED_LEAST, NOTED_EXACT, NOTED_PLUS
     pair = lambda lo, hi: F.struct(lo.alias("low"), hi.cast("double").alias("high"))
     none = F.lit(None).cast("double")
     return (
@@ -149,7 +157,7 @@ def criteria_range(x) -> Column:
     """As ``experience_range``, for criteria: range, at least (no upper end), up to (from 0), exact (one either side)."""
     t = F.lower(F.coalesce(_c(x), F.lit("")))
     num = lambda p, g=1: F.regexp_extract(t, p, g).try_cast("double")
-    span, least, most, exact = r"(\d+)\s*-\s*(\d+)\s*years?", r"(?:at least|minimum|min)\s*(\d+)", r"(?:up to|maximum|max)\s*(\d+)", r"(\d+)\s*years?"
+    span, least, most, exact = CRITERIA_SPAN, CRITERIA_LEAST, CRITERIA_MOST, CRITERIA_EXACT
     pair = lambda lo, hi: F.struct(lo.cast("double").alias("low"), hi.cast("double").alias("high"))
     return (
         F.when(num(span).isNotNull(), pair(num(span), num(span, 2))).when(num(least).isNotNull(), pair(num(least), F.lit(None)))
