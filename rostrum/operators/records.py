@@ -436,7 +436,7 @@ def resume_records(texts: DataFrame, text: str = "text", path: str | None = None
     blocks = F.filter(F.split(_body("experience"), r"\n(?=[ \t]*[^\s*\u2022-])"), lambda b: strip(b) != "")
     t = t.withColumns({"phone": phone, "_skills": skills, "education": study, "projects": F.transform(_lines(_body("projects")), project), "experience_entries": F.transform(blocks, entry), "certifications": _items(_body("certifications"))})
     stated, summed = F.col("years_experience"), total_years(F.transform("experience_entries", lambda e: e.duration))
-    name = F.when(~F.coalesce(F.lower("name"), F.lit("")).isin(*HEADS), F.col("name"))
+    name = F.when(~F.col("name").rlike(_HEAD), F.col("name"))
     t = t.withColumns({
         "name": name, "candidate_id": candidate_id(F.col("email"), F.col("phone"), F.coalesce(name, F.lit("")), F.col(path) if path else F.lit("")), "years_experience": F.coalesce(stated, F.when(summed > 0, summed)),
         "profile_keywords_line": F.nullif(F.array_join(_lines(_body("profile")), " "), F.lit("")), "ats_boost_line": boost_line("_skills"), "canonical_skills": F.when(F.size("_skills") > 0, F.create_map(F.lit("listed"), F.col("_skills"))),

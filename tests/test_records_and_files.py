@@ -213,3 +213,28 @@ def test_breakers_of_a_process():
     with pytest.raises(OSError):
         external.retried(lambda: (_ for _ in ()).throw(OSError()), external.EMBED_TRIES, sleep=waits.append, growth=external.EMBED_GROWTH, jitter=0.0)
     assert [round(w, 3) for w in waits] == [1.0, 1.4, 1.96, 2.744]
+
+
+def test_job_and_requirement_files(spark, tmp_path):
+    from rostrum.sources import io
+
+    (tmp_path / "job.json").write_text(json.dumps({"role_title": "Analyst"}))
+    (tmp_path / "bad.json").write_text("{no")
+    assert records.read_job(spark, str(tmp_path / "job.json")) == {"role_title": "Analyst"} and records.read_job(spark, str(tmp_path / "bad.json")) == {}
+    nested = {"structured": {"requirements": [{"type": "skills", "data": {"skills": ["sql"]}}, {"type": "years", "value": 2}]}}
+    (tmp_path / "r.json").write_text(json.dumps({"mandatory_compliances": nested, "soft_compliances": {"structured": {"remote": True, "x": []}}}))
+    got = io.read_requirements(spark, str(tmp_path / "r.json"))
+    assert got["mandatory"]["hard_skills"]["required"] == ["sql"] and got["mandatory"]["experience"]["min"] == 2.0 and got["soft"] == {"remote": {"type": "boolean", "required": True}}
+    assert io.requirement_table(spark, got).count() == 3
+
+
+def test_texts_without_parts_are_records(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "Only a name"), (4, "Skills:\n- a\n- b\nEducation: PhD"), (5, "Ann\nExperience\nLead, 3 years\n- x\n\nProjects\n(x)")], "i int, text string")
+    r = {x.i: x for x in records.resume_records(df).collect()}
+    assert r[1].name is None and r[1].canonical_skills is None and r[1].projects == [] and r[1].experience_entries == [] and r[2].education == []
+    assert r[3].name == "Only a name" and r[4].name is None and r[4].canonical_skills == {"listed": ["a", "b"]} and r[4].education == ["PhD"]
+    assert r[5].years_experience == 3.0 and [(e.title, e.responsibilities_keywords) for e in r[5].experience_entries] == [("Lead, 3 years", ["x"])] and r[5].projects[0].tech_keywords == ["x"]
+    assert set(records.whole(records.resume_records(df)).columns) <= set(records.resume_records(df).columns)
+    assert records.resume_records(df.limit(0)).collect() == [] and records.job_records(df).count() == 5
+    sections = records.job_section_rows(records.job_records(df), "i")
+    assert {x.section for x in sections.where("i = 4").collect()} >= {"skills", "education"}
