@@ -3,7 +3,6 @@
 The tables are made from Python's Unicode data. Characters that become one character, and marks, which go, are one translation. Those that become
 several are rare: only texts that hold such a one are taken apart, and each character is looked up in two steps, its block and then
 the block's own small map. Hangul syllables are computed. Order within a decomposition never matters, since the marks that might change places are dropped."""
-import re
 import unicodedata
 from functools import cache
 

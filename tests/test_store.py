@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rostrum.functions.text import r3
 from rostrum.operators import scoring
 from rostrum.sources import io
 from rostrum.sources.cache import embed_key, embedded_through
