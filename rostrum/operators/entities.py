@@ -127,15 +127,26 @@ def append_skips(log: DataFrame, new: DataFrame, cid: str = "candidate_id") -> D
     return log.unionByName(fresh.select(*new.columns), allowMissingColumns=True)
 
 
-#: Letters of a gram, by which contained texts are looked up; shorter texts are grams themselves.
-GRAM = 5
+#: Letters of a gram, by which contained texts are looked up; shorter texts are grams themselves. Long enough that a number of several
+#: digits has a gram of its own: the fewer texts a rarest gram has, the less is compared.
+GRAM = 8
 
 
-def _grams(text: Column, least: int = 1) -> Column:
-    """The distinct substrings of ``least`` to ``GRAM`` letters."""
+def _grams(text: Column, sizes=range(1, GRAM + 1)) -> Column:
+    """The distinct substrings of so many letters."""
     n = F.length(text)
     cut = lambda size: F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substr(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.array(*[cut(k) for k in range(least, GRAM + 1)])))
+    return F.array_distinct(F.flatten(F.array(*[cut(k) for k in sizes]))) if sizes else F.array().cast("array<string>")
+
+
+def _sizes(parts: DataFrame) -> list[int]:
+    """The sizes of grams that texts (part) are looked up by, ``GRAM`` numbers at most."""
+    return sorted(r[0] for r in parts.where("part <> ''").select(F.least(F.length("part"), F.lit(GRAM))).distinct().collect())
+
+
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
+    """An inner join that sorts both sides. Spark takes exploded texts for as small as the files they came from, and would send them through the driver."""
+    return left.join(right.hint("merge"), on)
 
 
 def _rarest(parts: DataFrame, grams: DataFrame) -> DataFrame:
@@ -146,7 +157,7 @@ def _rarest(parts: DataFrame, grams: DataFrame) -> DataFrame:
     size = F.least(F.length("part"), F.lit(GRAM))
     own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("part") - size + 1), lambda i: F.substr(F.col("part"), i, size)))
     asked = parts.where("part <> ''").distinct().withColumn("own", own).select("part", F.size("own").alias("all"), F.explode("own").alias("g"))
-    found = asked.join(frequent, "g").groupBy("part").agg(F.min(F.struct("n", "g")).alias("m"), F.count(F.lit(1)).alias("have"), F.first("all").alias("all"))
+    found = _merged(asked, frequent, "g").groupBy("part").agg(F.min(F.struct("n", "g")).alias("m"), F.count(F.lit(1)).alias("have"), F.first("all").alias("all"))
     return found.where("have = all").select("part", "m.g", "m.n")
 
 
@@ -156,8 +167,8 @@ def containing(parts: DataFrame, texts: DataFrame) -> DataFrame:
     A part is looked up under its rarest gram alone, so what is compared beyond the pairs found does not grow with what the
     texts have in common."""
     t = texts.where("text <> ''").distinct()
-    grams = t.select("text", F.explode(_grams(F.col("text"))).alias("g"))
-    return _rarest(parts, grams).join(grams, "g").where(F.contains("text", "part")).select("part", "text")
+    grams = t.select("text", F.explode(_grams(F.col("text"), _sizes(parts))).alias("g"))
+    return _merged(_rarest(parts, grams), grams, "g").where(F.contains("text", "part")).select("part", "text")
 
 
 def match_files(people: DataFrame, files: DataFrame) -> DataFrame:
@@ -169,27 +180,28 @@ def match_files(people: DataFrame, files: DataFrame) -> DataFrame:
 
     Contained texts meet by an equi join on their rarest gram and are checked after. As two words of a name must be found, its most
     frequent word need not be looked up, so that a common first name makes no pairs of its own. Names, stems and files alike are
-    compared once; only a stem's first file by path is carried."""
-    p = people.select("candidate_id", "stem", matching_key("stem").alias("rs"), F.array_distinct(F.filter(words(matching_key("name")), lambda w: F.length(w) > 2)).alias("w"))
-    f = files.where("path is not null").select("path", "stem", matching_key("stem").alias("fs"))
+    compared once; only a stem's first file by path is carried. People, files and what each way finds are checkpointed, so that
+    neither table is made again for each way, and no join of theirs goes through the driver."""
+    p = settled(people.select("candidate_id", "stem", matching_key("stem").alias("rs"), F.array_distinct(F.filter(words(matching_key("name")), lambda w: F.length(w) > 2)).alias("w")))
+    f = settled(files.where("path is not null").select("path", "stem", matching_key("stem").alias("fs")))
     first = f.where("fs <> ''").groupBy("fs").agg(F.min("path").alias("path"))
-    grams = first.select("fs", "path", F.explode(_grams(F.col("fs"))).alias("g"))
     names = p.select("w").where(F.size("w") > 0).distinct().withColumn("need", F.least(F.lit(2), F.size("w")))
     asked = names.select("w", "need", F.explode("w").alias("part"))
-    asked = asked.join(_rarest(asked.select("part"), grams), "part").withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy("n", "part")))
+    grams = first.select("fs", F.explode(_grams(F.col("fs"), _sizes(asked))).alias("g"))
+    asked = _merged(asked, _rarest(asked.select("part"), grams), "part").withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy("n", "part")))
     # Words that no file has are gone, so at most need - 1 of those left may be passed over.
     left = F.count(F.lit(1)).over(Window.partitionBy("w"))
     asked = asked.withColumn("left", left).where("r <= left - need + 1").select("w", "need", "part", "g")
-    named = asked.join(grams, "g").where(F.contains("fs", "part")).where(F.size(F.filter("w", lambda w: F.contains("fs", w))) >= F.col("need"))
-    named = named.groupBy("w").agg(F.min("path").alias("path"))
+    named = _merged(asked, grams, "g").where(F.contains("fs", "part")).where(F.size(F.filter("w", lambda w: F.contains("fs", w))) >= F.col("need"))
+    named = _merged(named.select("w", "fs"), first, "fs").groupBy("w").agg(F.min("path").alias("path"))
     exact = f.groupBy("stem").agg(F.min("path").alias("path"))
     stems, others = p.select("rs").distinct(), first.select("fs")
     inner = containing(stems.select(F.col("rs").alias("part")), others.select(F.col("fs").alias("text"))).select(F.col("part").alias("rs"), F.col("text").alias("fs"))
     outer = containing(others.select(F.col("fs").alias("part")), stems.select(F.col("rs").alias("text"))).select(F.col("text").alias("rs"), F.col("part").alias("fs"))
-    either = inner.unionAll(outer).join(first, "fs").groupBy("rs").agg(F.min("path").alias("path"))
+    either = _merged(settled(inner).unionAll(settled(outer)), first, "fs").groupBy("rs").agg(F.min("path").alias("path"))
     every = None
-    for kind, (key, found) in enumerate((("w", named), ("stem", exact), ("rs", either)), 1):
-        found = p.select("candidate_id", key).join(found, key).select("candidate_id", "path", F.lit(kind).alias("kind"))
+    for kind, (key, found) in enumerate((("w", settled(named)), ("stem", exact), ("rs", either)), 1):
+        found = _merged(p.select("candidate_id", key), found, key).select("candidate_id", "path", F.lit(kind).alias("kind"))
         every = found if every is None else every.unionAll(found)
     return every.groupBy("candidate_id").agg(F.min(F.struct("kind", "path")).alias("m")).select("candidate_id", "m.path", "m.kind")
 

@@ -238,3 +238,18 @@ def test_texts_without_parts_are_records(spark):
     assert records.resume_records(df.limit(0)).collect() == [] and records.job_records(df).count() == 5
     sections = records.job_section_rows(records.job_records(df), "i")
     assert {x.section for x in sections.where("i = 4").collect()} >= {"skills", "education"}
+
+
+def test_file_match_sends_no_exploded_texts_through_the_driver(spark, tmp_path):
+    """Its joins sort, though the tables seem small."""
+    ids = [f"{i:09d}" for i in range(300)]
+    p = spark.createDataFrame([(i, f"Person nn{i}", f"Rec-cand_{i}") for i in ids], "candidate_id string, name string, stem string")
+    f = spark.createDataFrame([(f"f/{i}.pdf", f"the rec-cand_{i} final") for i in ids], "path string, stem string")
+    p.write.parquet(f"{tmp_path}/p")
+    f.write.parquet(f"{tmp_path}/f")
+    p, f = spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/f")
+    out = entities.match_files(p, f)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.candidate_id, r.path, r.kind) for r in out.collect()} == {(i, f"f/{i}.pdf", 3) for i in ids}
+    parts, texts = p.select(F.lower("stem").alias("part")), f.select(F.col("stem").alias("text"))
+    assert "BroadcastHashJoin" not in entities.containing(parts, texts)._jdf.queryExecution().executedPlan().toString()
