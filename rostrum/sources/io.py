@@ -40,11 +40,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def read_records(spark: SparkSession, path: str, schema=None) -> tuple[DataFrame, DataFrame]:
-    """(good, bad) of the JSON records right in a folder, one a file; bad ones have path and text.
+def read_records(spark: SparkSession, path: str, schema=None, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) of the JSON records right in a folder, one a file, or with ``lines`` one a line of any number of files; bad ones have path and text.
 
-    The whole file is one record; files named example_output.json are skipped."""
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=False).withColumn("path", F.col("_metadata.file_path"))
+    Else the whole file is one record, which suits folders of some thousand files; files named example_output.json are skipped."""
+    raw = spark.read.text(path, wholetext=not lines, pathGlobFilter="*.json", recursiveFileLookup=False).withColumn("path", F.col("_metadata.file_path"))
     raw = raw.where(~F.col("path").endswith("/example_output.json"))
     if schema is None:
         ok = raw.withColumn("record", F.try_parse_json("value"))
@@ -54,10 +54,15 @@ def read_records(spark: SparkSession, path: str, schema=None) -> tuple[DataFrame
     return ok.where(well).select("path", "record"), raw.where(~well).select("path", F.col("value").alias("text"))
 
 
-def read_texts(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
-    """(path, stem, text) of the *.txt files of a folder, in any case of the extension; ``only`` (stem) is an allow-list."""
-    rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.[tT][xX][tT]").withColumnRenamed("value", "text").withColumn("path", F.col("_metadata.file_path"))
-    rows = rows.withColumn("stem", F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "")).select("path", "stem", "text")
+def read_texts(spark: SparkSession, path: str, only: DataFrame | None = None, lines: bool = False) -> DataFrame:
+    """(path, stem, text) of the *.txt files of a folder, in any case of the extension; ``only`` (stem) is an allow-list.
+
+    With ``lines``, of the many texts a file that ``documents.write_texts`` writes; those are told apart by their stem."""
+    if lines:
+        rows = spark.read.schema("stem string, text string").json(path).select(F.col("_metadata.file_path").alias("path"), "stem", "text")
+    else:
+        rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.[tT][xX][tT]").withColumnRenamed("value", "text").withColumn("path", F.col("_metadata.file_path"))
+        rows = rows.withColumn("stem", F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "")).select("path", "stem", "text")
     return rows if only is None else rows.join(only.select("stem").distinct(), "stem", "left_semi").select("path", "stem", "text")
 
 

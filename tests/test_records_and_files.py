@@ -253,3 +253,18 @@ def test_file_match_sends_no_exploded_texts_through_the_driver(spark, tmp_path):
     assert {(r.candidate_id, r.path, r.kind) for r in out.collect()} == {(i, f"f/{i}.pdf", 3) for i in ids}
     parts, texts = p.select(F.lower("stem").alias("part")), f.select(F.col("stem").alias("text"))
     assert "BroadcastHashJoin" not in entities.containing(parts, texts)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folders_have_many_texts_and_records_a_file(spark, tmp_path):
+    from rostrum.sources import documents, io
+
+    rows = [(f"s{i}", f" line {i}\nnext\n") for i in range(60)] + [("s0", "again"), ("a/b", 'x"'), ("none", None)]
+    index = documents.write_texts(spark.createDataFrame(rows, "stem string, text string"), f"{tmp_path}/t")
+    assert len(list((tmp_path / "t").rglob("part-*"))) <= 4 and {r.stem for r in index.collect()} == {s for s, _ in rows}
+    back = io.read_texts(spark, f"{tmp_path}/t", spark.createDataFrame([(s,) for s, _ in rows if s != "s1"], "stem string"), lines=True)
+    assert sorted((r.stem, r.text or "") for r in back.collect()) == sorted((s, (t or "").strip()) for s, t in rows if s != "s1")
+    assert {r.stem for r in documents.write_texts(spark.createDataFrame(rows[:3], "stem string, text string"), f"{tmp_path}/e", each=True).collect()} == {"s0", "s1", "s2"}
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "part.json").write_text('{"name": "a"}\n{"name": \n{"name": "b"}\n')
+    good, bad = io.read_records(spark, f"{tmp_path}/r", "name string", lines=True)
+    assert sorted(r.record.name for r in good.collect()) == ["a", "b"] and [r.text for r in bad.collect()] == ['{"name": ']
