@@ -141,3 +141,15 @@ def test_leaves_jobs_and_defaults(spark):
     assert records.job_defaults({"hr_notes": [1, 2], "meta": {"last_updated": "x"}}, "abc", "y") == {
         "hr_notes": [1, 2], "hr_points": 2, "filter_requirements": None, "meta": {"raw_text_length": 3, "last_updated": "x"}}
     assert records.job_defaults({"hr_points": 9, "filter_requirements": {}}, "", "y")["hr_points"] == 9
+
+
+def test_tags_are_made_once_and_sections_without_a_shuffle(spark):
+    from rostrum.plans import native
+
+    d = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(native.job_tags(spark, d)).count("HR_NOTE:cat=") == 1  # named again, it would be made again for each tag
+    assert "Exchange" not in native.record_sections(spark, d)._jdf.queryExecution().executedPlan().toString()
+    r = spark.createDataFrame([("a", "One two three. four five six"), ("a", "One two three."), (None, None)], "candidate_id string, profile_keywords_line string")
+    got = sorted((x.candidate_id or "", x.section, x.texts) for x in records.section_texts(r).where("size(texts) > 0").collect())
+    assert got == [("a", s, t) for s in ("overall", "profile") for t in (["One two three."], ["One two three.", "four five six"])]
