@@ -85,7 +85,8 @@ def merge_scores(left: DataFrame, right: DataFrame, cid: str = "candidate_id", n
         on = (F.col(f"l_{key}") == F.col(f"r_{key}")) & (F.col("l_at") == F.col("r_at"))
         return l.join(r, on if also is None else on & also, "full_outer").drop("l_at", "r_at")
 
-    sides = {p: side(df, p) for p, df in (("l", left), ("r", right))}
+    # Each side is read for its ids, its names and its order, and is made once for all.
+    sides = {p: settled(side(df, p)) for p, df in (("l", left), ("r", right))}
     given = {p: positions(df.where(F.col(f"{p}_id").isNotNull()), [f"{p}_id"], [F.col(f"{p}_by")], f"{p}_at") for p, df in sides.items()}
     by_id = settled(met(given["l"], given["r"], "id"))
     done = by_id.where("l is not null and r is not null").select("l", "r")

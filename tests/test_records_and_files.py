@@ -279,3 +279,17 @@ def test_folder_queries_write_few_files(spark, monkeypatch, tmp_path):
     for query, at in ((files.text_folder, "t"), (files.record_folder, "r")):
         assert query(spark, "/root/testdata/sf0.01").count() == suppliers
         assert len(list((tmp_path / at).rglob("part-*"))) < suppliers / 10
+
+
+def test_merge_makes_each_side_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        made.add(1)
+        return x
+
+    rows = [(f"c{i}" if i % 3 else None, f"n{i % 7}", i) for i in range(100)]
+    side = spark.createDataFrame(rows, "candidate_id string, name string, p int").withColumn("p", F.udf(counted, "int")("p"))
+    out = entities.merge_scores(side, side.withColumnRenamed("p", "k")).collect()
+    assert sorted(r.p for r in out if r.p is not None) == sorted(r.k for r in out if r.k is not None) == list(range(100))
+    assert made.value == 200
