@@ -150,6 +150,28 @@ def test_pieces_equal_the_library(monkeypatch):
         assert p.encode(long) == lib.encode(long) and p.decode(p.encode(long)) == long
 
 
+def test_pieces_of_many_texts_at_once(monkeypatch):
+    with open(pieces.MODEL, "rb") as f:
+        data = f.read()
+    lib, rnd = SentencePieceProcessor(model_proto=data), random.Random(12)
+    alone, merge = [], pieces.Pieces.merge
+    monkeypatch.setattr(pieces.Pieces, "merge", lambda self, segment: alone.append(segment) or merge(self, segment))
+    words = ["the", "The,", "of.\nThen", "  x", "|", "ünder", "中文ab", "🙂🙂", "a▁b", "\t", "1234", "é", "e\u0301", "\0", "</s>", "ding" * 5, ""]
+    for room in (1_000_000, 30):  # everything is remembered, or forgotten again and again
+        p = pieces.Pieces(data, room)
+        for n in (0, 1, 2, 50, 300):
+            texts = ["".join(rnd.choice(words) + rnd.choice(["", " ", " ", "  ", "\n"]) for _ in range(rnd.randint(0, 60))) for _ in range(n)]
+            texts += ["", " ", "  ", "▁", ""] * (n == 50)
+            ids, bounds = p.encode_all(texts)
+            assert bounds.tolist()[0] == 0 and bounds[-1] == len(ids) and len(bounds) == len(texts) + 1
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == lib.encode(texts)
+    p, prose = pieces.Pieces(data), " ".join("".join(rnd.choices(["th", "er", "on", "an", "re", "he", "in"], k=rnd.randint(1, 6))) for _ in range(5000))
+    alone.clear()
+    assert p.encode(prose) == lib.encode(prose) and not alone  # short segments are merged together, none by itself
+    long = "thion" * 500
+    assert p.encode(f"{long} a {long}") == lib.encode(f"{long} a {long}") and alone == ["▁" + long]  # met twice, merged once
+
+
 def test_pieces_of_tables(spark):
     lib = SentencePieceProcessor(model_file=pieces.MODEL)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
